@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import decontaminate, packing, quality_rules, token_store, wordtokens
+from varloom.llm import decontaminate, licenses, packing, preferences, quality_model, quality_rules, sql, token_store, toxicity, wordtokens
+from varloom.llm.samples import held_out, labelled_sample
 from varloom.llm.shared import table
 
+#: Labelled rows from which the toxicity lexicon and the quality network are learned, at most.
+TOXIC_SAMPLE, QUALITY_SAMPLE = 6000, 4000
+
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -21,6 +25,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _scored(df: DataFrame, score: str, parts: int, part: int) -> DataFrame:
+    return df.select(
+        F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", parts, part).alias("held_out"), F.col(score).alias("score"), (F.col(score) >= 0.7).cast("int").alias("predicted")
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 3, 1, TOXIC_SAMPLE)
+    return _scored(toxicity.score(docs, toxicity.learn(sample)), "toxicity", 3, 1)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), wordtokens.default_path())
 
@@ -31,6 +47,29 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 4, 2, QUALITY_SAMPLE)
+    return _scored(quality_model.score(docs, quality_model.learn(sample)), "quality", 4, 2)
+
+
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2k is the chosen and 2k + 1 the rejected one of pair k."""
+    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
+    even = F.col("conv_id") % 2 == 0
+    found = preferences.preferences(turns.where(even), turns.where(~even))
+
+    def shown(mask: str) -> Column:
+        return F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(mask)
+
+    return found.select("pair_id", "n_common", "prompt", "chosen", "rejected", shown("chosen_mask"), shown("rejected_mask"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.templates(spark)).select("doc_id", "license", F.round("containment", 6).alias("containment"), "n_pairs")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), wordtokens.default_path(), keep_ids=False)
 
@@ -38,11 +77,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op3_toxicity": op3_toxicity,
         "op5_token_store": op5_token_store,
         "op6_quality_rules": op6_quality_rules,
+        "op7_quality_model": op7_quality_model,
+        "op8_preferences": op8_preferences,
+        "op9_licenses": op9_licenses,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_preferences": sql.PREFERENCES, "op9_licenses": sql.licenses()}
