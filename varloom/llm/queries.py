@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import decontaminate, licenses, packing, preferences, quality_model, quality_rules, sql, token_store, toxicity, wordtokens
+from varloom.llm import decontaminate, licenses, packing, preferences, quality_model, quality_rules, repeats, sql, token_store, toxicity, wordtokens
 from varloom.llm.samples import held_out, labelled_sample
 from varloom.llm.shared import table
 
@@ -15,6 +15,12 @@ from varloom.llm.shared import table
 TOXIC_SAMPLE, QUALITY_SAMPLE = 6000, 4000
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats.find_repeats(docs, outputs=("n_bytes", "n_removed", "spans", "kept_sha256"))
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_phrases(docs, table(spark, sf_dir, "benchmark"))
@@ -76,6 +82,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_repeats": op1_repeats,
         "op2_decontaminate": op2_decontaminate,
         "op3_toxicity": op3_toxicity,
         "op5_token_store": op5_token_store,
