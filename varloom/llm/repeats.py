@@ -30,7 +30,9 @@ from varloom.llm import bytescan as bs
 from varloom.llm.shared import written
 
 #: Bytes of a first digit, of text in a bucket and of text that a task sorts at once.
-GRAM, BUCKET, SORTED = 24, 64 << 20, 32 << 20
+GRAM, BUCKET, SORTED = 24, 16 << 20, 8 << 20
+#: Bytes whose windows are found at once.
+SLICE = 1 << 19
 #: Windows of an entry, at most.
 RUN = 255
 _LAST = (1 << 63) - 1
@@ -40,8 +42,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
     """Runs of windows that share their first digit: row, start in the text, windows, first digit, second digit."""
     gram = min(GRAM, length)
     reach, found = length - gram + 1, []
-    for low in range(0, max(0, len(data) - length + 1), bs.SEGMENT):
-        x = data[low : low + bs.SEGMENT + length - 1]
+    for low in range(0, max(0, len(data) - length + 1), SLICE):
+        x = data[low : low + SLICE + length - 1]
         sums = np.zeros(len(x) + 1, np.uint64)
         np.cumsum(bs.BYTE_CODE[x] * bs.power("up", len(x) + 1)[: len(x)], out=sums[1:])
         down = bs.power("down", len(x) + 1)
@@ -68,8 +70,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
             first, last, row = np.repeat(first, parts) + k * RUN, np.repeat(last, parts), np.repeat(row, parts)
             last = np.minimum(last, first + RUN - 1)
         whole = bs.mix((sums[last + length] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-        found.append((row, first + low - bounds[row], last - first + 1, least[first], whole))
-    kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
+        found.append((row.astype(np.int32), (first + low - bounds[row]).astype(np.uint32), (last - first + 1).astype(np.uint8), least[first], whole))
+    kinds = (np.int32, np.uint32, np.uint8, np.uint64, np.uint64)
     return tuple(np.concatenate([np.zeros(0, kind), *(f[i] for f in found)]) for i, kind in enumerate(kinds))
 
 
@@ -92,6 +94,7 @@ def pack(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray,
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
     first = np.flatnonzero(new)
+    start = start.astype(np.int64)
     step = np.diff(start, prepend=0)
     step[first] = start[first]
     plain = b"".join(
@@ -144,9 +147,10 @@ def _first_digits(length: int, buckets: int):
         key = bs.mix(first + whole * np.uint64(0x9E3779B97F4A7C15))
         order = np.argsort(key)
         cut = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-        least = np.minimum.reduceat(doc[order], cut)
+        ranked = doc[order]
         covered = np.empty(len(doc), bool)
-        covered[order] = doc[order] > np.repeat(least, np.diff(np.append(cut, len(doc))))
+        covered[order] = ranked > np.repeat(np.minimum.reduceat(ranked, cut), np.diff(np.append(cut, len(doc))))
+        del key, order, ranked
         bucket = (first % np.uint64(buckets)).astype(np.int64)
         bucket[covered] = (bs.mix(doc[covered].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         rows = []
@@ -161,7 +165,7 @@ def _first_digits(length: int, buckets: int):
             for low, _, data, bounds in bs.pieces(batch.column("text")):
                 row, start, count, first, whole = anchors(data, bounds, length)
                 if len(row):
-                    parts.append((docs[low + row], tags[low + row], start, count, first, whole))
+                    parts.append((docs[low + row], tags[low + row].astype(np.uint32), start, count, first, whole))
                 size += len(data)
                 if size >= SORTED and parts:
                     yield settled(parts)
@@ -247,7 +251,7 @@ def _last_digits(length: int, buckets: int):
         for batch in batches:
             docs, tags = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "tag"))
             spans = batch.column("open").to_pylist()
-            for low, high, data, bounds in bs.pieces(batch.column("text"), 16 << 20):
+            for low, high, data, bounds in bs.pieces(batch.column("text")):
                 row, first, count = [], [], []
                 for k in range(low, high):
                     if spans[k]:
@@ -296,7 +300,7 @@ def _merged(kinds: list[list[bytes] | None]) -> np.ndarray:
 
 def _results(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
             data, bounds = bs.flat(batch.column("text"))
             covered, more = batch.column("covered").to_pylist(), batch.column("more").to_pylist()
             spans, sizes, removed, digests, kept = [], np.diff(bounds), [], [], []
@@ -309,7 +313,8 @@ def _results(names: list[str]):
                 spans.append([{"start": a, "end": b} for a, b in s.tolist()])
                 removed.append(int((s[:, 1] - s[:, 0]).sum()))
                 digests.append(hashlib.sha256(raw).hexdigest())
-                kept.append(raw.decode("utf-8", "ignore"))
+                if "kept_text" in names:
+                    kept.append(raw.decode("utf-8", "ignore"))
             made = {
                 "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(kept, pa.string()),
