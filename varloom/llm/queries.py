@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import decontaminate, licenses, packing, preferences, quality_model, quality_rules, repeats, sql, token_store, toxicity, wordtokens
+from varloom.llm import decontaminate, licenses, near_copies, packing, preferences, quality_model, quality_rules, repeats, sql, token_store, toxicity, wordtokens
 from varloom.llm.samples import held_out, labelled_sample
 from varloom.llm.shared import table
 
@@ -43,6 +43,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score(docs, toxicity.learn(sample)), "toxicity", 3, 1)
 
 
+def op4_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_store(table(spark, sf_dir, "documents"), wordtokens.default_path())
 
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_repeats": op1_repeats,
         "op2_decontaminate": op2_decontaminate,
         "op3_toxicity": op3_toxicity,
+        "op4_near_copies": op4_near_copies,
         "op5_token_store": op5_token_store,
         "op6_quality_rules": op6_quality_rules,
         "op7_quality_model": op7_quality_model,
