@@ -8,7 +8,7 @@
    threshold falls under `MISS`, the pair is pruned.
 4. Survivors are verified on their full sets.  First each class's likeliest pair; then the pairs that lie between
    different components; last, in buckets that still hold several components, all pairs of members of
-   different ones.  So a bucket of one component costs as many checks as it has members, yet no link between
+   different ones, whose signatures are compared in blocks.  So a bucket of one component costs as many checks as it has members, yet no link between
    two members that share a bucket is lost.
 
 Two sets of similarity 0.8 share no band with probability (1 - 0.8 ** ROWS) ** BANDS, 6e-7.
@@ -31,6 +31,8 @@ BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
 #: Chance, by the posterior, under which a pair is pruned; minima compared at a time.
 MISS, STEP = 1e-7, 20
+#: Members of a block, about, when the members of a bucket are compared with one another.
+BLOCK = 512
 _LAST = (1 << 63) - 1
 
 _rng = np.random.default_rng(20250311)
@@ -145,6 +147,66 @@ def likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "signature_a", "signature_b").mapInArrow(_likely(threshold), "a long, b long, matches long")
 
 
+def _cells(threshold: float):
+    """In each cell, all pairs of members of different components that the signatures leave, each where its first common band is."""
+    least = fewest_matches(threshold)
+
+    def compared(key: int, rows: list[tuple]) -> tuple[list[int], list[int]]:
+        ids, component, block = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
+        bands, signs = np.stack([r[3] for r in rows]), np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        split = block.min() != block.max()
+        found: tuple[list[int], list[int]] = ([], [])
+        for k in range(len(rows)):
+            other = np.flatnonzero((component != component[k]) & ((block > block[k]) if split else (ids > ids[k])))
+            if len(other):
+                other = other[bands[other, (bands[other] == bands[k]).argmax(1)] == key]
+            matches = np.zeros(len(other), np.int64)
+            for n, few in enumerate(least):
+                part = slice(n * STEP, (n + 1) * STEP)
+                matches += (signs[other, part] == signs[k, part]).sum(1)
+                other, matches = other[matches >= few], matches[matches >= few]
+            found[0].extend(np.minimum(ids[other], ids[k]).tolist())
+            found[1].extend(np.maximum(ids[other], ids[k]).tolist())
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            a, b = compared(cell[0], rows) if len(rows) > 1 else ([], [])
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("key", "low", "high", "id", "component", "block")]
+            columns += [batch.column("bands").flatten().to_numpy().reshape(-1, BANDS), batch.column("signature").to_pylist()]
+            for key, low, high, *row in zip(*columns, strict=True):
+                if (key, low, high) != cell:
+                    if rows:
+                        yield done()
+                    cell, rows = (key, low, high), []
+                rows.append(tuple(row))
+        if rows:
+            yield done()
+
+    return run
+
+
+def _across(placed: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of placed(key, b, component) that share a key, lie in different components and are likely enough.
+
+    A bucket of many members is dealt into blocks of about `BLOCK`; each pair of blocks is a cell of its own, so no
+    task holds more than two blocks, and pairs that the signatures rule out are never made rows.
+    """
+    sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    signs = signed.select(F.col("id").alias("b"), "bands", "signature").dropDuplicates(["b"])
+    dealt = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "b", "component", "block")
+    rows = cells.join(signs, "b")
+    rows = rows.select("key", "low", "high", F.col("b").alias("id"), "component", "block", "bands", "signature")
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(_cells(threshold), "a long, b long").distinct()
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,9 +281,7 @@ def near_copies(df: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str
             placed = bucketed.select("key", "b").join(named("b"), "b", "left").select("key", "b", F.coalesce("component_b", "b").alias("component"))
             several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
             placed = placed.join(several, "key")
-            one, two = placed.select("key", F.col("b").alias("a"), F.col("component").alias("x")), placed.select("key", "b", F.col("component").alias("y"))
-            between = one.join(two, "key").where("x < y").select("a", "b").distinct()
-            between = likely(between, signed, percent / 100).select("a", "b")
+            between = _across(placed, signed, percent / 100)
         between = between.join(named("a"), "a", "left").join(named("b"), "b", "left")
         between = between.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b"))
         links = written(links.unionByName(verified(between, sets, percent)), "verified")
