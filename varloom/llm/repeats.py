@@ -209,7 +209,33 @@ def _joined(parts: list[tuple[np.ndarray, ...]], columns: int) -> list[np.ndarra
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64 if i > 3 else np.int64) for i in range(columns)]
 
 
-def _second_digits(length: int):
+def _by_place(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, open_: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Settled (kind 0) and open (kind 1) runs of windows, dealt by their document."""
+    order = np.lexsort((start, tag, doc))
+    pieces = [x[order] for x in (doc, tag, start, count)]
+    chosen, rows = open_[order], []
+    bucket = (bs.mix(pieces[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    for kind, mask in ((0, ~chosen), (1, chosen)):
+        rows += _dealt(bucket[mask], [x[mask] for x in pieces], [], kind)
+    return _batch(rows)
+
+
+def _by_document(length: int):
+    """All that the buckets found, one row a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _by_bucket(batches)
+        for bucket in sorted(held):
+            rows = held.pop(bucket)
+            parts = [_joined([unpack(p) for kind, p in rows if kind == k], 4) for k in (0, 1)]
+            doc, tag, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(doc):
+                yield from _places(doc, tag, start, start + count - 1 + length, np.arange(len(doc)) >= len(parts[0][0]))
+
+    return run
+
+
+def _second_digits(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _by_bucket(batches)
         for bucket in sorted(held):
@@ -235,13 +261,13 @@ def _second_digits(length: int):
             doc, tag, start, count = (np.concatenate([a, b]) for a, b in zip((doc, tag, start, count), done, strict=True))
             open_ = np.concatenate([open_, np.zeros(len(done[0]), bool)])
             if len(doc):
-                yield from _places(doc, tag, start, start + count - 1 + length, open_)
+                yield _by_place(doc, tag, start, count, open_, buckets)
 
     return run
 
 
-def _span_list(parts: list[bytes] | None) -> np.ndarray:
-    return np.frombuffer(b"".join(parts or []), "<u4").reshape(-1, 2).astype(np.int64)
+def _span_list(spans: bytes | None) -> np.ndarray:
+    return np.frombuffer(spans or b"", "<u4").reshape(-1, 2).astype(np.int64)
 
 
 def _last_digits(length: int, buckets: int):
@@ -271,7 +297,7 @@ def _last_digits(length: int, buckets: int):
     return run
 
 
-def _equal_windows(length: int):
+def _equal_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _by_bucket(batches)
         for bucket in sorted(held):
@@ -282,12 +308,12 @@ def _equal_windows(length: int):
             covered = doc > np.repeat(doc[cut], np.diff(np.append(cut, len(doc))))
             if covered.any():
                 doc, tag, start = doc[covered], tag[covered], start[covered]
-                yield from _places(doc, tag, start, start + length, np.zeros(len(doc), bool))
+                yield _by_place(doc, tag, start, np.ones(len(doc), np.int64), np.zeros(len(doc), bool), buckets)
 
     return run
 
 
-def _merged(kinds: list[list[bytes] | None]) -> np.ndarray:
+def _merged(kinds: list[bytes | None]) -> np.ndarray:
     """Maximal removed runs."""
     s = np.concatenate([_span_list(k) for k in kinds])
     if not len(s):
@@ -344,15 +370,14 @@ def find_repeats(df: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
     rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text))
     keyed = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("key"), F.crc32(body.cast("binary")).alias("tag"), body.alias("text"), rest.alias("row"))
 
-    def collected(places: DataFrame) -> DataFrame:
-        """All spans of a document together; no list is longer than there are buckets."""
-        return places.groupBy("key", "tag").agg(*(F.collect_list(F.when(F.length(c) > 0, F.col(c))).alias(c) for c in ("covered", "open")))
+    def collected(found: DataFrame) -> DataFrame:
+        return _bucketed(found, buckets).mapInArrow(_by_document(length), _PLACES)
 
     first = keyed.select("key", "tag", "text").mapInArrow(_first_digits(length, buckets), _DEALT)
-    places = written(collected(_bucketed(first, buckets).mapInArrow(_second_digits(length), _PLACES)), "repeats")
+    places = written(collected(_bucketed(first, buckets).mapInArrow(_second_digits(buckets), _DEALT)), "repeats")
     placed = keyed.join(places, ["key", "tag"], "left")  # both uses below share one exchange of the texts
     windows = placed.select("key", "tag", "text", "row", "open").mapInArrow(_last_digits(length, buckets), _DEALT)
-    more = collected(_bucketed(windows, buckets).mapInArrow(_equal_windows(length), _PLACES)).select("key", "tag", F.col("covered").alias("more"))
+    more = collected(_bucketed(windows, buckets).mapInArrow(_equal_windows(buckets), _DEALT)).select("key", "tag", F.col("covered").alias("more"))
     final = placed.join(more, ["key", "tag"], "left").select("row", "text", "covered", "more")
     kinds = {"n_bytes": "long", "n_removed": "long", "spans": "array<struct<start:long,end:long>>", "kept_sha256": "string", "kept_text": "string"}
     schema = T.StructType([final.schema["row"], *(T.StructField(n, T._parse_datatype_string(kinds[n])) for n in outputs)])
