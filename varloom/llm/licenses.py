@@ -50,23 +50,24 @@ def _pairs(words: str) -> Column:
     return F.when(F.size(words) > 1, F.array_compact(F.array_distinct(pairs))).otherwise(F.col(words))
 
 
-def _windows(df: DataFrame, stride: int) -> DataFrame:
-    """Adds `first` (word number) and w0, w1, ... (words of the window, null beyond the text) to rows with `words`."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - WINDOW + stride - 1), F.lit(stride))
-    at = df.withColumn("window", F.explode(F.transform(starts, lambda i: F.struct(i.alias("first"), F.slice("words", i + 1, WINDOW).alias("w")))))
-    return at.select(*(c for c in df.columns if c != "words"), F.col("window.first").alias("first"), *(F.get("window.w", F.lit(k)).alias(f"w{k}") for k in range(WINDOW)))
+def _banded(df: DataFrame, stride: int) -> DataFrame:
+    """`first` (word number of a window) and its BANDS MinHash values, as rows (band, value), of rows with `words`.
 
-
-def _banded(windows: DataFrame) -> DataFrame:
-    """The BANDS MinHash values of each window's word pairs, as rows (band, value)."""
-    rest = [c for c in windows.columns if not (c[0] == "w" and c[1:].isdigit())]
+    Words are hashed once; the minima are taken over fixed columns, which stay in generated code.
+    """
+    rest = [c for c in df.columns if c != "words"]
+    hashed = df.select(*rest, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - WINDOW + stride - 1), F.lit(stride))
+    windows = hashed.select(*rest, F.posexplode(F.transform(starts, lambda i: F.slice("h", i + 1, WINDOW))).alias("number", "w"))
+    windows = windows.select(*rest, (F.col("number") * stride).alias("first"), *(F.get("w", F.lit(k)).alias(f"w{k}") for k in range(WINDOW)))
+    windows = windows.where("w1 IS NOT NULL OR first = 0")
+    pairs = windows.select(*rest, "first", *(F.when(F.col(f"w{k + 1}").isNotNull(), F.xxhash64(f"w{k}", f"w{k + 1}")).alias(f"p{k}") for k in range(WINDOW - 1)))
 
     def least(seed: int) -> Column:
-        return F.least(*(F.when(F.col(f"w{k + 1}").isNotNull(), F.xxhash64(F.lit(seed), f"w{k}", f"w{k + 1}")) for k in range(WINDOW - 1)), F.lit(9223372036854775807))
+        return F.least(*(F.when(F.col(f"p{k}").isNotNull(), F.xxhash64(F.lit(seed), f"p{k}")) for k in range(WINDOW - 1)), F.lit(9223372036854775807))
 
-    values = [least(seed).alias(f"v{seed}") for seed in range(BANDS)]
-    hashed = windows.where("w1 IS NOT NULL OR first = 0")
-    return hashed.select(*rest, *values).select(*rest, F.posexplode(F.array(*(f"v{s}" for s in range(BANDS)))).alias("band", "value"))
+    values = pairs.select(*rest, "first", *(least(seed).alias(f"v{seed}") for seed in range(BANDS)))
+    return values.select(*rest, "first", F.posexplode(F.array(*(f"v{s}" for s in range(BANDS)))).alias("band", "value"))
 
 
 def scan(df: DataFrame, known: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,12 +81,11 @@ def scan(df: DataFrame, known: DataFrame, least: float = 0.8, doc_id: str = "doc
     """
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
     wanted = written(known.select("license", words_of(F.col("text")).alias("words")).where("license IS NOT NULL AND words[0] != ''"), "license-templates")
-    bands = written(_banded(_windows(wanted, 1)).select("license", "band", "value").distinct(), "license-bands")
+    bands = written(_banded(wanted, 1).select("license", "band", "value").distinct(), "license-bands")
     small = bands.count() <= 1 << 20
     bands = F.broadcast(bands) if small else bands
 
-    windows = _windows(docs.select("doc_id", words_of(F.col("text")).alias("words")), STRIDE)
-    found = _banded(windows).join(bands, ["band", "value"]).groupBy("doc_id", "license").agg(F.min("first").cast("long").alias("first_word"))
+    found = _banded(docs.select("doc_id", words_of(F.col("text")).alias("words")), STRIDE).join(bands, ["band", "value"]).groupBy("doc_id", "license").agg(F.min("first").cast("long").alias("first_word"))
     found = written(found, "license-candidates")
 
     pairs = wanted.select("license", F.explode(_pairs("words")).alias("pair"))
