@@ -34,7 +34,7 @@ class Engine:
             return text.genotypes(cells)
         chosen = access.select_samples(self.spark.read.parquet(f"{path}/samples"), samples, unknown)
         found = text.genotypes(cells.join(chosen.select("s").distinct(), "s", "left_semi"))
-        return found.join(chosen, "s").select("v", "pos", chosen["ord"].cast("long").alias("s"), "gt")
+        return found.join(chosen.select("s", "ord"), "s").selectExpr("v", "pos", "CAST(ord AS BIGINT) AS s", "gt")
 
     def compare(self, path: str, cells: DataFrame) -> DataFrame:
         """The cells in which a store differs from its source; none if it is intact."""
