@@ -121,8 +121,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return b
 
 
-def fit(texts: list[str], labels: list[int], chunks: int = 9000, passes: int = 3, rate: float = 0.004, seed: int = 7) -> Network:
-    """A network from labelled texts: `passes` over at most `chunks` of their chunks, drawn at random, with Adam's steps."""
+def fit(texts: list[str], labels: list[int], chunks: int = 9000, passes: int = 3, least_steps: int = 300, rate: float = 0.004, seed: int = 7) -> Network:
+    """A network from labelled texts: `passes` (or as many as make `least_steps`) over at most `chunks` of their chunks, drawn at random, with Adam's steps."""
     net, rng = _start(seed), np.random.default_rng(seed)
     column, y = pa.array(texts, pa.large_string()), np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
@@ -134,7 +134,9 @@ def fit(texts: list[str], labels: list[int], chunks: int = 9000, passes: int = 3
     share = 1 / np.bincount(row)[row] / np.bincount(y.astype(int))[y.astype(int)][row]
     drawn = rng.choice(len(row), min(chunks, len(row)), p=share / share.sum())
     moments = [[np.zeros_like(p, np.float32) for p in (net.embedding, net.filters, net.bias, net.weights, net.offset)] for _ in range(2)]
-    step, total = 0, passes * -(-len(drawn) // 64)
+    each = -(-len(drawn) // 64)
+    passes = max(passes, -(-least_steps // each))
+    step, total = 0, passes * each
     for _ in range(passes):
         rng.shuffle(drawn)
         for k in range(0, len(drawn), 64):

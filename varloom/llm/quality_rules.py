@@ -3,7 +3,8 @@
 Each document becomes a vector of transformed statistics.  For each group a minimum-covariance-determinant
 estimate is found by concentration steps over all of its documents: start from medians and deviations, then
 repeatedly keep the share `core` of documents nearest to the centre and take their mean and covariance.  Each
-step is two aggregations over the statistics table, so a group of any size stays spread over the cluster.  A
+step is two aggregations over the statistics table with partial sums, and the groups' parameters (one row each,
+broadcast while few) meet the rows where they are, so a group of any size stays spread over the cluster.  A
 document is rejected when its Mahalanobis distance passes a far quantile.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm import bytescan as bs
-from varloom.llm.shared import written
+from varloom.llm.shared import small, written
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
@@ -155,7 +156,7 @@ def _inverted(scale: float):
 def _first_params(points: DataFrame) -> DataFrame:
     """Centre and spread of each group by medians, without correlations."""
     centre = points.groupBy("grp").agg(*(F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"c{i}") for i in range(DIMENSIONS)))
-    apart = points.join(centre, "grp").groupBy("grp").agg(
+    apart = points.join(small(written(centre, "mcd")), "grp").groupBy("grp").agg(
         *(F.first(f"c{i}").alias(f"c{i}") for i in range(DIMENSIONS)),
         *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5, 1000).alias(f"m{i}") for i in range(DIMENSIONS)),
     )
@@ -172,9 +173,9 @@ def fit_groups(points: DataFrame, core: float = 0.75, steps: int = 3) -> DataFra
     scale = core / _chi2_below(edge, DIMENSIONS + 2)  # the core's covariance falls short of the whole's by this factor
     params = written(_first_params(points), "mcd")
     for _ in range(steps):
-        placed = points.join(params, "grp").withColumn("d2", _distance())
-        limits = placed.groupBy("grp").agg(F.percentile_approx("d2", core, 1000).alias("limit"))
-        near = placed.join(limits, "grp").where("d2 <= limit")
+        placed = points.join(small(params), "grp").withColumn("d2", _distance())
+        limits = written(placed.groupBy("grp").agg(F.percentile_approx("d2", core, 1000).alias("limit")), "mcd")
+        near = placed.join(small(limits), "grp").where("d2 <= limit")
         moments = near.groupBy("grp").agg(
             F.count("*").alias("n"),
             *(F.sum(f"x{i}").alias(f"s{i}") for i in range(DIMENSIONS)),
@@ -205,18 +206,18 @@ def judge(
     usable = found.where("NOT base_failed").select("doc_id", "lang", "source", "n_words", *(F.expr(f).alias(f"x{i}") for i, (f, _) in enumerate(FEATURES.values())))
 
     by_source = usable.groupBy("lang", "source").count()
-    small = by_source.where(F.col("count") < least_group)
-    by_lang = small.groupBy("lang").agg(F.sum("count").alias("in_lang"))
+    sparse = by_source.where(F.col("count") < least_group)
+    by_lang = sparse.groupBy("lang").agg(F.sum("count").alias("in_lang"))
     names = by_source.join(by_lang, "lang", "left").select(
         "lang", "source",
         F.when(F.col("count") >= least_group, F.concat_ws("\x01", "lang", "source")).when(F.col("in_lang") >= least_group, F.col("lang")).otherwise("").alias("grp"),
     )
     names = written(names, "groups")
-    points = usable.join(names, ["lang", "source"])
+    points = usable.join(small(names), ["lang", "source"])
     params = fit_groups(points, core, steps)
 
     limit = chi2_quantile(1 - tail, DIMENSIONS)
-    named = found.join(names, ["lang", "source"], "left").join(params, "grp", "left")
+    named = found.join(small(names), ["lang", "source"], "left").join(small(params), "grp", "left")
     for i, (f, _) in enumerate(FEATURES.values()):
         named = named.withColumn(f"x{i}", F.when(F.col("base_failed"), F.lit(None)).otherwise(F.expr(f)))
     shrink = F.least(F.lit(1.0), F.col("n_words") / 400)
