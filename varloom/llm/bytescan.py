@@ -7,6 +7,7 @@ megabytes (a longer text is a segment of its own).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ _MIX_B = np.uint64(0xC4CEB9FE1A85EC53)
 #: A random 64-bit value for each byte, fixed by a seed.
 BYTE_CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
+_libc = ctypes.CDLL(None)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -71,11 +73,19 @@ def segments(bounds: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int, in
         low = min(high, rows)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def pieces(column: pa.Array, limit: int = SEGMENT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets) of each segment of a text column."""
     data, bounds = flat(column)
     for low, high in segments(bounds, limit):
         yield low, high, data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
+    give_back()
 
 
 def runs(mask: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -187,6 +187,7 @@ def _cells(threshold: float):
                 rows.append(tuple(row))
         if rows:
             yield done()
+        bs.give_back()
 
     return run
 
@@ -226,7 +227,7 @@ def _decoded(raw: bytes) -> np.ndarray:
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, 1000) for b in batches for low in range(0, b.num_rows, 1000)):
             keep = []
             for x, y in zip(batch.column("members_a"), batch.column("members_b"), strict=True):
                 a, b = _decoded(x.as_py()), _decoded(y.as_py())
@@ -235,6 +236,7 @@ def _linked(percent: int):
                 keep.append(100 * common >= percent * (len(a) + len(b) - common))
             found = np.flatnonzero(keep)
             yield pa.RecordBatch.from_pydict({"a": batch.column("a").take(found), "b": batch.column("b").take(found)})
+        bs.give_back()
 
     return run
 

@@ -262,6 +262,7 @@ def _second_digits(buckets: int):
             open_ = np.concatenate([open_, np.zeros(len(done[0]), bool)])
             if len(doc):
                 yield _by_place(doc, tag, start, count, open_, buckets)
+        bs.give_back()
 
     return run
 
@@ -309,6 +310,7 @@ def _equal_windows(buckets: int):
             if covered.any():
                 doc, tag, start = doc[covered], tag[covered], start[covered]
                 yield _by_place(doc, tag, start, np.ones(len(doc), np.int64), np.zeros(len(doc), bool), buckets)
+        bs.give_back()
 
     return run
 
