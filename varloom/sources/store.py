@@ -10,20 +10,23 @@ from varloom.operators import binarize, blocks, codec, layout, recode
 TABLES = ("blocks", "phases", "index", "parameters", "statistics", "samples")
 
 
-def write(cells: DataFrame, path: str, ploidy: int = 2, coder: str = "zlib") -> None:
-    """Encode cells block by block: recode, bit planes, packing, codec.  Blocks are laid out by position, so readers prune."""
+def write(cells: DataFrame, path: str, ploidy: int = 2, coder: str = "zlib", mode: str = "errorifexists") -> None:
+    """Encode cells block by block: recode, bit planes, packing, codec.  Blocks are laid out by position, so readers prune.
+
+    mode is what to do with tables that are there already, as in Spark's writer.
+    """
     spread = cells.repartition("block_id")
     stats = blocks.statistics(spread)
     matrix = layout.flatten(recode.recode(spread, stats), "sample", ploidy=ploidy)
     packed = codec.coded(codec.packed_matrices(binarize.bit_planes(matrix, stats)), coder)
     index = blocks.index(spread)
-    packed.join(index.select("block_id", "min_pos", "max_pos"), "block_id").repartitionByRange("block_id").sortWithinPartitions("block_id", "plane").write.parquet(f"{path}/blocks")
+    packed.join(index.select("block_id", "min_pos", "max_pos"), "block_id").repartitionByRange("block_id").sortWithinPartitions("block_id", "plane").write.mode(mode).parquet(f"{path}/blocks")
     phases = spread.groupBy("block_id", "row_in_block").agg(F.min("v").alias("v"), F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("s", "k", "phased"))).alias("phases"))
-    phases.select("block_id", "row_in_block", "v", "pos", F.transform("phases", lambda p: p["phased"]).alias("phases")).repartitionByRange("pos").sortWithinPartitions("pos").write.parquet(f"{path}/phases")
-    index.write.parquet(f"{path}/index")
-    blocks.access_units(spread).write.parquet(f"{path}/parameters")
-    stats.write.parquet(f"{path}/statistics")
-    cells.select("s").distinct().select("s", F.concat(F.lit("S"), F.col("s")).alias("name")).write.parquet(f"{path}/samples")
+    phases.select("block_id", "row_in_block", "v", "pos", F.transform("phases", lambda p: p["phased"]).alias("phases")).repartitionByRange("pos").sortWithinPartitions("pos").write.mode(mode).parquet(f"{path}/phases")
+    index.write.mode(mode).parquet(f"{path}/index")
+    blocks.access_units(spread).write.mode(mode).parquet(f"{path}/parameters")
+    stats.write.mode(mode).parquet(f"{path}/statistics")
+    cells.select("s").distinct().select("s", F.concat(F.lit("S"), F.col("s")).alias("name")).write.mode(mode).parquet(f"{path}/samples")
 
 
 def read(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, ploidy: int = 2, coder: str = "zlib") -> DataFrame:

@@ -15,12 +15,12 @@ def running_statistics(cells: DataFrame) -> DataFrame:
 
 
 def encode_batches(cells: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of whole blocks becomes a store of its own under `path`; a repeated batch is written once."""
+    """Each micro-batch of whole blocks becomes a store of its own, `path`/batch=<number>.
+
+    A batch that is run again, after a failure halfway too, replaces its own tables, so no block is stored twice.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={number}/samples/_SUCCESS")
-        if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-            store.write(batch, f"{path}/batch={number}")
+        store.write(batch, f"{path}/batch={number}", mode="overwrite")
 
     return cells.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
