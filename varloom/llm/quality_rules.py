@@ -5,7 +5,8 @@ estimate is found by concentration steps over all of its documents: start from m
 repeatedly keep the share `core` of documents nearest to the centre and take their mean and covariance.  Each
 step is two aggregations over the statistics table with partial sums, and the groups' parameters (one row each,
 broadcast while few) meet the rows where they are, so a group of any size stays spread over the cluster.  A
-document is rejected when its Mahalanobis distance passes a far quantile.
+document is rejected when its Mahalanobis distance passes a far quantile.  There each statistic's spread is at
+least its sampling error in that text, so a short text is excused for what few words or lines scatter, and no more.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ FEATURES = {
 }
 DIMENSIONS = len(FEATURES)
 
+#: Sampling variance of each feature in one text: 1 / (4 n) of an arc sine root, and for words' lengths, which scatter by
+#: about half their mean.  Where it passes the squared least spread, it takes that one's place.
+NOISE = ("n_words", "word_chars", "word_chars", "word_chars", "n_lines", "n_words")
+
 
 def _sums(mask: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many bytes (or items) of each row are true."""
@@ -132,6 +137,38 @@ def _distance() -> Column:
     return total
 
 
+def text_distance(x: np.ndarray, centre: np.ndarray, inverse: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distances of rows x, with noise (variances) in place of the squared least spread where larger."""
+    apart = x - centre
+    more = np.maximum(0.0, noise - np.array([least**2 for _, least in FEATURES.values()]))
+    wider = np.linalg.inv(inverse) + more[:, :, None] * np.eye(DIMENSIONS)
+    return (apart * np.linalg.solve(wider, apart[:, :, None])[:, :, 0]).sum(1)
+
+
+def _measured(limit: float, kept_columns: list[str]):
+    """distance and kept of rows with x0, ..., the parameters of their group, and the STATISTICS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda n, batch=batch: batch.column(n).to_numpy(zero_copy_only=False).astype(float)
+            x, centre = (np.stack([column(f"{n}{i}") for i in range(DIMENSIONS)], 1) for n in "xc")
+            inverse = np.empty((batch.num_rows, DIMENSIONS, DIMENSIONS))
+            for i in range(DIMENSIONS):
+                for j in range(i, DIMENSIONS):
+                    inverse[:, i, j] = inverse[:, j, i] = column(f"p{i}_{j}")
+            noise = np.stack([0.25 / np.maximum(column(n), 1) for n in NOISE], 1)
+            distance = np.full(batch.num_rows, np.nan)
+            known = np.isfinite(x).all(1) & np.isfinite(centre).all(1) & np.isfinite(inverse).all((1, 2))
+            if known.any():
+                distance[known] = text_distance(x[known], centre[known], inverse[known], noise[known])
+            failed = batch.column("base_failed").to_numpy(zero_copy_only=False).astype(bool)
+            rest = {n: batch.column(n) for n in kept_columns}
+            kept = ~failed & ~(distance > limit)
+            yield pa.RecordBatch.from_pydict({**rest, "distance": pa.array(distance, mask=~known), "kept": pa.array(kept)})
+
+    return run
+
+
 def _inverted(scale: float):
     """From the moments of each group's core to centre and inverse covariance."""
     floors = np.diag([least**2 for _, least in FEATURES.values()])
@@ -194,8 +231,8 @@ def judge(
     base_failed: fewer than least_words words, or over most_repeated per cent of them in repeated three-word
     windows.  Others are compared with their (lang, source) group; groups of fewer than least_group such
     documents are pooled by language, and small pools with one another.  A document is kept if its distance,
-    shrunk for texts shorter than 400 words as ratios of few words scatter more, stays below the chi-squared
-    quantile at 1 - tail.  Null and empty texts have no words and fail; null languages and sources are groups
+    with each statistic's sampling error in that text as its least spread, stays below the chi-squared quantile
+    at 1 - tail.  Null and empty texts have no words and fail; null languages and sources are groups
     of their own; repeated rows are judged one by one; an empty table gives no rows.
     """
     given = df.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("\x02")).alias("lang"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\x02")).alias("source"))
@@ -220,7 +257,6 @@ def judge(
     named = found.join(small(names), ["lang", "source"], "left").join(small(params), "grp", "left")
     for i, (f, _) in enumerate(FEATURES.values()):
         named = named.withColumn(f"x{i}", F.when(F.col("base_failed"), F.lit(None)).otherwise(F.expr(f)))
-    shrink = F.least(F.lit(1.0), F.col("n_words") / 400)
-    return named.withColumn("distance", _distance() * shrink).select(
-        "doc_id", *STATISTICS, "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)).alias("kept")
-    )
+    names = ["doc_id", *STATISTICS, "base_failed"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.select(*names).schema) + ", distance double, kept boolean"
+    return named.mapInArrow(_measured(limit, names), schema)
