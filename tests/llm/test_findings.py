@@ -1,10 +1,12 @@
 """What a review found missing: short outliers, notices between windows, null and repeated ids."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.llm import quality_rules
+from varloom.llm import licenses, quality_rules
 
 WORDS = "the of and to in is was for over under lazy quick brown fox dog jumps house river stone cloud".split()
 
@@ -39,3 +41,26 @@ def test_text_distance_by_hand():
     want = sum(0.09 / (2 * s**2 + max(0.0, v - s**2)) for s, v in zip(least, noise, strict=True))
     got = quality_rules.text_distance(apart[None], np.zeros((1, n)), np.linalg.inv(cov)[None], noise[None])
     assert got[0] == pytest.approx(want)
+
+
+def test_notices_that_share_no_band_are_found(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "BANDS", 1)  # misses by chance are common then
+    rng, rows = np.random.default_rng(5), []
+    for i in range(60):
+        ahead, behind = (" ".join(f"{w}{rng.integers(1000)}" for w in rng.choice(WORDS, n)) for n in (20 + i % 4, 30))
+        rows.append((i, f"{ahead} Released under the MIT License {behind}"))
+    rows += [(100, "Licensed under nobody, then under CC of CC by many, by NC and NC 4 or 4 0"), (101, "released under, under the, the mit and mit license")]
+    known = licenses.templates(spark)
+    got = {(r.doc_id, r.license, round(r.containment, 6)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+
+    def pairs(text):
+        w = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+        return set(zip(w, w[1:], strict=False))
+
+    want = set()
+    for i, text in rows:
+        for name, template in licenses.TEMPLATES.items():
+            share = len(pairs(text) & pairs(template)) / len(pairs(template))
+            if share >= 0.8:
+                want.add((i, name, round(share, 6)))
+    assert len(want) >= 62 and got == want

@@ -2,10 +2,10 @@
 
 Texts become lower-case words; windows of `WINDOW` words start at every `STRIDE`-th word, and each is reduced to
 `BANDS` MinHash values of its word pairs, one a band.  Any band value shared with a window of a template retrieves
-that template.  A run of WINDOW + STRIDE - 1 template words holds a whole text window, equal to a template window,
-so it is always retrieved; a template of five words lies wholly in some text window, shares 4 of at least 7 word
-pairs with it and is missed with probability (3/7) ** BANDS, about 0.1 %.  Retrieved templates are verified
-exactly: the share of a template's distinct word pairs that the document holds.
+that template.  Short, changed or scattered notices may share no such value, so each template also has guards: as
+many of its word pairs as a document may lack, and one more.  A document that holds enough of a template holds one
+of its guards, so guards miss nothing.  They are compared in a band of their own, number `BANDS`.  Retrieved
+templates are verified exactly: the share of a template's distinct word pairs that the document holds.
 """
 
 from __future__ import annotations
@@ -50,14 +50,15 @@ def _pairs(words: str) -> Column:
     return F.when(F.size(words) > 1, F.array_compact(F.array_distinct(pairs))).otherwise(F.col(words))
 
 
-def _banded(df: DataFrame, stride: int) -> DataFrame:
+def _banded(df: DataFrame, stride: int, guarded: bool = False) -> DataFrame:
     """`first` (word number of a window) and its BANDS MinHash values, as rows (band, value), of rows with `words`.
 
-    Words are hashed once; the minima are taken over fixed columns, which stay in generated code.
+    guarded: the first `stride` word pairs of each window follow in band BANDS; windows start up to the last pair,
+    so that is every pair of the text once.  Words are hashed once; the minima are taken over fixed columns, which stay in generated code.
     """
     rest = [c for c in df.columns if c != "words"]
     hashed = df.select(*rest, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - WINDOW + stride - 1), F.lit(stride))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("h") - (2 if guarded else WINDOW - stride + 1)), F.lit(stride))
     windows = hashed.select(*rest, F.posexplode(F.transform(starts, lambda i: F.slice("h", i + 1, WINDOW))).alias("number", "w"))
     windows = windows.select(*rest, (F.col("number") * stride).alias("first"), *(F.get("w", F.lit(k)).alias(f"w{k}") for k in range(WINDOW)))
     windows = windows.where("w1 IS NOT NULL OR first = 0")
@@ -66,26 +67,39 @@ def _banded(df: DataFrame, stride: int) -> DataFrame:
     def least(seed: int) -> Column:
         return F.least(*(F.when(F.col(f"p{k}").isNotNull(), F.xxhash64(F.lit(seed), f"p{k}")) for k in range(WINDOW - 1)), F.lit(9223372036854775807))
 
-    values = pairs.select(*rest, "first", *(least(seed).alias(f"v{seed}") for seed in range(BANDS)))
-    return values.select(*rest, "first", F.posexplode(F.array(*(f"v{s}" for s in range(BANDS)))).alias("band", "value"))
+    own = [f"p{k}" for k in range(stride)] if guarded else []
+    values = pairs.select(*rest, "first", *own, *(least(seed).alias(f"v{seed}") for seed in range(BANDS)))
+    values = values.select(*rest, "first", F.posexplode(F.array(*(f"v{s}" for s in range(BANDS)), *own)).alias("band", "value"))
+    return values.withColumn("band", F.least("band", F.lit(BANDS))) if guarded else values
+
+
+def _guards(wanted: DataFrame, least: float) -> DataFrame:
+    """license, band and value of so many pairs of each template that a share `least` of its pairs holds one of them.
+
+    The longest are taken, as they are rarer in texts.  Templates of one word have none: their bands are equal.
+    """
+    pairs = wanted.where("size(words) > 1").select("license", F.array_sort(F.transform(_pairs("words"), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("pair")))).alias("pairs"))
+    enough = F.greatest(F.lit(1), F.ceil(F.size("pairs") * F.lit(least) - 1e-9)).cast("int")
+    each = pairs.select("license", F.explode(F.slice("pairs", F.lit(1), F.greatest(F.lit(1), F.size("pairs") - enough + 1))).alias("p")).select("license", F.split("p.pair", " ").alias("w"))
+    return each.select("license", F.lit(BANDS).alias("band"), F.xxhash64(F.xxhash64(F.col("w")[0]), F.xxhash64(F.col("w")[1])).alias("value"))
 
 
 def scan(df: DataFrame, known: DataFrame, least: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each template found in a document: doc_id, license, containment, n_pairs, first_word.
 
     containment: the share of the template's distinct word pairs (its only word, if it has one) that the document
-    holds; first_word: number of the first word of the first window that retrieved it.  known: license, text; its
+    holds; first_word: number of the first word of the first window that retrieved it (by a band or a guard).  known: license, text; its
     size is checked, and a large collection is joined by a shuffle instead of a broadcast.  Null and empty texts
     hold nothing; rows that share an id are one document with the union of their pairs; templates without
     words are never found; an empty table gives no rows.
     """
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
     wanted = written(known.select("license", words_of(F.col("text")).alias("words")).where("license IS NOT NULL AND words[0] != ''"), "license-templates")
-    bands = written(_banded(wanted, 1).select("license", "band", "value").distinct(), "license-bands")
+    bands = written(_banded(wanted, 1).select("license", "band", "value").unionByName(_guards(wanted, least)).distinct(), "license-bands")
     small = bands.count() <= 1 << 20
     bands = F.broadcast(bands) if small else bands
 
-    found = _banded(docs.select("doc_id", words_of(F.col("text")).alias("words")), STRIDE).join(bands, ["band", "value"]).groupBy("doc_id", "license").agg(F.min("first").cast("long").alias("first_word"))
+    found = _banded(docs.select("doc_id", words_of(F.col("text")).alias("words")), STRIDE, guarded=True).join(bands, ["band", "value"]).groupBy("doc_id", "license").agg(F.min("first").cast("long").alias("first_word"))
     found = written(found, "license-candidates")
 
     pairs = wanted.select("license", F.explode(_pairs("words")).alias("pair"))
