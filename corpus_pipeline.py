@@ -21,15 +21,26 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = quality_rules.judge(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Documents that the quality rules keep, row by row: null and repeated ids are judged on their own."""
+    return quality_rules.judge(docs, carry=True).where("kept").select("row.*")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, `row_key`, in order of doc_id (null last); written, so that it stays the same."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row_key")]
+    ranged = docs.withColumn("row_key", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of the range stands in the upper bits, so these ids are in order over the ranges too.
+    return written(ranged.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies (five-word shingles, similarity 0.8)."""
-    kept = near_copies.near_copies(docs, shingle=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The row with the smallest id of each group of near-copies (five-word shingles, similarity 0.8).
+
+    Each row is a document of its own: of copies that share an id one is kept, and rows without an id come last.
+    """
+    keyed = _keyed(docs)
+    kept = near_copies.near_copies(keyed, shingle=5, percent=80, doc_id="row_key").where("kept").select(F.col("doc_id").alias("row_key"))
+    return keyed.join(kept, "row_key", "left_semi").select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.llm import licenses, quality_rules
+import corpus_pipeline
+from varloom.llm import licenses, packing, quality_rules, token_store, wordtokens
 
 WORDS = "the of and to in is was for over under lazy quick brown fox dog jumps house river stone cloud".split()
 
@@ -64,3 +65,43 @@ def test_notices_that_share_no_band_are_found(spark, monkeypatch):
             if share >= 0.8:
                 want.add((i, name, round(share, 6)))
     assert len(want) >= 62 and got == want
+
+
+@pytest.fixture(scope="module")
+def loose(spark):
+    """Documents with null and repeated ids; each text names itself by its last word."""
+    texts = [lines_of(500 + i, 120) for i in range(90)]
+    rows = [(i, t) for i, t in enumerate(texts[:60])] + [(None, t) for t in texts[60:75]] + [(7, t) for t in texts[75:]]
+    rows += [(None, texts[3]), (5, texts[5]), (None, texts[61]), (7, junk_of(9, 120)), (None, junk_of(10, 120)), (None, "too short")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in rows]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), texts
+
+
+def test_quality_stage_judges_rows(spark, loose):
+    docs, texts = loose
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in corpus_pipeline.quality_stage(spark, docs, "").collect())
+    assert got == sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in docs.collect() if r.text in texts)
+
+
+def test_near_copies_stage_keeps_one_row_of_each(spark, loose):
+    docs, texts = loose
+    found = corpus_pipeline.near_copies_stage(spark, docs.where(F.col("text").isin(texts)), "")
+    assert found.columns == docs.columns
+    ids = [*range(60), *[None] * 15, *[7] * 15]
+    assert sorted((t.text, str(t.doc_id)) for t in found.collect()) == sorted(zip(texts, map(str, ids), strict=True))
+
+
+def test_later_stages_and_store_keep_all_rows(spark, loose, tmp_path):
+    docs, path = loose[0], wordtokens.default_path()
+    n = docs.count()
+    assert corpus_pipeline.repeats_stage(spark, docs, "").count() == n
+    assert corpus_pipeline.benchmark_stage(spark, docs, "/root/testdata/sf0.001").count() == n
+    packed = packing.pack(docs, path).agg(F.sum((F.col("start") == 0).cast("int")), F.sum("length")).first()
+    store = str(tmp_path / "tokens")
+    token_store.write_tokens(docs, store, path, block_ids=300)
+    index = token_store.read_index(spark, store).orderBy("start").collect()
+    ids = [r.doc_id for r in index]
+    assert ids == sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is None, i or 0)) and ids[-1] is None
+    assert tuple(packed) == (n, sum(r.n_tokens for r in index))
+    assert [r.start for r in index] == [sum(r.n_tokens for r in index[:k]) for k in range(n)]
+    assert token_store.read_ids(spark, store, spark.createDataFrame([(7,)], "doc_id long")).count() == 17

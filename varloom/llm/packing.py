@@ -79,7 +79,7 @@ def _fill(path: str, end_id: int, limit: int, keep_ids: bool):
         base, filled = (context.partitionId() if context else 0) << 33, 0
         for batch in batches:
             ids, bounds = wt.with_end(*tokenizer.encode(batch.column(1)), end_id)
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            docs = batch.column(0)
             place = bounds + filled  # in the range's stream of ids
             first, last = place[:-1] // limit, (place[1:] - 1) // limit
             n = last - first + 1
@@ -89,7 +89,7 @@ def _fill(path: str, end_id: int, limit: int, keep_ids: bool):
             end = np.minimum(place[row + 1], (sequence + 1) * limit)
             raw = memoryview(ids.astype("<u4").tobytes())
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((start - filled).tolist(), (end - filled).tolist(), strict=True)]
-            columns = [docs[row], start - place[row], end - start, pa.array(crc, pa.int64()), np.diff(bounds)[row], base + sequence, start - sequence * limit]
+            columns = [docs.take(pa.array(row)), start - place[row], end - start, pa.array(crc, pa.int64()), np.diff(bounds)[row], base + sequence, start - sequence * limit]
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if keep_ids:

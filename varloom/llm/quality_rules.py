@@ -225,6 +225,7 @@ def fit_groups(points: DataFrame, core: float = 0.75, steps: int = 3) -> DataFra
 def judge(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
     least_words: int = 50, most_repeated: int = 50, least_group: int = 50, tail: float = 1e-9, core: float = 0.75, steps: int = 3,
+    carry: bool = False,
 ) -> DataFrame:
     """One row a document: doc_id, the STATISTICS, base_failed, distance (squared, null if base_failed), kept.
 
@@ -233,11 +234,11 @@ def judge(
     documents are pooled by language, and small pools with one another.  A document is kept if its distance,
     with each statistic's sampling error in that text as its least spread, stays below the chi-squared quantile
     at 1 - tail.  Null and empty texts have no words and fail; null languages and sources are groups
-    of their own; repeated rows are judged one by one; an empty table gives no rows.
+    of their own; repeated rows are judged one by one; an empty table gives no rows.  carry: each row also brings
+    its row of df, as the struct `row`, so that no join by id is needed.
     """
-    given = df.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("\x02")).alias("lang"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\x02")).alias("source"))
-    id_type = dict(given.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, lang string, source string, " + ", ".join(f"{n} long" for n in STATISTICS)
+    given = df.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("\x02")).alias("lang"), F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("\x02")).alias("source"), *([F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")] if carry else []))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "text") + ", " + ", ".join(f"{n} long" for n in STATISTICS)
     found = written(given.mapInArrow(_statistics, schema), "statistics")
     found = found.withColumn("base_failed", F.expr(f"n_words < {least_words} OR 100 * n_repeat_words > {most_repeated} * n_words"))
     usable = found.where("NOT base_failed").select("doc_id", "lang", "source", "n_words", *(F.expr(f).alias(f"x{i}") for i, (f, _) in enumerate(FEATURES.values())))
@@ -257,6 +258,6 @@ def judge(
     named = found.join(small(names), ["lang", "source"], "left").join(small(params), "grp", "left")
     for i, (f, _) in enumerate(FEATURES.values()):
         named = named.withColumn(f"x{i}", F.when(F.col("base_failed"), F.lit(None)).otherwise(F.expr(f)))
-    names = ["doc_id", *STATISTICS, "base_failed"]
+    names = ["doc_id", *(["row"] if carry else []), *STATISTICS, "base_failed"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.select(*names).schema) + ", distance double, kept boolean"
     return named.mapInArrow(_measured(limit, names), schema)

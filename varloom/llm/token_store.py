@@ -6,11 +6,11 @@ each id in the fewest bits that the vocabulary needs, least significant bit firs
   part, block       the range of documents and the block's number in it; (part, block) gives file order
   first             ids of the part before this block
   n_ids, width      ids in the block, bits of each
-  low_id, high_id   smallest and largest doc_id; Parquet's statistics prune on them
-  doc_ids, ends     documents of the block and the end offset of each, in ids
+  low_id, high_id   smallest and largest doc_id (null if it has none); Parquet's statistics prune on them
+  doc_ids, ends     documents of the block (null: without an id) and the end offset of each, in ids
   payload           n_ids * width bits
 
-Documents are in ascending doc_id order over the parts.  Any span of ids is unpacked from its own bytes
+Documents are in ascending doc_id order over the parts, those without an id last.  Any span of ids is unpacked from its own bytes
 (`unpack_span`), so one document is read without unpacking its block.
 """
 
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -68,17 +69,19 @@ def _blocks(path: str, end_id: int, block_ids: int):
         block = first = 0
         for batch in batches:
             ids, bounds = wt.with_end(*tokenizer.encode(batch.column(1)), end_id)
-            docs = batch.column(0).to_numpy(zero_copy_only=False)
+            docs = batch.column(0)
             low = 0
             while low < len(docs):
                 high = min(len(docs), max(low + 1, int(np.searchsorted(bounds, bounds[low] + block_ids))))
                 a, b = int(bounds[low]), int(bounds[high])
+                own = docs.slice(low, high - low)
+                ends = pc.min_max(own)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "first": pa.array([first], pa.int64()),
                         "n_ids": pa.array([b - a], pa.int64()), "width": pa.array([width], pa.int32()),
-                        "low_id": pa.array([docs[low:high].min()], pa.int64()), "high_id": pa.array([docs[low:high].max()], pa.int64()),
-                        "doc_ids": pa.array([docs[low:high]], pa.list_(pa.int64())), "ends": pa.array([bounds[low + 1 : high + 1] - a], pa.list_(pa.int64())),
+                        "low_id": pa.array([ends["min"].as_py()], pa.int64()), "high_id": pa.array([ends["max"].as_py()], pa.int64()),
+                        "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own), "ends": pa.array([bounds[low + 1 : high + 1] - a], pa.list_(pa.int64())),
                         "payload": pa.array([pack(ids[a:b], width)], pa.binary()),
                     }
                 )
@@ -91,10 +94,13 @@ def write_tokens(df: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
     """Encode every text and write the packed blocks under `path`, in ascending doc_id order.
 
     Null and empty texts are documents of the end id alone.  Rows that share a doc_id are separate documents,
-    side by side; a row without doc_id cannot be addressed and raises.  An empty table gives an empty store.
+    side by side; those without a doc_id come last, and are listed by `read_index` but not found by `read_ids`.
+    A second key deals out the rows of one id, so that many of them do not meet in one task.  An empty table gives
+    an empty store.
     """
-    docs = docs_of(df, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.raise_error(F.lit("a document has no doc_id")).cast("long")))
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    docs = docs_of(df, doc_id, text).withColumn("place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_last(), F.col("place")]
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(_blocks(tokenizer_path, end_id, block_ids), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
