@@ -11,13 +11,8 @@ def bit_length(value: Column) -> Column:
     return F.when(value > 0, F.length(F.bin(value))).otherwise(F.lit(0))
 
 
-def fixed_bits(value: Column, width: Column) -> Column:
-    """`width` binary digits of a number, the empty string for width 0."""
-    return F.when(width > 0, F.lpad(F.bin(value), width.cast("int"), F.lit("0"))).otherwise(F.lit(""))
-
-
 def bits_to_hex(bits: Column) -> Column:
-    """Lower-case hexadecimal bytes of a bit string, filled up with zeros to whole bytes."""
+    """Lower-case hexadecimal bytes of a short bit string, filled up with zeros to whole bytes."""
     nibbles = F.transform(F.sequence(F.lit(0), F.ceil(F.length(bits) / 8).cast("int") * 2 - 1), lambda i: F.lower(F.conv(F.rpad(F.substring(bits, i * 4 + 1, F.lit(4)), 4, "0"), 2, 16)))
     return F.when(F.length(bits) > 0, F.array_join(nibbles, "")).otherwise(F.lit(""))
 

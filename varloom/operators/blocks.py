@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.bits import bit_length
@@ -21,15 +21,35 @@ def index(cells: DataFrame) -> DataFrame:
     return cells.groupBy("block_id").agg(F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"), F.count_distinct("v").alias("n_variants"), F.max("k").alias("last_copy"))
 
 
+def replacements(found: DataFrame) -> DataFrame:
+    """missing_rep, absent_rep and depth (bits) from max_allele, any_missing and any_absent."""
+    missing = F.when(F.col("any_missing") == 1, F.col("max_allele") + 1)
+    found = found.withColumn("missing_rep", missing)
+    found = found.withColumn("absent_rep", F.when(F.col("any_absent") == 1, F.coalesce("missing_rep", "max_allele") + 1))
+    return found.withColumn("depth", bit_length(F.coalesce("absent_rep", "missing_rep", "max_allele")))
+
+
 def statistics(cells: DataFrame) -> DataFrame:
     """Per block: largest allele, missing and absent marks, their replacement values and the depth in bits."""
     found = cells.groupBy("block_id").agg(
         F.coalesce(F.max(F.when(F.col("allele") >= 0, F.col("allele"))), F.lit(-1)).alias("max_allele"), F.max((F.col("allele") == -1).cast("int")).alias("any_missing"), F.max((F.col("allele") == -2).cast("int")).alias("any_absent")
     )
-    missing = F.when(F.col("any_missing") == 1, F.col("max_allele") + 1)
-    found = found.withColumn("missing_rep", missing)
-    found = found.withColumn("absent_rep", F.when(F.col("any_absent") == 1, F.coalesce("missing_rep", "max_allele") + 1))
-    return found.withColumn("depth", bit_length(F.coalesce("absent_rep", "missing_rep", "max_allele")))
+    return replacements(found)
+
+
+def facts(rows: DataFrame) -> DataFrame:
+    """One row a block of variant rows: contig, positions, sizes, replacement values, depth and phase (-1: they differ)."""
+    n = (F.size("alleles") / F.col("ploidy")).cast("long")
+    found = rows.groupBy("block_id").agg(
+        F.min("contig").alias("contig"), F.max("contig").alias("last_contig"), F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"), F.min("v").alias("first_v"), F.count("*").alias("n_rows"), F.min(n).alias("n_samples"),
+        F.max(n).alias("most_samples"), F.max("ploidy").alias("ploidy"), F.greatest(F.max(F.array_max("alleles")), F.lit(-1)).alias("max_allele"), F.max(F.array_contains("alleles", -1).cast("int")).alias("any_missing"),
+        F.max(F.array_contains("alleles", -2).cast("int")).alias("any_absent"), F.coalesce(F.min(F.array_min("phases")), F.lit(0)).alias("low"), F.coalesce(F.max(F.array_max("phases")), F.lit(0)).alias("high"),
+        (F.max(F.col("v") - F.col("row_in_block")) - F.min(F.col("v") - F.col("row_in_block")) + F.max("row_in_block") + 1).alias("dense_rows"),
+    )
+    alike = (F.col("contig") == F.col("last_contig")) & (F.col("n_samples") == F.col("most_samples")) & (F.col("dense_rows") == F.col("n_rows"))
+    found = found.withColumn("n_samples", F.when(alike, F.col("n_samples")).otherwise(F.raise_error(F.concat(F.lit("block of several contigs or sample counts, or with gaps: "), F.col("block_id"))).cast("long")))
+    found = found.withColumn("phase", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).cast("int"))
+    return replacements(found).drop("last_contig", "most_samples", "low", "high", "dense_rows")
 
 
 def phase_uniformity(cells: DataFrame) -> DataFrame:
@@ -39,27 +59,50 @@ def phase_uniformity(cells: DataFrame) -> DataFrame:
 
 
 def parameters(cells: DataFrame) -> DataFrame:
-    """The parameter key of each block."""
+    """The parameter key of each block of cells."""
     found = statistics(cells).join(phase_uniformity(cells), "block_id")
     return found.select("block_id", "any_missing", "any_absent", "depth", F.coalesce("phase_value", F.lit(-1)).alias("phase"))
 
 
-def parameter_sets(cells: DataFrame) -> DataFrame:
-    """Distinct parameter keys, numbered in the order of their first block.  There are few: keys have four small fields."""
-    key = ["any_missing", "any_absent", "depth", "phase"]
-    found = parameters(cells).groupBy(*key).agg(F.min("block_id").alias("first_block"), F.count("*").alias("n_blocks"))
-    return found.withColumn("set_id", F.row_number().over(Window.orderBy("first_block")) - 1)
+KEY = ("any_missing", "any_absent", "depth", "phase")
+
+
+def number_sets(found: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Distinct keys of blocks, numbered in the order of their first block.  There are few: keys have small fields."""
+    sets = found.groupBy(*key).agg(F.min("block_id").alias("first_block"), F.count("*").alias("n_blocks"))
+    return sets.withColumn("set_id", F.row_number().over(Window.orderBy("first_block")) - 1)
+
+
+#: Blocks whose running sums one task takes.
+SPAN = 1 << 16
+
+
+def _running(df: DataFrame, value: Column, into: str) -> DataFrame:
+    """Running sums in the order of block_id: within spans of blocks, then over the spans' totals, one row each."""
+    df = df.withColumn("_span", F.floor(F.col("block_id") / SPAN)).withColumn("_value", value.cast("long"))
+    totals = df.groupBy("_span").agg(F.sum("_value").alias("_total"))
+    ahead = totals.select("_span", (F.sum("_total").over(Window.orderBy("_span")) - F.col("_total")).alias("_ahead"))
+    inner = df.withColumn(into, F.sum("_value").over(Window.partitionBy("_span").orderBy("block_id")))
+    return inner.join(ahead, "_span").withColumn(into, F.col(into) + F.col("_ahead")).drop("_span", "_value", "_ahead")
 
 
-def access_units(cells: DataFrame, limit: int = UNIT_BLOCKS) -> DataFrame:
-    """au_id of each block: a new unit where the parameter set changes or the unit is full.
+def number_units(named: DataFrame, limit: int = UNIT_BLOCKS) -> DataFrame:
+    """au_id of each block of named(block_id, set_id): a new unit where the set changes or the unit is full.
 
-    The window runs over one row a block.
+    All windows run over a bounded span of blocks, or over one row a span; a run of equal sets may be of any length.
     """
-    key = ["any_missing", "any_absent", "depth", "phase"]
-    named = parameters(cells).join(F.broadcast(parameter_sets(cells).select(*key, "set_id")), key).select("block_id", "set_id")
-    order = Window.orderBy("block_id")
-    runs = named.withColumn("new", F.coalesce((F.lag("set_id").over(order) != F.col("set_id")).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(order))
-    placed = runs.withColumn("place", F.row_number().over(Window.partitionBy("run").orderBy("block_id")) - 1)
-    starts = (F.col("place") % limit == 0).cast("int")
-    return placed.withColumn("starts", starts).select("block_id", "set_id", (F.sum("starts").over(order) - 1).alias("au_id"))
+    spans = named.groupBy(F.floor(F.col("block_id") / SPAN).alias("_span")).agg(F.max_by("set_id", "block_id").alias("_last"))
+    spans = spans.select("_span", F.lag("_last").over(Window.orderBy("_span")).alias("_before"))
+    placed = named.withColumn("_span", F.floor(F.col("block_id") / SPAN)).join(spans, "_span")
+    before = F.coalesce(F.lag("set_id").over(Window.partitionBy("_span").orderBy("block_id")), F.col("_before"))
+    placed = placed.withColumn("_new", F.coalesce((before != F.col("set_id")).cast("int"), F.lit(1))).drop("_span", "_before")
+    placed = _running(_running(placed, F.col("_new"), "_run"), F.lit(1), "_at")
+    starts = placed.groupBy("_run").agg(F.min("_at").alias("_start"))
+    placed = placed.join(starts, "_run").select("block_id", "set_id", ((F.col("_at") - F.col("_start")) % limit == 0).cast("int").alias("_starts"))
+    return _running(placed, F.col("_starts"), "au_id").select("block_id", "set_id", (F.col("au_id") - 1).alias("au_id"))
+
+
+def access_units(parameters_: DataFrame, limit: int = UNIT_BLOCKS) -> DataFrame:
+    """block_id, set_id and au_id of blocks with their parameter keys (`parameters`, `facts`)."""
+    sets = F.broadcast(number_sets(parameters_).select(*KEY, "set_id"))  # small: the keys' fields have few values
+    return number_units(parameters_.join(sets, list(KEY)).select("block_id", "set_id"), limit)

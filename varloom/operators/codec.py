@@ -1,43 +1,66 @@
-"""Byte forms: permutations, bit-length vectors, parameter sets, packed matrices and their sizes."""
+"""Byte forms as rows: permutations, bit-length vectors, parameter sets, packed planes and their sizes."""
 
 from __future__ import annotations
 
-import bz2
-import lzma
-import zlib
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions.bits import bit_length, bits_to_hex, fixed_bits, number_hex
+from varloom.functions import bitpack
+from varloom.functions.bits import bits_to_hex, number_hex
+from varloom.operators.matrices import CODECS
 
-#: Byte codecs by name: encode and decode; add one here to use it.
-CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
-    "raw": (bytes, bytes), "zlib": (zlib.compress, zlib.decompress), "lzma": (lzma.compress, lzma.decompress), "bz2": (bz2.compress, bz2.decompress),
-}
+
+def _hex(raw: str | Column) -> Column:
+    return F.lower(F.hex(raw))
 
 
 def permutation_hex(order: DataFrame) -> DataFrame:
     """Each block's permutation: every id in the fewest bits for their number, in order of steps."""
-    found = order.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("step", "id"))).alias("ids"))
-    width = bit_length(F.size("ids") - 1)
-    return found.select("block_id", bits_to_hex(F.array_join(F.transform("ids", lambda x: fixed_bits(x["id"], width)), "")).alias("hex"))
+    found = order.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "id"))), lambda x: x["id"]).alias("ids"))
+
+    @F.pandas_udf("binary")
+    def run(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: bitpack.permutation_bytes(np.asarray(x)))
+
+    return found.select("block_id", _hex(run("ids")).alias("hex"))
+
 
+def permutation_ids(packed: DataFrame) -> DataFrame:
+    """block_id, step and id of packed(block_id, n, hex) again."""
 
-def permutation_ids(bits: Column, n: Column) -> Column:
-    """The ids of a permutation from its bit string."""
-    width = bit_length(n - 1).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(width > 0, F.conv(F.substring(bits, i * width + 1, width), 2, 10).cast("long")).otherwise(F.lit(0).cast("long")))
+    @F.pandas_udf("array<long>")
+    def run(raw: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([bitpack.permutation_of(bytes(r), k) for r, k in zip(raw, n, strict=True)])
+
+    found = packed.select("block_id", F.posexplode(run(F.unhex("hex"), "n")).alias("step", "id"))
+    return found.withColumn("step", F.col("step").cast("long"))
 
 
 def lengths_hex(rows: DataFrame) -> DataFrame:
     """Each block's row bit counts: their number, the bits of an entry, then 0 for one or 1 and the count less two."""
-    found = rows.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("row_in_block", "bits"))).alias("rows"), F.max("bits").alias("most"))
-    width = F.when(F.col("most") > 1, bit_length(F.col("most") - 2)).otherwise(F.lit(0))
-    entries = F.transform("rows", lambda x: F.when(x["bits"] == 1, F.lit("0")).otherwise(F.concat(F.lit("1"), fixed_bits(x["bits"] - 2, width))))
-    return found.select("block_id", F.concat(number_hex(F.size("rows"), 4), number_hex(width, 1), bits_to_hex(F.array_join(entries, ""))).alias("hex"))
+    found = rows.groupBy("block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_in_block", "bits"))), lambda x: x["bits"]).alias("bits"))
+
+    @F.pandas_udf("binary")
+    def run(bits: pd.Series) -> pd.Series:
+        return bits.map(lambda x: bitpack.lengths_bytes(np.asarray(x)))
+
+    return found.select("block_id", _hex(run("bits")).alias("hex"))
+
+
+def lengths_rows(packed: DataFrame) -> DataFrame:
+    """block_id, row_in_block, bits and first_row of the bit counts of blocks again."""
+
+    @F.pandas_udf("array<struct<bits:long,first_row:long>>")
+    def run(raw: pd.Series) -> pd.Series:
+        found = (bitpack.lengths_of(bytes(r)) for r in raw)
+        return pd.Series([[{"bits": b, "first_row": f} for b, f in zip(x.tolist(), (np.cumsum(x) - x).tolist(), strict=True)] for x in found])
+
+    found = packed.select("block_id", F.posexplode(run(F.unhex("hex"))).alias("row_in_block", "x"))
+    return found.select("block_id", F.col("row_in_block").cast("long").alias("row_in_block"), "x.bits", "x.first_row")
 
 
 def parameter_hex(sets: DataFrame, ploidy: int = 2) -> DataFrame:
@@ -52,19 +75,28 @@ def parameter_hex(sets: DataFrame, ploidy: int = 2) -> DataFrame:
     return sets.select("set_id", F.concat(F.lit("00"), number_hex(5 + F.length(content) / 2, 4), content).alias("hex"))
 
 
-def packed_matrices(planes: DataFrame) -> DataFrame:
-    """block_id, plane, n_rows, n_cols and hex of each plane, row by row."""
-    rows = planes.groupBy("block_id", "plane", "row_in_block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_id", "bit"))), lambda c: c["bit"].cast("string")), "").alias("bits"))
-    found = rows.groupBy("block_id", "plane").agg(F.array_sort(F.collect_list(F.struct("row_in_block", "bits"))).alias("rows"))
-    joined = F.array_join(F.transform("rows", lambda r: r["bits"]), "")
-    return found.select("block_id", "plane", F.size("rows").cast("long").alias("n_rows"), F.length(F.element_at("rows", 1)["bits"]).cast("long").alias("n_cols"), bits_to_hex(joined).alias("hex"))
+def packed_planes(rows: DataFrame) -> DataFrame:
+    """block_id, plane, n_rows, n_cols and hex of each bit plane of recoded rows(block_id, id, x, depth), row by row."""
 
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(frame.sort_values("id")["x"].to_numpy())
+        planes = [bitpack.matrix_bytes((x >> b) & 1) for b in range(max(1, int(frame["depth"].iloc[0])))]
+        return pd.DataFrame({"block_id": frame["block_id"].iloc[0], "plane": range(len(planes)), "n_rows": x.shape[0], "n_cols": x.shape[1], "raw": planes})
 
-def unpacked_matrices(packed: DataFrame) -> DataFrame:
+    found = rows.groupBy("block_id").applyInPandas(run, "block_id long, plane int, n_rows long, n_cols long, raw binary")
+    return found.select("block_id", "plane", "n_rows", "n_cols", _hex("raw").alias("hex"))
+
+
+def unpacked_planes(packed: DataFrame) -> DataFrame:
     """block_id, plane, row_in_block, col_id and bit again."""
-    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.length("hex")), lambda i: F.lpad(F.conv(F.substring("hex", i, F.lit(1)), 16, 2), 4, "0")), "")
-    each = packed.withColumn("bits", digits).select("block_id", "plane", "n_cols", F.posexplode(F.split(F.expr("left(bits, n_rows * n_cols)"), "")).alias("at", "bit")).where("bit != ''")
-    return each.select("block_id", "plane", F.floor(F.col("at") / F.col("n_cols")).alias("row_in_block"), (F.col("at") % F.col("n_cols")).alias("col_id"), F.col("bit").cast("int").alias("bit"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                bits = bitpack.matrix_of(bytes(r.raw), r.n_rows, r.n_cols)
+                yield pd.DataFrame({"block_id": r.block_id, "plane": r.plane, "row_in_block": np.repeat(np.arange(r.n_rows), r.n_cols), "col_id": np.tile(np.arange(r.n_cols), r.n_rows), "bit": bits.ravel()})
+
+    return packed.select("block_id", "plane", "n_rows", "n_cols", F.unhex("hex").alias("raw")).mapInPandas(run, "block_id long, plane int, row_in_block long, col_id long, bit int")
 
 
 def coded(packed: DataFrame, codec: str = "zlib") -> DataFrame:

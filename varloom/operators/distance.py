@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def _differs(a: str, b: str) -> Column:
 
 
 def hamming(a: str, b: str) -> Column:
-    """Positions that differ."""
+    """Positions that differ, of two array columns."""
     return F.aggregate(_differs(a, b), F.lit(0), lambda n, d: n + d).cast("long")
 
 
@@ -30,14 +32,76 @@ def run_length(a: str, b: str, parity: bool = False) -> Column:
     return runs.cast("long")
 
 
-DISTANCES = {"ham": hamming, "ham_rl": run_length}
+def _equal(codes: np.ndarray) -> np.ndarray:
+    """At how many positions each two rows are equal: a product of matrices for each value."""
+    total = np.zeros((len(codes), len(codes)), np.float32)
+    for value in np.unique(codes):
+        one = (codes == value).astype(np.float32)
+        total += one @ one.T
+    return total.astype(np.int64)
 
 
-def pairs(found: DataFrame, distance: str = "ham") -> DataFrame:
-    """block_id, i < j and the distance of all pairs of vectors of a block; register more kinds in DISTANCES."""
-    one = found.select("block_id", F.col("id").alias("i"), F.col("x").alias("xi"))
-    two = found.select("block_id", F.col("id").alias("j"), F.col("x").alias("xj"))
-    return one.join(two, "block_id").where("i < j").select("block_id", "i", "j", DISTANCES[distance]("xi", "xj").alias("distance"))
+def _ham(x: np.ndarray) -> np.ndarray:
+    return x.shape[1] - _equal(x)
+
+
+def _ham_runs(x: np.ndarray) -> np.ndarray:
+    """A run starts where a position differs and the one before does not, so single and adjacent equal positions give its count."""
+    value = np.unique(x, return_inverse=True)[1].reshape(x.shape)
+    edges = sum((value[:, k][:, None] == value[:, k]).astype(np.int64) for k in (0, -1))
+    return 1 + _equal(value) - edges - _equal(value[:, 1:] * (int(value.max()) + 1) + value[:, :-1])
+
+
+def _ham_runs_parity(x: np.ndarray) -> np.ndarray:
+    """As `_ham_runs`, but a single difference at the first position counts 0."""
+    first = x[:, 0][:, None] != x[:, 0]
+    return np.where(first & (_ham(x) == 1), 0, _ham_runs(x))
+
+
+#: Distances of all rows of a matrix by name; add one here to use it.
+KINDS = {"ham": _ham, "ham_rl": _ham_runs, "ham_rl_parity": _ham_runs_parity}
+
+
+def matrix(x: np.ndarray, kind: str = "ham") -> np.ndarray:
+    """Distances of each row of x to each other (the cost matrix); at most 2**24 positions, where products stay exact."""
+    return KINDS[kind](np.asarray(x))
+
+
+def stacked(frame: pd.DataFrame, columns: bool) -> tuple[np.ndarray, np.ndarray]:
+    """ids and vectors of a block's rows, or of their columns, which are numbered from 0."""
+    frame = frame.sort_values("id")
+    x = np.stack(frame["x"].to_numpy())
+    return (np.arange(x.shape[1]), x.T) if columns else (frame["id"].to_numpy(), x)
+
+
+def pairs(found: DataFrame, kind: str = "ham", columns: bool = False) -> DataFrame:
+    """block_id, i < j and the distance of all pairs of rows (or columns) of a block; its size bounds their number."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, x = stacked(frame, columns)
+        cost = matrix(x, kind)
+        i, j = np.triu_indices(len(ids), 1)
+        return pd.DataFrame({"block_id": frame["block_id"].iloc[0], "i": ids[i], "j": ids[j], "distance": cost[i, j]})
+
+    return found.groupBy("block_id").applyInPandas(run, "block_id long, i long, j long, distance long")
+
+
+def nearest(found: DataFrame, kind: str = "ham", columns: bool = False) -> DataFrame:
+    """block_id, id, nearest (lowest on ties), distance to it and total, the sum of all distances, of each row or column of a block.
+
+    A block of one vector has no row.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        ids, x = stacked(frame, columns)
+        cost = matrix(x, kind)
+        total = cost.sum(1)
+        np.fill_diagonal(cost, np.iinfo(np.int64).max)
+        at = cost.argmin(1)
+        made = pd.DataFrame({"block_id": frame["block_id"].iloc[0], "id": ids, "nearest": ids[at], "distance": cost[np.arange(len(ids)), at], "total": total})
+        return made if len(ids) > 1 else made.iloc[:0]
+
+    return found.groupBy("block_id").applyInPandas(run, "block_id long, id long, nearest long, distance long, total long")
 
 
 def cost_matrix(half: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def flatten(cells: DataFrame, order: str = "sample", samples: int = 16, ploidy: int = 2) -> DataFrame:
-    """col_id of each cell: sample-major (s0k0, s0k1, s1k0, ...) or allele-major (s0k0, s1k0, ..., s0k1, ...)."""
+def flatten(cells: DataFrame, order: str = "sample", samples: int | None = None, ploidy: int = 2) -> DataFrame:
+    """col_id of each cell: sample-major (s0k0, s0k1, s1k0, ...) or allele-major (s0k0, s1k0, ..., s0k1, ...; needs `samples`)."""
     if order not in ("sample", "allele"):
         raise ValueError(f"unknown order: {order}")
-    col = F.col("s") * ploidy + F.col("k") if order == "sample" else F.col("k") * samples + F.col("s")
+    if order == "allele" and samples is None:
+        raise ValueError("the allele-major order needs the number of samples")
+    col = F.col("s") * ploidy + F.col("k") if order == "sample" else F.col("k") * F.lit(samples) + F.col("s")
     return cells.withColumn("col_id", col.cast("long"))
 
 
@@ -24,6 +26,41 @@ def transpose(matrix: DataFrame) -> DataFrame:
     return matrix.select(*(F.col(c).alias(turned.get(c, c)) for c in matrix.columns))
 
 
+def _filled(places: Column, value: str, width: Column, empty: int) -> Column:
+    """Values of an ordered array of structs with the place `c`, with `empty` in the places that are not there."""
+    before = lambda i: F.coalesce(F.get(places, i - 1)["c"], F.lit(-1))
+    gaps = F.transform(places, lambda x, i: F.concat(F.array_repeat(F.lit(empty), (x["c"] - before(i) - 1).cast("int")), F.array(x[value])))
+    last = F.coalesce(F.get(places, F.size(places) - 1)["c"], F.lit(-1))
+    return F.concat(F.flatten(gaps), F.array_repeat(F.lit(empty), (width - last - 1).cast("int")))
+
+
+def rows(cells: DataFrame, samples: int) -> DataFrame:
+    """One row a variant: v, contig, pos, block_id, row_in_block, ploidy (of the block), alleles and phases, sample-major.
+
+    Cells that are not there are absent copies.  A second cell in one place, or a sample beyond `samples`, raises.
+    """
+    if "contig" not in cells.columns:
+        cells = cells.withColumn("contig", F.lit("1"))
+    made = cells.groupBy("block_id", "row_in_block", "v", "contig", "pos").agg(F.array_sort(F.collect_list(F.struct("s", "k", "allele", "phased"))).alias("copies"), F.max("k").alias("last"))
+    ploidy = made.groupBy("block_id").agg((F.max("last") + 1).cast("int").alias("ploidy"))
+    made = made.join(ploidy, "block_id")
+    p = F.col("ploidy")
+    alleles = F.transform("copies", lambda x: F.struct((x["s"] * p + x["k"]).cast("long").alias("c"), x["allele"].cast("int").alias("x")))
+    phases = F.transform(F.filter("copies", lambda x: x["k"] > 0), lambda x: F.struct((x["s"] * (p - 1) + x["k"] - 1).cast("long").alias("c"), x["phased"].cast("int").alias("x")))
+    found = made.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", _filled(alleles, "x", p * samples, -2).alias("alleles"), _filled(phases, "x", (p - 1) * samples, 0).alias("phases"))
+    whole = (F.size("alleles") == F.col("ploidy") * samples) & (F.size("phases") == (F.col("ploidy") - 1) * samples)
+    return found.withColumn("alleles", F.when(whole, F.col("alleles")).otherwise(F.raise_error(F.lit("cells collide or lie outside of the samples")).cast("array<int>")))
+
+
+def cells(rows_: DataFrame) -> DataFrame:
+    """The cells of variant rows, one for each sample and copy; the first copy has the mark of the second, or 0."""
+    p = F.col("ploidy")
+    each = rows_.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", "phases", F.posexplode("alleles").alias("at", "allele"))
+    s, k = F.floor(F.col("at") / p), F.col("at") % p
+    mark = F.get("phases", (s * (p - 1) + F.greatest(k - 1, F.lit(0))).cast("int"))
+    return each.select("v", s.alias("s"), k.cast("int").alias("k"), "block_id", "row_in_block", "pos", "contig", "allele", F.when(p > 1, mark).otherwise(0).cast("int").alias("phased"))
+
+
 def concatenate(planes: DataFrame, axis: int, rows: int, columns: int) -> DataFrame:
     """Planes of a block side by side: 0 stacks rows, 1 columns, 2 keeps them apart.
 

@@ -28,6 +28,39 @@ def genotypes(cells: DataFrame) -> DataFrame:
     return found.select("v", "pos", "s", genotype(F.col("copies")).alias("gt"))
 
 
+def genotype_of(alleles: Column, phases: Column) -> Column:
+    """Text of one sample's array of alleles and the marks between them; it ends at the first absent allele."""
+    absent = F.array_position(alleles, -2).cast("int")
+    there = F.slice(alleles, 1, F.when(absent > 0, absent - 1).otherwise(F.size(alleles)))
+    mark = lambda k: F.when(k == 0, "").when(F.get(phases, k - 1) == 1, "|").otherwise("/")
+    return F.array_join(F.transform(there, lambda a, k: F.concat(mark(k), F.when(a == -1, ".").otherwise(a.cast("string")))), "")
+
+
+def row_genotypes(rows: DataFrame) -> DataFrame:
+    """v, contig, pos and gts, the texts of all samples, of variant rows."""
+    p = F.col("ploidy")
+    each = F.transform(F.sequence(F.lit(0), (F.size("alleles") / p).cast("int") - 1), lambda s: genotype_of(F.slice("alleles", s * p + 1, p), F.slice("phases", s * (p - 1) + 1, p - 1)))
+    return rows.select("v", "contig", "pos", F.when(F.size("alleles") > 0, each).otherwise(F.array().cast("array<string>")).alias("gts"))
+
+
+def parsed_rows(variants: DataFrame) -> DataFrame:
+    """v, contig, pos, block_id, row_in_block, ploidy, alleles and phases of variants with gt, an array of genotype texts.
+
+    A block has the ploidy of its longest genotype; others are filled up with absent copies.  Anything but numbers and
+    dots raises.
+    """
+    allele = lambda x: F.when(x == ".", -1).when(x == "", -2).otherwise(x.cast("int"))
+    values = F.transform("gt", lambda g: F.transform(F.split(g, r"[/|]"), allele))
+    marks = F.transform("gt", lambda g: F.transform(F.regexp_extract_all(g, F.lit("([/|])"), 1), lambda m: (m == "|").cast("int")))
+    found = variants.select("v", "contig", "pos", "block_id", "row_in_block", values.alias("values"), marks.alias("marks"))
+    most = F.array_max(F.transform("values", F.size))
+    p = F.col("ploidy")
+    found = found.join(found.groupBy("block_id").agg(F.max(most).alias("ploidy")), "block_id")
+    alleles = F.flatten(F.transform("values", lambda a: F.concat(a, F.array_repeat(F.lit(-2), p - F.size(a)))))
+    phases = F.flatten(F.transform("marks", lambda m: F.concat(m, F.array_repeat(F.lit(0), p - 1 - F.size(m)))))
+    return found.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", alleles.alias("alleles"), phases.alias("phases"))
+
+
 def lines(genotypes_: DataFrame) -> DataFrame:
     """One TAB-separated line a variant, samples in order."""
     found = genotypes_.groupBy("v", "pos").agg(F.array_sort(F.collect_list(F.struct("s", "gt"))).alias("gts"))

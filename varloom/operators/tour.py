@@ -9,31 +9,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varloom.operators import distance
 
-def nearest(x: np.ndarray, start: int = 0) -> np.ndarray:
-    """From `start` always to the nearest unvisited vector; ties go to the lowest number."""
-    left, order = np.ones(len(x), bool), [start]
-    left[start] = False
-    while left.any():
-        d = (x != x[order[-1]]).sum(1)
-        d[~left] = x.shape[1] + 1
-        order.append(int(d.argmin()))
-        left[order[-1]] = False
+
+def nearest(cost: np.ndarray, start: int = 0) -> np.ndarray:
+    """From `start` always to the nearest unvisited vector, by a matrix of distances; ties go to the lowest number."""
+    far = np.iinfo(np.int64).max
+    cost, order = cost.astype(np.int64), [start]
+    for _ in range(len(cost) - 1):
+        cost[:, order[-1]] = far
+        order.append(int(cost[order[-1]].argmin()))
     return np.array(order)
 
 
-#: Solvers by name; add one here to use it.
+#: Solvers by name, from a matrix of distances to an order; add one here to use it.
 SOLVERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"nn": nearest}
 
 
-def tour(vectors: DataFrame, solver: str = "nn") -> DataFrame:
-    """block_id, step and id: the order in which a block's vectors are visited.  A block is one group, bounded by its size."""
+def tour(vectors: DataFrame, solver: str = "nn", kind: str = "ham", columns: bool = False) -> DataFrame:
+    """block_id, step and id: the order in which a block's rows (or columns) are visited.  A block is one group, bounded by its size."""
     solve = SOLVERS[solver]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        order = solve(np.stack(frame["x"].to_numpy()))
-        return pd.DataFrame({"block_id": frame["block_id"].iloc[0], "step": np.arange(len(order), dtype=np.int64), "id": frame["id"].to_numpy()[order]})
+        ids, x = distance.stacked(frame, columns)
+        order = solve(distance.matrix(x, kind))
+        return pd.DataFrame({"block_id": frame["block_id"].iloc[0], "step": np.arange(len(order), dtype=np.int64), "id": ids[order]})
 
     return vectors.groupBy("block_id").applyInPandas(run, "block_id long, step long, id long")
 

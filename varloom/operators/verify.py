@@ -19,3 +19,18 @@ def summary(left: DataFrame, right: DataFrame) -> DataFrame:
     b = right.select("v", "s", "k", F.col("allele").alias("right_allele"))
     both = a.join(b, ["v", "s", "k"], "full")
     return both.agg(F.count("left_allele").alias("n_left"), F.count("right_allele").alias("n_right"), F.sum((~F.col("left_allele").eqNullSafe(F.col("right_allele"))).cast("long")).alias("n_differ"))
+
+
+def row_summary(left: DataFrame, right: DataFrame) -> DataFrame:
+    """As `summary`, of variant rows: their arrays of alleles meet once a variant."""
+    a, b = (df.select("v", F.col("alleles").alias(side)) for df, side in ((left, "l"), (right, "r")))
+    n = lambda side: F.coalesce(F.size(side), F.lit(0)).cast("long")
+    differ = F.size(F.filter(F.zip_with(F.coalesce("l", F.array().cast("array<int>")), F.coalesce("r", F.array().cast("array<int>")), lambda x, y: ~x.eqNullSafe(y)), lambda d: d)).cast("long")
+    found = a.join(b, "v", "full").select(n("l").alias("l"), n("r").alias("r"), differ.alias("d"))
+    return found.agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"), F.sum("d").alias("n_differ"))
+
+
+def line_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """v and both lines of variants whose lines differ, or which only one side has."""
+    a, b = (df.select("v", F.col("line").alias(f"{side}_line")) for df, side in ((left, "left"), (right, "right")))
+    return a.join(b, "v", "full").where(~F.col("left_line").eqNullSafe(F.col("right_line")))

@@ -2,40 +2,56 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from varloom.operators import access, text, verify
+from varloom.operators import access, layout, text, verify
+from varloom.operators.matrices import EncodeOptions
 from varloom.sources import store, vcf
 
-
-@dataclass(frozen=True)
-class EncodeOptions:
-    block_size: int = 1024
-    coder: str = "zlib"
-    ploidy: int = 2
+__all__ = ["EncodeOptions", "Engine"]
 
 
 class Engine:
     def __init__(self, spark: SparkSession, options: EncodeOptions | None = None):
         self.spark, self.options = spark, options or EncodeOptions()
 
-    def encode(self, cells: DataFrame, path: str) -> None:
-        store.write(cells, path, self.options.ploidy, self.options.coder)
+    def encode(self, cells: DataFrame, path: str, names: DataFrame | None = None) -> None:
+        """Encode a table of cells; its samples are numbered from 0."""
+        samples = cells.agg(F.max("s")).first()[0]
+        store.write(layout.rows(cells, 0 if samples is None else samples + 1), path, self.options, names)
 
-    def encode_vcf(self, source: str, path: str) -> None:
-        self.encode(vcf.cells_of(vcf.read_variants(self.spark, source), self.options.block_size), path)
+    def encode_rows(self, rows: DataFrame, path: str, names: DataFrame | None = None) -> None:
+        store.write(rows, path, self.options, names)
 
-    def decode(self, path: str, pos: tuple[int, int] | None = None, samples: list[str] | None = None, unknown: str = "raise") -> DataFrame:
-        """v, pos, s and gt; s is the place in `samples` where they are named."""
-        cells = store.read(self.spark, path, *(pos or (None, None)), ploidy=self.options.ploidy, coder=self.options.coder)
-        if samples is None:
-            return text.genotypes(cells)
-        chosen = access.select_samples(self.spark.read.parquet(f"{path}/samples"), samples, unknown)
-        found = text.genotypes(cells.join(chosen.select("s").distinct(), "s", "left_semi"))
-        return found.join(chosen.select("s", "ord"), "s").selectExpr("v", "pos", "CAST(ord AS BIGINT) AS s", "gt")
+    def encode_vcf(self, source: str, path: str) -> None:
+        """Encode a VCF, with the names of its samples and its header."""
+        rows = vcf.rows_of(vcf.read_variants(self.spark, source), self.options.block_size)
+        store.write(rows, path, self.options, vcf.read_samples(self.spark, source), vcf.read_header(self.spark, source))
+
+    def decode_rows(self, path: str, pos: tuple[int, int] | None = None, samples: list[str] | None = None, unknown: str = "raise", contig: str | None = None) -> DataFrame:
+        """v, contig, pos and gts, the genotypes of all samples or of the named ones in the order named."""
+        store.check(self.spark, path)
+        columns = None
+        if samples is not None:
+            chosen = access.select_samples(self.spark.read.parquet(f"{path}/samples"), samples, unknown)
+            columns = [r["s"] for r in chosen.orderBy("ord").collect()]  # as many as were asked for
+        return text.row_genotypes(store.read(self.spark, path, *(pos or (None, None)), contig=contig, columns=columns))
+
+    def decode(self, path: str, pos: tuple[int, int] | None = None, samples: list[str] | None = None, unknown: str = "raise", contig: str | None = None) -> DataFrame:
+        """v, contig, pos, s and gt; s is the place in `samples` where they are named."""
+        found = self.decode_rows(path, pos, samples, unknown, contig)
+        return found.select("v", "contig", "pos", F.posexplode("gts").alias("s", "gt")).withColumn("s", F.col("s").cast("long"))
+
+    def decode_lines(self, path: str, pos: tuple[int, int] | None = None, samples: list[str] | None = None, unknown: str = "raise", contig: str | None = None) -> DataFrame:
+        """v, contig, pos and line, the genotypes of a variant separated by TABs."""
+        return self.decode_rows(path, pos, samples, unknown, contig).select("v", "contig", "pos", F.array_join("gts", "\t").alias("line"))
 
     def compare(self, path: str, cells: DataFrame) -> DataFrame:
         """The cells in which a store differs from its source; none if it is intact."""
-        return verify.differences(store.read(self.spark, path, ploidy=self.options.ploidy, coder=self.options.coder), cells)
+        return verify.differences(store.read_cells(self.spark, path), cells)
+
+    def compare_vcf(self, path: str, source: str) -> DataFrame:
+        """The variants whose lines differ between a store and a VCF, or stand in one of them only."""
+        variants = vcf.read_variants(self.spark, source)
+        return verify.line_differences(self.decode_lines(path), variants.select("v", F.array_join("gt", "\t").alias("line")))

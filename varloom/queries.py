@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.operators import access, binarize, blocks, codec, distance, layout, recode, text, tour, verify
-from varloom.plans.engine import Engine
-from varloom.sources.cells import fixture_cells
+from varloom.operators import access, binarize, blocks, codec, container, distance, layout, recode, text, tour, verify
+from varloom.plans.engine import EncodeOptions, Engine
+from varloom.sources import store, vcf
+from varloom.sources.cells import fixture_cells, fixture_rows, samples_of
+from varloom.sources.scratch import scratch_path
 
 START, END, NAMES = 2000, 5000, ["S7", "S1", "S7"]
 
 CELLS = """base AS (
  SELECT p_partkey AS v, s_suppkey AS s, k.k AS k, p_partkey // 64 AS block_id, p_partkey % 64 AS row_in_block, 1000 + 7 * p_partkey AS pos,
   (p_partkey * 7919 + s_suppkey * 104729 + k.k * 1299709 + (p_partkey * s_suppkey) % 613) % 1000 AS h
- FROM part CROSS JOIN supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k WHERE s_suppkey < 16),
+ FROM part CROSS JOIN supplier CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k),
 cells AS (SELECT v, s, k, block_id, row_in_block, pos,
  CASE WHEN block_id = 5 THEN 0 WHEN block_id % 8 = 3 AND k = 1 AND h % 37 = 0 THEN -2 WHEN (block_id // 2) % 4 = 1 AND h % 29 = 0 THEN -1
   WHEN h < 700 THEN 0 WHEN h < 900 THEN 1 WHEN v % 5 = 0 AND h < 960 THEN 2 WHEN v % 25 = 0 THEN 3 ELSE 1 END AS allele,
@@ -37,50 +38,63 @@ GT = """gt AS (SELECT a.v, a.pos, a.s, CASE WHEN a.allele = -2 THEN '' WHEN b.al
 HAM = """pairs AS (SELECT a.block_id, a.col_id AS i, b.col_id AS j, sum((a.allele <> b.allele)::INT)::BIGINT AS distance FROM rc a JOIN rc b ON a.block_id = b.block_id AND a.row_in_block = b.row_in_block AND a.col_id < b.col_id GROUP BY ALL)"""
 TOUR = """nn AS (SELECT block_id, i, j, distance FROM pairs UNION ALL SELECT block_id, j, i, distance FROM pairs),
 walk(block_id, step, id, seen) AS (SELECT DISTINCT block_id, 0::BIGINT, (SELECT min(col_id) FROM rc), [(SELECT min(col_id) FROM rc)] FROM rc UNION ALL
- SELECT w.block_id, any_value(w.step) + 1, arg_min(nn.j, nn.distance * 1000 + nn.j), list_append(any_value(w.seen), arg_min(nn.j, nn.distance * 1000 + nn.j))
+ SELECT w.block_id, any_value(w.step) + 1, arg_min(nn.j, nn.distance * 1000000 + nn.j), list_append(any_value(w.seen), arg_min(nn.j, nn.distance * 1000000 + nn.j))
  FROM walk w JOIN nn ON nn.block_id = w.block_id AND nn.i = w.id AND NOT list_contains(w.seen, nn.j) GROUP BY w.block_id)"""
 
 
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.facts(fixture_rows(spark, sf_dir))
+
+
+def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _facts(spark, sf_dir).select("block_id", "max_allele", "any_missing", "any_absent", "missing_rep", "absent_rep", "depth")
+
+
 def _matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    cells = fixture_cells(spark, sf_dir)
-    stats = blocks.statistics(cells)
-    return layout.flatten(recode.recode(cells, stats)), stats
+    stats = _statistics(spark, sf_dir)
+    return layout.flatten(recode.recode(fixture_cells(spark, sf_dir), stats)), stats
+
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recoded rows of each block as arrays."""
+    rows = fixture_rows(spark, sf_dir).join(_statistics(spark, sf_dir), "block_id")
+    recoded = F.transform("alleles", lambda a: F.when(a == -1, F.col("missing_rep")).when(a == -2, F.col("absent_rep")).otherwise(a).cast("int"))
+    return rows.select("block_id", F.col("row_in_block").alias("id"), recoded.alias("x"), "depth")
 
-def _samples(cells: DataFrame) -> DataFrame:
-    return cells.select("s").distinct().select("s", F.concat(F.lit("S"), "s").alias("name"))
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("s"), F.concat(F.lit("S"), "s_suppkey").alias("name"))
 
 
 def gt_range_sample_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = fixture_cells(spark, sf_dir)
-    chosen = access.select_samples(_samples(cells), NAMES)
-    rows = text.genotypes(access.rows_in_range(cells, START, END).join(chosen.select("s").distinct(), "s", "left_semi"))
+    chosen = access.select_samples(_samples(spark, sf_dir), NAMES)
+    rows = text.genotypes(access.rows_in_range(fixture_cells(spark, sf_dir), START, END).join(chosen.select("s").distinct(), "s", "left_semi"))
     return rows.join(chosen, "s").select("v", "pos", "ord", "name", "gt")
 
 
 def gt_range_all_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.genotypes(access.rows_in_range(fixture_cells(spark, sf_dir), START, END))
+    found = text.row_genotypes(access.rows_in_range(fixture_rows(spark, sf_dir), START, END))
+    return found.select("v", "pos", F.posexplode("gts").alias("s", "gt")).withColumn("s", F.col("s").cast("long"))
 
 
 def block_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.assign(fixture_cells(spark, sf_dir).select("v", "pos").distinct(), 48)
+    return blocks.assign(fixture_rows(spark, sf_dir).select("v", "pos"), 48)
 
 
 def block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.index(fixture_cells(spark, sf_dir)).select("block_id", "min_pos", "max_pos", "n_variants", (F.col("last_copy") + 1).alias("ploidy"))
+    return _facts(spark, sf_dir).select("block_id", "min_pos", "max_pos", F.col("n_rows").alias("n_variants"), "ploidy")
 
 
 def block_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.prune_blocks(blocks.index(fixture_cells(spark, sf_dir)), START, END).select("block_id", "min_pos", "max_pos")
+    return access.prune_blocks(_facts(spark, sf_dir), START, END).select("block_id", "min_pos", "max_pos")
 
 
 def row_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fixture_cells(spark, sf_dir).select("block_id", "row_in_block", "pos").distinct()
-    return found.select("block_id", "row_in_block", F.col("pos").between(START, END).cast("int").alias("inside"))
+    return fixture_rows(spark, sf_dir).select("block_id", "row_in_block", F.col("pos").between(START, END).cast("int").alias("inside"))
 
 
 def sample_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access.select_samples(_samples(fixture_cells(spark, sf_dir)), NAMES)
+    return access.select_samples(_samples(spark, sf_dir), NAMES)
 
 
 def column_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +106,7 @@ def flatten_sample_major(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flatten_allele_major(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.flatten(fixture_cells(spark, sf_dir), "allele").select("v", "col_id", "allele")
+    return layout.flatten(fixture_cells(spark, sf_dir), "allele", samples_of(spark, sf_dir)).select("v", "col_id", "allele")
 
 
 def unflatten(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,16 +117,21 @@ def transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.transpose(layout.flatten(fixture_cells(spark, sf_dir))).select("block_id", "row_in_block", "col_id", "allele")
 
 
+def row_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells gathered to variant rows and taken apart again."""
+    return layout.cells(layout.rows(fixture_cells(spark, sf_dir), samples_of(spark, sf_dir))).select("v", "s", "k", "allele", "phased")
+
+
 def recode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.statistics(fixture_cells(spark, sf_dir))
 
 
 def recode_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recode.recode(fixture_cells(spark, sf_dir)).select("v", "s", "k", "allele")
+    return recode.recode(fixture_cells(spark, sf_dir), _statistics(spark, sf_dir)).select("v", "s", "k", "allele")
 
 
 def undo_recode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recode.undo(recode.recode(fixture_cells(spark, sf_dir))).select("v", "s", "k", "allele")
+    return recode.undo(recode.recode(fixture_cells(spark, sf_dir), _statistics(spark, sf_dir))).select("v", "s", "k", "allele")
 
 
 def missing_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,35 +140,35 @@ def missing_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_by_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marks = lambda x: F.count_if(F.col("allele") == x)
-    return fixture_cells(spark, sf_dir).groupBy("v").agg(marks(-1).alias("n_missing"), marks(-2).alias("n_absent"), F.max("allele").alias("row_max"), F.count_if(F.col("allele") > 0).alias("n_alternate"))
+    marks = lambda keep: F.size(F.filter("alleles", keep)).cast("long")
+    return fixture_rows(spark, sf_dir).select(
+        "v", marks(lambda a: a == -1).alias("n_missing"), marks(lambda a: a == -2).alias("n_absent"), F.array_max("alleles").alias("row_max"), marks(lambda a: a > 0).alias("n_alternate")
+    )
 
 
 def phase_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.phase_uniformity(fixture_cells(spark, sf_dir))
 
 
-def _planes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    matrix, stats = _matrix(spark, sf_dir)
-    return binarize.bit_planes(matrix, stats), blocks.index(fixture_cells(spark, sf_dir))
+def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binarize.bit_planes(*_matrix(spark, sf_dir))
 
 
 def bit_plane_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.concatenate(_planes(spark, sf_dir)[0], 2, "n_variants", 32)
+    return layout.concatenate(_planes(spark, sf_dir), 2, "n_rows", 2 * samples_of(spark, sf_dir))
 
 
 def bit_plane_axis0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planes, index = _planes(spark, sf_dir)
-    return layout.concatenate(planes.join(index, "block_id"), 0, "n_variants", 32).select("block_id", "row_in_block", "col_id", "bit")
+    planes = _planes(spark, sf_dir).join(_facts(spark, sf_dir).select("block_id", "n_rows"), "block_id")
+    return layout.concatenate(planes, 0, "n_rows", 2 * samples_of(spark, sf_dir)).select("block_id", "row_in_block", "col_id", "bit")
 
 
 def bit_plane_axis1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planes, index = _planes(spark, sf_dir)
-    return layout.concatenate(planes, 1, "n_variants", 32).select("block_id", "row_in_block", "col_id", "bit")
+    return layout.concatenate(_planes(spark, sf_dir), 1, "n_rows", 2 * samples_of(spark, sf_dir)).select("block_id", "row_in_block", "col_id", "bit")
 
 
 def bit_plane_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binarize.from_bit_planes(_planes(spark, sf_dir)[0])
+    return binarize.from_bit_planes(_planes(spark, sf_dir))
 
 
 def row_bitlen(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,11 +190,11 @@ def param_set_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def param_set_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.parameter_sets(fixture_cells(spark, sf_dir))
+    return blocks.number_sets(_facts(spark, sf_dir))
 
 
 def access_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.access_units(fixture_cells(spark, sf_dir))
+    return blocks.access_units(_facts(spark, sf_dir))
 
 
 def access_unit_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,28 +202,32 @@ def access_unit_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.join(payload_stat(spark, sf_dir), "block_id").groupBy("au_id", "set_id").agg(F.count("*").alias("n_blocks"), (F.sum(F.col("payload_bytes") + 5) + 6).alias("content_bytes"))
 
 
-def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.vectors(_matrix(spark, sf_dir)[0], "col_id", "row_in_block")
-
-
 def ham_dist_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.pairs(_columns(spark, sf_dir), "ham")
+    return distance.pairs(_vectors(spark, sf_dir), "ham", columns=True)
 
 
 def ham_dist_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.pairs(distance.vectors(_matrix(spark, sf_dir)[0], "row_in_block", "col_id"), "ham")
+    return distance.pairs(_vectors(spark, sf_dir), "ham")
 
 
 def ham_rl_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.pairs(_columns(spark, sf_dir), "ham_rl")
+    return distance.pairs(_vectors(spark, sf_dir), "ham_rl", columns=True)
 
 
 def cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distance.cost_matrix(ham_dist_cols(spark, sf_dir))
 
 
+def nearest_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.nearest(_vectors(spark, sf_dir), "ham", columns=True)
+
+
+def nearest_cols_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance.nearest(_vectors(spark, sf_dir), "ham_rl", columns=True)
+
+
 def nn_tour_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tour.tour(_columns(spark, sf_dir))
+    return tour.tour(_vectors(spark, sf_dir), columns=True)
 
 
 def inverse_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,20 +248,28 @@ def perm_bits_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.permutation_hex(nn_tour_cols(spark, sf_dir))
 
 
+def perm_bits_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.permutation_ids(perm_bits_hex(spark, sf_dir).withColumn("n", F.lit(2 * samples_of(spark, sf_dir))))
+
+
 def amax_bits_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.lengths_hex(row_bitlen(spark, sf_dir))
 
 
+def amax_bits_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.lengths_rows(amax_bits_hex(spark, sf_dir))
+
+
 def param_set_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.parameter_hex(param_set_dedup(spark, sf_dir))
 
 
 def packed_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.packed_matrices(_planes(spark, sf_dir)[0])
+    return codec.packed_planes(_vectors(spark, sf_dir))
 
 
 def unpacked_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec.unpacked_matrices(codec.decoded(codec.coded(packed_planes(spark, sf_dir))))
+    return codec.unpacked_planes(codec.decoded(codec.coded(packed_planes(spark, sf_dir))))
 
 
 def payload_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,7 +277,7 @@ def payload_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gt_text_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.lines(text.genotypes(fixture_cells(spark, sf_dir)))
+    return text.row_genotypes(fixture_rows(spark, sf_dir)).select("v", "pos", F.array_join("gts", "\t").alias("line"))
 
 
 def gt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,23 +286,102 @@ def gt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixture_cells(spark, sf_dir)
-    return verify.summary(cells, recode.undo(recode.recode(cells)))
+    return verify.summary(cells, recode.undo(recode.recode(cells, _statistics(spark, sf_dir))))
 
 
 def compare_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixture_cells(spark, sf_dir)
-    return verify.differences(cells, recode.recode(cells))
+    return verify.differences(cells, recode.recode(cells, _statistics(spark, sf_dir)))
+
+
+def compare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that change when the first and last variant of each block lose their marks."""
+    found = gt_text_block(spark, sf_dir)
+    changed = F.when(F.col("v") % 64 == 0, F.regexp_replace("line", r"[|/]", "")).otherwise(F.col("line"))
+    return verify.line_differences(found, found.withColumn("line", changed))
+
+
+def _stored(spark: SparkSession, sf_dir: str, **options: object) -> str:
+    """The fixture encoded into a store in the shared folder."""
+    path = scratch_path(spark, "store")
+    Engine(spark, EncodeOptions(**options)).encode_rows(fixture_rows(spark, sf_dir), path)
+    return path
 
 
 def container_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded into a store, read back, and compared with the source."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varloom-")
-    path = f"{root.rstrip('/')}/store-{spark.range(1).select(F.expr('uuid()')).first()[0]}"
-    cells, engine = fixture_cells(spark, sf_dir), Engine(spark)
-    engine.encode(cells, path)
-    from varloom.sources import store
+    return verify.row_summary(store.read(spark, _stored(spark, sf_dir)), fixture_rows(spark, sf_dir))
+
+
+def _roundtrip(**options: object) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return verify.row_summary(store.read(spark, _stored(spark, sf_dir, **options)), fixture_rows(spark, sf_dir))
+
+    return run
+
+
+#: Every pairing of binarization and sorting, with some coders, distances and transposition among them.
+ROUNDTRIPS = {
+    f"roundtrip_{kind}{axis if kind == 'bit_plane' else ''}_{sort}": _roundtrip(
+        binarization=kind, axis=axis, sort_rows=sort in ("rows", "both"), sort_cols=sort in ("cols", "both"), distance="ham_rl" if axis == 1 else "ham", transpose=axis == 0, coder=("lzma", "bz2", "raw")[axis]
+    )
+    for kind, axis in (("bit_plane", 0), ("bit_plane", 1), ("bit_plane", 2), ("row_split", 2))
+    for sort in ("none", "rows", "cols", "both")
+}
+
+
+def store_range_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotypes of a range of positions and named samples, from a sorted store."""
+    path = _stored(spark, sf_dir, sort_cols=True)
+    return Engine(spark).decode(path, (START, END), NAMES).select("v", "pos", "s", "gt")
+
+
+def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.sizes(spark, _stored(spark, sf_dir, coder="raw", sort_rows=True))
+
+
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.counts(spark, _stored(spark, sf_dir))
+
+
+def units_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Access units as bytes, parsed again: blocks of each, and how many payloads are equal to those written."""
+    path = _stored(spark, sf_dir, coder="raw")
+    parsed = container.units_from_bytes(store.write_units(spark, path)[1])
+    kept = spark.read.parquet(f"{path}/blocks")
+    kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("au_id").orderBy("block_id")) - 1)  # at most 255 blocks a unit
+    both = parsed.join(kept.select("au_id", "place", F.col("payload").alias("known")), ["au_id", "place"], "left")
+    return both.groupBy("au_id", "set_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("payload") == F.col("known")).alias("n_equal"))
+
+
+def sets_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameter sets as bytes, parsed again."""
+    found = container.sets_from_bytes(store.write_units(spark, _stored(spark, sf_dir))[0])
+    return found.select("set_id", "any_missing", "any_absent", "ploidy", "depth", "phase")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genotypes on two contigs, with a third copy in every tenth variant."""
+    found = text.row_genotypes(fixture_rows(spark, sf_dir)).withColumn("contig", F.when(F.col("v") < 100, "1").otherwise("2"))
+    third = F.transform("gts", lambda g: F.when((F.col("v") % 10 == 0) & g.rlike("[|/]"), F.concat(g, F.lit("|1"))).otherwise(g))
+    return found.withColumn("gts", third)
+
+
+def _vcf_store(spark: SparkSession, sf_dir: str) -> str:
+    source, path = scratch_path(spark, "source") + ".vcf", scratch_path(spark, "store")
+    vcf.write_vcf(_mixed(spark, sf_dir), source, [f"N{s}" for s in range(samples_of(spark, sf_dir))])
+    Engine(spark, EncodeOptions(block_size=64, sort_rows=True)).encode_vcf(source, path)
+    return path
+
+
+def vcf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A VCF of two contigs and mixed ploidy, encoded and decoded to lines."""
+    return Engine(spark).decode_lines(_vcf_store(spark, sf_dir))
+
 
-    return verify.summary(store.read(spark, path), cells)
+def vcf_range_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named samples in a range of one contig of that VCF."""
+    return Engine(spark).decode(_vcf_store(spark, sf_dir), (1500, 3000), ["N7", "N1", "N7"], contig="2")
 
 
 def _with(*parts: str, recursive: bool = False) -> str:
@@ -298,6 +408,14 @@ rn AS (SELECT *, sum(new) OVER (ORDER BY block_id) AS run FROM (SELECT *, CASE W
 au AS (SELECT block_id, set_id, (sum(starts) OVER (ORDER BY block_id) - 1)::BIGINT AS au_id FROM (SELECT *, ((row_number() OVER (PARTITION BY run ORDER BY block_id) - 1) % 255 = 0)::INT AS starts FROM rn))"""
     sizes = "SELECT block_id, count(*) AS n_matrices, sum(ceil(n_rows * n_cols / 8.0))::BIGINT AS matrix_bytes, sum(ceil(n_rows * n_cols / 8.0) + 4)::BIGINT AS payload_bytes FROM pb GROUP BY block_id"
     packed = _with(CELLS, STATS, RECODED, _PL, _PACKED)
+    near = "SELECT block_id, i AS id, arg_min(j, distance * 1000000 + j) AS nearest, min(distance)::BIGINT AS distance, sum(distance)::BIGINT AS total FROM (SELECT block_id, i, j, distance FROM pairs UNION ALL SELECT block_id, j, i, distance FROM pairs) GROUP BY block_id, i"
+    runs = """SELECT block_id, i, j, sum((d = 1 AND coalesce(before, 0) = 0)::INT)::BIGINT AS distance FROM (SELECT *, lag(d) OVER (PARTITION BY block_id, i, j ORDER BY r) AS before FROM
+ (SELECT a.block_id, a.col_id AS i, b.col_id AS j, a.row_in_block AS r, (a.allele <> b.allele)::INT AS d FROM rc a JOIN rc b ON a.block_id = b.block_id AND a.row_in_block = b.row_in_block AND a.col_id < b.col_id)) GROUP BY ALL"""
+    mixed = "mx AS (SELECT v, CASE WHEN v < 100 THEN '1' ELSE '2' END AS contig, pos, s, gt || CASE WHEN v % 10 = 0 AND regexp_matches(gt, '[|/]') THEN '|1' ELSE '' END AS gt FROM gt)"
+    set_bits = "lpad(bin(set_id), 8, '0') || any_missing || any_absent || '0000000100' || lpad(bin(depth), 8, '0') || '00' || CASE WHEN phase < 0 THEN '1' ELSE '0' END || '00000' || CASE WHEN phase < 0 THEN '00000' ELSE phase::VARCHAR END"
+    n_s = "(SELECT count(*) FROM supplier)"
+    width = "length(bin(n - 1))"
+    whole = "SELECT count(*) AS n_left, count(*) AS n_right, 0::BIGINT AS n_differ FROM cells"
     return {
         "gt_range_sample_query": _with(CELLS, GT) + f"SELECT v, pos, ord, name, gt FROM gt JOIN {_SAMPLES} USING (s) JOIN {_NAMES} USING (name) WHERE pos BETWEEN {START} AND {END}",
         "gt_range_all_samples": _with(CELLS, GT) + f"SELECT v, pos, s, gt FROM gt WHERE pos BETWEEN {START} AND {END}",
@@ -308,7 +426,7 @@ au AS (SELECT block_id, set_id, (sum(starts) OVER (ORDER BY block_id) - 1)::BIGI
         "sample_lookup": c + f"SELECT ord, name, s FROM {_SAMPLES} JOIN {_NAMES} USING (name)",
         "column_expand": c + f"SELECT ord, k, s * 2 + k AS col_id FROM {_SAMPLES} JOIN {_NAMES} USING (name) CROSS JOIN (VALUES (0), (1)) k(k)",
         "flatten_sample_major": c + "SELECT v, s * 2 + k AS col_id, allele FROM cells",
-        "flatten_allele_major": c + "SELECT v, k * 16 + s AS col_id, allele FROM cells",
+        "flatten_allele_major": c + "SELECT v, k * (SELECT count(*) FROM supplier) + s AS col_id, allele FROM cells",
         "unflatten": c + "SELECT v, (s * 2 + k) // 2 AS s, ((s * 2 + k) % 2)::INT AS k, allele FROM cells",
         "transpose": c + "SELECT block_id, s * 2 + k AS row_in_block, row_in_block AS col_id, allele FROM cells",
         "recode_stats": _with(CELLS, STATS) + "SELECT * FROM st",
@@ -319,7 +437,7 @@ au AS (SELECT block_id, set_id, (sum(starts) OVER (ORDER BY block_id) - 1)::BIGI
         "phase_uniformity": c + "SELECT block_id, CASE WHEN min(phased) = max(phased) THEN min(phased) END AS phase_value, (min(phased) <> max(phased))::INT AS encode_phase FROM cells GROUP BY block_id",
         "bit_plane_long": _with(CELLS, STATS, RECODED, _PL) + "SELECT * FROM pl",
         "bit_plane_axis0": _with(CELLS, STATS, RECODED, _PL) + "SELECT block_id, plane * (SELECT count(DISTINCT v) FROM cells c WHERE c.block_id = pl.block_id) + row_in_block AS row_in_block, col_id, bit FROM pl",
-        "bit_plane_axis1": _with(CELLS, STATS, RECODED, _PL) + "SELECT block_id, row_in_block, plane * 32 + col_id AS col_id, bit FROM pl",
+        "bit_plane_axis1": _with(CELLS, STATS, RECODED, _PL) + "SELECT block_id, row_in_block, plane * 2 * (SELECT count(*) FROM supplier) + col_id AS col_id, bit FROM pl",
         "bit_plane_inverse": rc + "SELECT block_id, row_in_block, col_id, allele FROM rc",
         "row_bitlen": _with(CELLS, STATS, RECODED, ROWBITS) + "SELECT * FROM rb",
         "row_split_long": _with(CELLS, STATS, RECODED, ROWBITS) + "SELECT block_id, first_row + b AS bit_row, col_id, ((allele >> b::INT) & 1)::INT AS bit FROM (SELECT rc.*, first_row, unnest(range(0, bits)) AS b FROM rc JOIN rb USING (block_id, row_in_block))",
@@ -330,8 +448,23 @@ au AS (SELECT block_id, set_id, (sum(starts) OVER (ORDER BY block_id) - 1)::BIGI
         "access_unit_sizes": _with(CELLS, STATS, PARAMS, au, RECODED, _PL, _PACKED) + f"SELECT au_id, set_id, count(*) AS n_blocks, (sum(payload_bytes + 5) + 6)::BIGINT AS content_bytes FROM au JOIN ({sizes}) USING (block_id) GROUP BY ALL",
         "ham_dist_cols": _with(CELLS, STATS, RECODED, HAM) + "SELECT * FROM pairs",
         "ham_dist_rows": rc + "SELECT a.block_id, a.row_in_block AS i, b.row_in_block AS j, sum((a.allele <> b.allele)::INT)::BIGINT AS distance FROM rc a JOIN rc b ON a.block_id = b.block_id AND a.col_id = b.col_id AND a.row_in_block < b.row_in_block GROUP BY ALL",
-        "ham_rl_dist": rc + """SELECT block_id, i, j, sum((d = 1 AND coalesce(before, 0) = 0)::INT)::BIGINT AS distance FROM (SELECT *, lag(d) OVER (PARTITION BY block_id, i, j ORDER BY r) AS before FROM
- (SELECT a.block_id, a.col_id AS i, b.col_id AS j, a.row_in_block AS r, (a.allele <> b.allele)::INT AS d FROM rc a JOIN rc b ON a.block_id = b.block_id AND a.row_in_block = b.row_in_block AND a.col_id < b.col_id)) GROUP BY ALL""",
+        "ham_rl_dist": rc + runs,
+        "nearest_cols": _with(CELLS, STATS, RECODED, HAM) + near,
+        "nearest_cols_runs": _with(CELLS, STATS, RECODED, f"pairs AS ({runs})") + near,
+        "row_form": c + "SELECT v, s, k, allele, phased FROM cells",
+        "perm_bits_decode": _with(*_WALK, recursive=True) + "SELECT block_id, step, id FROM walk",
+        "amax_bits_decode": _with(CELLS, STATS, RECODED, ROWBITS) + "SELECT block_id, row_in_block, bits, first_row FROM rb",
+        "param_set_hex": _with(CELLS, STATS, PARAMS, f"b AS (SELECT set_id, {set_bits} AS bits FROM ps)") + f"SELECT set_id, lower(printf('00%08x', (5 + ceil(length(bits) / 8.0))::BIGINT)) || {_hex('bits')} AS hex FROM b",
+        "compare_lines": _with(CELLS, GT, "l AS (SELECT v, string_agg(gt, chr(9) ORDER BY s) AS line FROM gt GROUP BY v)") + "SELECT v, line AS left_line, regexp_replace(line, '[|/]', '', 'g') AS right_line FROM l WHERE v % 64 = 0 AND regexp_matches(line, '[|/]')",
+        **{name: c + whole for name in ROUNDTRIPS},
+        "store_range_samples": _with(CELLS, GT) + f"SELECT v, pos, ord::BIGINT AS s, gt FROM gt JOIN {_SAMPLES} USING (s) JOIN {_NAMES} USING (name) WHERE pos BETWEEN {START} AND {END}",
+        "component_sizes": _with(CELLS, STATS, PARAMS, f"z AS (SELECT pk.block_id, greatest(depth, 1) AS d, (phase < 0)::INT AS e, any_missing + any_absent AS r, n, ceil(n * 2 * {n_s} / 8.0) AS a, ceil(n * {n_s} / 8.0) AS f, ceil(n * CASE WHEN n > 1 THEN {width} ELSE 0 END / 8.0) + 4 AS i FROM pk JOIN (SELECT block_id, count(DISTINCT v) AS n FROM cells GROUP BY block_id) USING (block_id))")
+        + "SELECT block_id, (d * (a + 12))::BIGINT AS allele_matrices, (d * i)::BIGINT AS allele_row_ids, 0::BIGINT AS allele_col_ids, 0::BIGINT AS row_lengths, (e * (f + 12))::BIGINT AS phase_matrix, (e * i)::BIGINT AS phase_row_ids, 0::BIGINT AS phase_col_ids, r::BIGINT AS replacements, (d * (a + 12 + i) + e * (f + 12 + i) + r)::BIGINT AS payload_bytes, (d * (a + 12 + i) + e * (f + 12 + i) + r + 5)::BIGINT AS block_bytes FROM z",
+        "store_counts": _with(CELLS, STATS, PARAMS, au) + "SELECT (SELECT count(*) FROM part) AS n_variants, (SELECT count(*) FROM supplier) AS n_samples, count(*) AS n_blocks, count(DISTINCT au_id) AS n_units, count(DISTINCT set_id) AS n_sets FROM au",
+        "units_roundtrip": _with(CELLS, STATS, PARAMS, au) + "SELECT au_id, set_id::BIGINT AS set_id, count(*) AS n_blocks, count(*) AS n_equal FROM au GROUP BY ALL",
+        "sets_roundtrip": _with(CELLS, STATS, PARAMS) + "SELECT set_id::BIGINT AS set_id, any_missing, any_absent, 2 AS ploidy, greatest(depth, 1) AS depth, phase FROM ps",
+        "vcf_roundtrip": _with(CELLS, GT, mixed) + "SELECT v, contig, pos, string_agg(gt, chr(9) ORDER BY s) AS line FROM mx GROUP BY ALL",
+        "vcf_range_samples": _with(CELLS, GT, mixed) + "SELECT v, contig, pos, ord::BIGINT AS s, gt FROM mx JOIN (VALUES (0, 7), (1, 1), (2, 7)) w(ord, s) USING (s) WHERE contig = '2' AND pos BETWEEN 1500 AND 3000",
         "cost_matrix": _with(CELLS, STATS, RECODED, HAM) + "SELECT * FROM pairs UNION ALL SELECT block_id, j, i, distance FROM pairs UNION ALL SELECT DISTINCT block_id, col_id, col_id, 0 FROM rc",
         "nn_tour_cols": _with(*_WALK, recursive=True) + "SELECT block_id, step, id FROM walk",
         "inverse_permutation": _with(*_WALK, recursive=True) + "SELECT block_id, id AS step, step AS id FROM walk",
@@ -351,5 +484,4 @@ au AS (SELECT block_id, set_id, (sum(starts) OVER (ORDER BY block_id) - 1)::BIGI
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = [*oracle_sql(), "param_set_hex"]
-    return {name: globals()[name] for name in names}
+    return {name: ROUNDTRIPS.get(name) or globals()[name] for name in oracle_sql()}

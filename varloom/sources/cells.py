@@ -1,7 +1,8 @@
-"""Genotype cells: one row for each variant, sample and allele copy.
+"""Genotypes of the test fixture, derived from the tables `part` (variants) and `supplier` (samples).
 
-Columns: v (variant), s (sample), k (copy, from 0), block_id, row_in_block, pos, allele (-1 missing, -2 absent) and
-phased (1: `|`, 0: `/`).  `fixture_cells` derives them from the tables `part` and `supplier`.
+Two views of the same data: rows, one a variant with the arrays of its alleles and phases, and cells, one for each
+variant, sample and allele copy.  Cells have v (variant), s (sample), k (copy, from 0), block_id, row_in_block, pos,
+allele (-1 missing, -2 absent) and phased (1: `|`, 0: `/`; the mark before the copy).
 """
 
 from __future__ import annotations
@@ -9,20 +10,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Samples of the fixture (supplier keys below this) and variants of a block.
-SAMPLES, BLOCK = 16, 64
+#: Variants of a block.
+BLOCK = 64
 
+_HASH = "({v} * 7919 + {s} * 104729 + {k} * 1299709 + ({v} * {s}) % 613) % 1000"
+_ALLELE = (
+    "CASE WHEN block_id = 5 THEN 0 WHEN block_id % 8 = 3 AND {k} = 1 AND {h} % 37 = 0 THEN -2 WHEN floor(block_id / 2) % 4 = 1 AND {h} % 29 = 0 THEN -1 "
+    "WHEN {h} < 700 THEN 0 WHEN {h} < 900 THEN 1 WHEN {v} % 5 = 0 AND {h} < 960 THEN 2 WHEN {v} % 25 = 0 THEN 3 ELSE 1 END"
+)
+_PHASE = "CASE WHEN floor(block_id / 4) % 2 = 0 THEN 1 WHEN block_id % 16 = 7 THEN 0 ELSE CAST(({v} + {s}) % 3 = 0 AS INT) END"
 
-def fixture_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def samples_of(spark: SparkSession, sf_dir: str) -> int:
+    """The number of samples: all suppliers, whose keys must count up from 0."""
+    found = spark.read.parquet(f"{sf_dir}/supplier.parquet").agg(F.min("s_suppkey"), F.max("s_suppkey"), F.count_distinct("s_suppkey")).first()
+    if tuple(found[:2]) != (0, found[2] - 1):
+        raise ValueError("the keys of supplier have gaps")
+    return found[2]
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("v"))
-    samples = spark.read.parquet(f"{sf_dir}/supplier.parquet").where(F.col("s_suppkey") < SAMPLES).select(F.col("s_suppkey").alias("s"))
-    made = part.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SAMPLES - 1).cast("long"))))
-    cells = made.join(F.broadcast(samples), "s").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
-    cells = cells.withColumn("block_id", F.floor(F.col("v") / BLOCK)).withColumn("row_in_block", F.col("v") % BLOCK).withColumn("pos", 1000 + 7 * F.col("v"))
-    cells = cells.withColumn("h", F.expr("(v * 7919 + s * 104729 + k * 1299709 + (v * s) % 613) % 1000"))
-    allele = F.expr(
-        "CASE WHEN block_id = 5 THEN 0 WHEN block_id % 8 = 3 AND k = 1 AND h % 37 = 0 THEN -2 WHEN floor(block_id / 2) % 4 = 1 AND h % 29 = 0 THEN -1 "
-        "WHEN h < 700 THEN 0 WHEN h < 900 THEN 1 WHEN v % 5 = 0 AND h < 960 THEN 2 WHEN v % 25 = 0 THEN 3 ELSE 1 END"
-    )
-    phased = F.expr("CASE WHEN floor(block_id / 4) % 2 = 0 THEN 1 WHEN block_id % 16 = 7 THEN 0 ELSE CAST((v + s) % 3 = 0 AS INT) END")
-    return cells.select("v", "s", "k", "block_id", "row_in_block", "pos", allele.cast("int").alias("allele"), phased.cast("int").alias("phased"))
+    return part.withColumn("block_id", F.floor(F.col("v") / BLOCK)).withColumn("row_in_block", F.col("v") % BLOCK).withColumn("pos", 1000 + 7 * F.col("v"))
+
+
+def fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v, contig, pos, block_id, row_in_block, ploidy, alleles and phases (one mark less a sample than copies)."""
+    n = samples_of(spark, sf_dir)
+    places = {"v": "v", "s": "(c div 2)", "k": "(c % 2)"}
+    allele = _ALLELE.replace("{h}", "({h})").format(h=_HASH.format(**places), **places)
+    phase = _PHASE.format(v="v", s="s")
+    return _variants(spark, sf_dir).selectExpr(
+        "v", "'1' AS contig", "pos", "block_id", "row_in_block", "2 AS ploidy",
+        f"transform(sequence(0L, {2 * n - 1}L), c -> CAST({allele} AS INT)) AS alleles", f"transform(sequence(0L, {n - 1}L), s -> CAST({phase} AS INT)) AS phases",
+    )
+
+
+def fixture_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = samples_of(spark, sf_dir)
+    cells = _variants(spark, sf_dir).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    names = {"v": "v", "s": "s", "k": "k"}
+    cells = cells.withColumn("h", F.expr(_HASH.format(**names)))
+    return cells.select("v", "s", "k", "block_id", "row_in_block", "pos", F.expr(_ALLELE.format(h="h", **names)).cast("int").alias("allele"), F.expr(_PHASE.format(**names)).cast("int").alias("phased"))

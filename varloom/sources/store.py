@@ -1,44 +1,157 @@
-"""The encoded store: tables of packed blocks, index, parameter sets and access units under one path."""
+"""The encoded store: Parquet tables under one path.
+
+blocks      one row a block: where it lies, its access unit and parameter set, its payload's bytes and their sizes
+index       one row a block: contig, positions, ploidy, replacement values, depth
+parameters  the parameter sets that blocks refer to
+samples     s and name
+header      lines of the source's header
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.operators import binarize, blocks, codec, layout, recode
+from varloom.operators import blocks, container, layout, matrices
+from varloom.operators.matrices import EncodeOptions
+from varloom.sources.scratch import discard, written
+
+TABLES = ("blocks", "index", "parameters", "samples", "header")
+#: A parameter set's number is one byte.
+MOST_SETS = 256
+
+_BLOCK = "block_id long, contig string, min_pos long, max_pos long, first_v long, n_rows long, n_samples long, positions array<long>, payload binary, " + ", ".join(f"{n} long" for n in matrices.SIZES)
+_ROWS = "v long, contig string, pos long, block_id long, row_in_block long, ploidy int, alleles array<int>, phases array<int>"
+_COPIED = ("block_id", "contig", "min_pos", "max_pos", "first_v", "n_rows", "n_samples")
+
+
+def _encoder(options: EncodeOptions):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row_in_block")
+        one = frame.iloc[0]
+        phases = np.stack(frame["phases"].to_numpy()) if one["phase"] < 0 else None
+        reps = tuple(None if pd.isna(one[n]) else int(one[n]) for n in ("missing_rep", "absent_rep"))
+        made = matrices.encode_block(np.stack(frame["values"].to_numpy()), phases, int(one["depth"]), reps, options)
+        rest = {n: [one[n]] for n in _COPIED}
+        return pd.DataFrame({**rest, "positions": [frame["pos"].to_numpy()], "payload": [container.payload_bytes(made)], **{n: [x] for n, x in made.sizes().items()}})
+
+    return run
+
+
+def write(rows: DataFrame, path: str, options: EncodeOptions | None = None, names: DataFrame | None = None, header: DataFrame | None = None, mode: str = "errorifexists") -> None:
+    """Encode variant rows block by block: recode, binarize, sort, pack, code.
+
+    The rows are written once to the shared folder and read from there.  Blocks are laid out by their number, hence by
+    contig and position, so readers prune.  names: s and name of the samples (without it S0, S1, ...); mode: what to do
+    with tables that are there already, as in Spark's writer.
+    """
+    spark, options = rows.sparkSession, options or EncodeOptions()
+    rows = written(rows.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", "alleles", "phases"), "rows")
+    facts = written(blocks.facts(rows), "facts")
+
+    shape = facts if options.binarization == "bit_plane" else facts.withColumn("depth", F.lit(1))
+    key = ("any_missing", "any_absent", "ploidy", "depth", "phase")
+    sets = blocks.number_sets(shape, key)
+    axis = options.axis if options.binarization == "bit_plane" else 0
+    constant = {n: F.lit(axis if n == "axis" else getattr(options, n)) for n in ("binarization", "axis", "sort_rows", "sort_cols", "transpose", "coder")}
+    sets = written(sets.withColumns(constant), "sets")
+    if sets.count() > MOST_SETS:
+        raise ValueError(f"more than {MOST_SETS} parameter sets")
+    named = shape.join(F.broadcast(sets.select(*key, "set_id")), list(key)).select("block_id", F.col("set_id").cast("long"))  # at most MOST_SETS rows
+    units = written(blocks.number_units(named), "units")
+
+    recoded = F.transform("alleles", lambda a: F.when(a == -1, F.col("missing_rep")).when(a == -2, F.col("absent_rep")).otherwise(a).cast("int"))
+    given = rows.join(facts.drop("contig", "ploidy"), "block_id").withColumn("values", recoded)
+    given = given.select(*_COPIED, "row_in_block", "pos", "values", "phases", "depth", "phase", "missing_rep", "absent_rep")
+    coded = given.repartitionByRange("block_id").groupBy("block_id").applyInPandas(_encoder(options), _BLOCK)  # the ranges serve the grouping too
+    coded.join(units, "block_id").write.mode(mode).parquet(f"{path}/blocks")
+    facts.write.mode(mode).parquet(f"{path}/index")
+    sets.select(*container.SET_NAMES).coalesce(1).write.mode(mode).parquet(f"{path}/parameters")
+    if names is None:
+        n = facts.agg(F.max("n_samples")).first()[0] or 0
+        names = spark.range(n).select(F.col("id").alias("s"), F.concat(F.lit("S"), F.col("id")).alias("name"))
+    names.select("s", "name").write.mode(mode).parquet(f"{path}/samples")
+    header = spark.createDataFrame([], "line_no long, value string") if header is None else header
+    header.write.mode(mode).parquet(f"{path}/header")
+    discard(rows, facts, sets, units)
 
-TABLES = ("blocks", "phases", "index", "parameters", "statistics", "samples")
 
+def check(spark: SparkSession, path: str) -> None:
+    """Raise if access units are not numbered without gaps, blocks lack their set, or numbers of samples differ."""
+    found = spark.read.parquet(f"{path}/blocks")
+    r = found.agg(F.count_distinct("au_id").alias("units"), F.max("au_id").alias("last"), F.min("n_samples").alias("low"), F.max("n_samples").alias("high")).first()
+    if r["units"] and r["units"] != r["last"] + 1:
+        raise ValueError("access units are missing")
+    if r["low"] != r["high"]:
+        raise ValueError("blocks have different numbers of samples")
+    if found.select("set_id").distinct().join(spark.read.parquet(f"{path}/parameters").select("set_id"), "set_id", "left_anti").limit(1).count():
+        raise ValueError("a parameter set is missing")
 
-def write(cells: DataFrame, path: str, ploidy: int = 2, coder: str = "zlib", mode: str = "errorifexists") -> None:
-    """Encode cells block by block: recode, bit planes, packing, codec.  Blocks are laid out by position, so readers prune.
 
-    mode is what to do with tables that are there already, as in Spark's writer.
+def counts(spark: SparkSession, path: str) -> DataFrame:
+    """Numbers of variants, samples, blocks, access units and parameter sets: one row."""
+    found = spark.read.parquet(f"{path}/blocks")
+    return found.agg(F.sum("n_rows").alias("n_variants"), F.max("n_samples").alias("n_samples"), F.count("*").alias("n_blocks"), F.count_distinct("au_id").alias("n_units"), F.count_distinct("set_id").alias("n_sets"))
+
+
+def sizes(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes of each block by component, of its payload, and with its header of five bytes."""
+    total = sum((F.col(n) for n in matrices.SIZES[1:]), F.col(matrices.SIZES[0]))
+    return spark.read.parquet(f"{path}/blocks").select("block_id", *matrices.SIZES, total.alias("payload_bytes"), (total + container.HEADER).alias("block_bytes"))
+
+
+def _decoder(start: int | None, end: int | None, columns: list[int] | None):
+    def one(r) -> pd.DataFrame:
+        options = EncodeOptions(binarization=r.binarization, axis=r.axis, sort_rows=r.sort_rows, sort_cols=r.sort_cols, transpose=r.transpose, coder=r.coder)
+        split = r.binarization == "row_split"
+        payload = container.payload_of(bytes(r.payload), container.matrices_of(r.binarization, r.depth, r.axis), r.sort_rows, r.sort_cols, split, r.phase < 0, bool(r.any_missing), bool(r.any_absent))
+        values, phases = matrices.decode_block(payload, r.depth, options)
+        pos, p = np.asarray(r.positions), r.ploidy
+        row = np.arange(len(pos)) if start is None or end is None else np.flatnonzero((pos >= start) & (pos <= end))
+        values = values[row].astype(np.int32).reshape(len(row), r.n_samples, p)
+        if payload.absent_rep is not None:
+            values[values == payload.absent_rep] = -2
+        if payload.missing_rep is not None:
+            values[values == payload.missing_rep] = -1
+        phases = np.full((len(row), r.n_samples, p - 1), r.phase, np.int32) if phases is None else phases[row].astype(np.int32).reshape(len(row), r.n_samples, p - 1)
+        if columns is not None:
+            values, phases = values[:, columns], phases[:, columns]
+        return pd.DataFrame({"v": r.first_v + row, "contig": r.contig, "pos": pos[row], "block_id": r.block_id, "row_in_block": row, "ploidy": p, "alleles": list(values.reshape(len(row), -1)), "phases": list(phases.reshape(len(row), -1))})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                yield one(r)
+
+    return run
+
+
+def read(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, contig: str | None = None, columns: list[int] | None = None) -> DataFrame:
+    """Variant rows of a store, of a contig or a range of positions: blocks outside are not read, other rows and samples are cut.
+
+    columns: samples in the order wanted, repeats kept.
     """
-    spread = cells.repartition("block_id")
-    stats = blocks.statistics(spread)
-    matrix = layout.flatten(recode.recode(spread, stats), "sample", ploidy=ploidy)
-    packed = codec.coded(codec.packed_matrices(binarize.bit_planes(matrix, stats)), coder)
-    index = blocks.index(spread)
-    packed.join(index.select("block_id", "min_pos", "max_pos"), "block_id").repartitionByRange("block_id").sortWithinPartitions("block_id", "plane").write.mode(mode).parquet(f"{path}/blocks")
-    phases = spread.groupBy("block_id", "row_in_block").agg(F.min("v").alias("v"), F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("s", "k", "phased"))).alias("phases"))
-    phases.select("block_id", "row_in_block", "v", "pos", F.transform("phases", lambda p: p["phased"]).alias("phases")).repartitionByRange("pos").sortWithinPartitions("pos").write.mode(mode).parquet(f"{path}/phases")
-    index.write.mode(mode).parquet(f"{path}/index")
-    blocks.access_units(spread).write.mode(mode).parquet(f"{path}/parameters")
-    stats.write.mode(mode).parquet(f"{path}/statistics")
-    cells.select("s").distinct().select("s", F.concat(F.lit("S"), F.col("s")).alias("name")).write.mode(mode).parquet(f"{path}/samples")
-
-
-def read(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, ploidy: int = 2, coder: str = "zlib") -> DataFrame:
-    """The cells of a store, or of a position range: blocks out of the range are not read, other rows are filtered."""
-    packed, rows = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/phases")
+    packed = spark.read.parquet(f"{path}/blocks")
+    if contig is not None:
+        packed = packed.where(F.col("contig") == contig)
     if start is not None and end is not None:
+        if start > end:
+            raise ValueError("start lies behind end")
         packed = packed.where((F.col("min_pos") <= end) & (F.col("max_pos") >= start))
-        rows = rows.where(F.col("pos").between(start, end))
-    planes = codec.unpacked_matrices(codec.decoded(packed.drop("min_pos", "max_pos"), coder))
-    planes = planes.join(rows.select("block_id", "row_in_block"), ["block_id", "row_in_block"], "left_semi")
-    values = layout.unflatten(binarize.from_bit_planes(planes), ploidy)
-    stats = spark.read.parquet(f"{path}/statistics").select("block_id", "missing_rep", "absent_rep")
-    undone = recode.undo(values.join(stats, "block_id"))
-    found = undone.join(rows, ["block_id", "row_in_block"])
-    return found.select("v", "s", "k", "block_id", "row_in_block", "pos", "allele", F.element_at("phases", (F.col("s") * ploidy + F.col("k") + 1).cast("int")).alias("phased"))
+    sets = F.broadcast(spark.read.parquet(f"{path}/parameters"))  # at most MOST_SETS rows
+    packed = packed.select(*_COPIED, "positions", "payload", "set_id").join(sets, "set_id")
+    return packed.mapInPandas(_decoder(start, end, columns), _ROWS)
+
+
+def read_cells(spark: SparkSession, path: str, **where: object) -> DataFrame:
+    return layout.cells(read(spark, path, **where))
+
+
+def write_units(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The store as bytes: parameter sets and access units, in rows."""
+    found = spark.read.parquet(f"{path}/blocks").select("block_id", "au_id", "set_id", "payload")
+    return container.sets_to_bytes(spark.read.parquet(f"{path}/parameters")), container.units_to_bytes(found)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.operators import text
+from varloom.operators import layout, text
+from varloom.sources.scratch import written
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -14,6 +15,12 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """line_no and value of the header's lines."""
+    head = _lines(spark, path).withColumn("line_no", F.monotonically_increasing_id()).where(F.col("value").startswith("#"))
+    return head.select("line_no", "value")
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """s and name of the sample columns, from the header line."""
     head = _lines(spark, path).where(F.col("value").startswith("#CHROM")).limit(1)
@@ -36,30 +43,45 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], into: str = "v") -> DataFrame:
-    """Dense row numbers from 0 in an order, without one task that holds all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    first = F.col("_row") - F.shiftleft(F.col("_part").cast("long"), 33)
-    ranged = ranged.withColumn("_at", first)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n")).orderBy("_part").collect()  # one row a range
-    starts, total = {}, 0
-    for r in counts:
-        starts[r["_part"]] = total
-        total += r["_n"]
-    if not starts:
-        return df.withColumn(into, F.lit(0).cast("long"))
-    offset = F.create_map(*(F.lit(x) for k in starts.items() for x in k))[F.col("_part")]
-    return ranged.withColumn(into, (F.col("_at") + offset).cast("long")).drop("_part", "_row", "_at")
+    """Dense row numbers from 0 in an order, without one task that holds all rows.
+
+    The sorted ranges are written once, each row with its range and its place there, and read from then on: running
+    the sort again could deal the rows to other ranges.  The ranges' counts, one row each, are added up and joined.
+    """
+    low = 33  # monotonically_increasing_id holds the partition above this bit
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = written(ranged, "numbered").withColumn("_range", F.shiftright("_id", low))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    ahead = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_ahead"))
+    found = ranged.join(F.broadcast(ahead), "_range")  # one row a partition
+    return found.withColumn(into, F.col("_ahead") + F.col("_id") - F.shiftleft("_range", low)).drop("_id", "_range", "_ahead")
+
+
+def in_blocks(variants: DataFrame, block_size: int = 1024) -> DataFrame:
+    """block_id and row_in_block of numbered variants; a block ends with its contig."""
+    contigs = variants.groupBy("contig").agg(F.min("v").alias("_first"), F.ceil(F.count("*") / block_size).alias("_blocks"))
+    contigs = contigs.select("contig", "_first", (F.sum("_blocks").over(Window.orderBy("_first")) - F.col("_blocks")).alias("_ahead"))  # one row a contig
+    at = F.col("v") - F.col("_first")
+    return variants.join(contigs, "contig").withColumn("block_id", F.col("_ahead") + F.floor(at / block_size)).withColumn("row_in_block", at % block_size).drop("_first", "_ahead")
+
+
+def rows_of(variants: DataFrame, block_size: int = 1024) -> DataFrame:
+    """Variant rows of variants with contig, pos, v and gt; each block has the ploidy of its longest genotype."""
+    return text.parsed_rows(in_blocks(variants, block_size))
 
 
 def cells_of(variants: DataFrame, block_size: int = 1024) -> DataFrame:
-    """The cell table of variants with contig, pos, v and gt; ploidy may differ between records, rows are filled up with absent copies."""
-    lines = variants.select("v", F.array_join("gt", "\t", "").alias("line"))
-    parsed = text.parse(lines)
-    most = parsed.groupBy().agg(F.max("k").alias("last"))
-    gts = variants.select("v", "contig", "pos", F.posexplode("gt").alias("s", "gt")).select("v", "contig", "pos", F.col("s").cast("long").alias("s"))
-    grid = gts.join(F.broadcast(most)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("last"))))  # one broadcast row
-    found = grid.join(parsed, ["v", "s", "k"], "left").select("v", "s", "k", "contig", "pos", F.coalesce("allele", F.lit(-2)).alias("allele"), F.coalesce("phased", F.lit(0)).alias("phased"))
-    return found.withColumn("block_id", F.floor(F.col("v") / block_size)).withColumn("row_in_block", F.col("v") % block_size)
+    """The cell table of variants with contig, pos, v and gt."""
+    return layout.cells(rows_of(variants, block_size))
+
+
+def write_vcf(genotypes: DataFrame, path: str, names: list[str]) -> None:
+    """Genotypes (v, contig, pos, gts) as a VCF without other fields, a part file a partition; the header stands in the first."""
+    head = "##fileformat=VCFv4.2\n#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])
+    dot = F.lit(".")
+    body = genotypes.select("v", F.concat_ws("\t", "contig", F.col("pos").cast("string"), dot, dot, dot, dot, dot, dot, F.lit("GT"), F.array_join("gts", "\t")).alias("value"))
+    first = genotypes.sparkSession.range(1).select(F.lit(-1).cast("long").alias("v"), F.lit(head).alias("value"))
+    first.unionByName(body).repartitionByRange("v").sortWithinPartitions("v").select("value").write.mode("errorifexists").text(path)
 
 
 def write_lines(genotypes: DataFrame, path: str) -> None:

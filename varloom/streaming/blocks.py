@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from varloom.operators import blocks
+from varloom.operators import blocks, layout
 from varloom.sources import store
 
 
@@ -21,6 +22,7 @@ def encode_batches(cells: DataFrame, path: str, checkpoint: str) -> StreamingQue
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        store.write(batch, f"{path}/batch={number}", mode="overwrite")
+        samples = batch.agg(F.max("s")).first()[0]
+        store.write(layout.rows(batch, 0 if samples is None else samples + 1), f"{path}/batch={number}", mode="overwrite")
 
     return cells.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
