@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Texts are folded first: lower case, look-alike letters of other scripts and accented letters to plain ones,
-digits and signs that stand for letters to those letters, all other ASCII marks to blanks.  The lexicon is
+Texts are folded first: lower case, look-alike letters of other scripts, accented, full-width, mathematical and
+small-capital letters to plain ones, combining marks and invisible characters away, digits and signs that stand for letters to those letters, all other ASCII marks to blanks.  The lexicon is
 learned from labelled texts: whole words and word beginnings that toxic texts hold far more often than others,
 each with its log odds as weight; and exception phrases, words or word pairs that begin like an entry but are
 found in clean texts only.  An exception that covers a match takes it away.  The weights that are left,
@@ -12,9 +12,12 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -87,9 +90,54 @@ def fold_bytes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return out[keep], kept[bounds]
 
 
+def _capital(code: int) -> str | None:
+    """The letter of a small capital."""
+    name = unicodedata.name(chr(code), "")
+    return name[-1].lower() if name.startswith("LATIN LETTER SMALL CAPITAL ") and name[-2] == " " else None
+
+
+#: Small capitals, by the names of the characters.
+_CAPITALS = {code: letter for code in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D80)) if (letter := _capital(code))}
+
+
+class _Plain(dict):
+    """The plain form of a character, found when it is first met; Latin, Greek and Cyrillic letters stay as they are."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        if code in _CAPITALS:
+            char = _CAPITALS[code]
+        elif code >= 0x800 or 0x300 <= code < 0x370 or code == 0xAD:
+            char = "".join(c for c in unicodedata.normalize("NFKD", char) if unicodedata.category(c) not in ("Mn", "Cf"))
+        self[code] = char
+        return char
+
+
+_PLAIN_FORM = _Plain()
+
+
+def plain_form(text: str) -> str:
+    """Full-width, mathematical and circled letters as plain ones, small capitals too; combining marks and invisible characters go."""
+    return text.translate(_PLAIN_FORM)
+
+
+def _unusual(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Rows with a character that `plain_form` may change and `fold_bytes` does not see."""
+    first, second, third = (np.append(data[k:], np.zeros(min(k, len(data)), np.uint8)) for k in range(3))
+    marks = (first == 0xCC) | (first == 0xCD) | ((first == 0xC2) & (second == 0xAD)) | (first == 0xC9) | (first == 0xCA) | (first == 0xE1) | (first == 0xEF) | (first == 0xF0)
+    marks |= (first == 0xE2) & ((second != 0x80) | ((third >= 0x8B) & (third <= 0x8F)))
+    return np.unique(np.searchsorted(bounds, np.flatnonzero(marks), "right") - 1)
+
+
 def folded_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, folded bytes, offsets) of the segments of a text column."""
     for low, _, data, bounds in bs.pieces(column):
+        rows = _unusual(data, bounds)
+        if len(rows):
+            raw = [data[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            for k in rows.tolist():
+                raw[k] = plain_form(raw[k].decode("utf-8", "replace")).encode("utf-8", "replace")
+            data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
         yield (low, *fold_bytes(data, bounds))
 
 
@@ -131,7 +179,11 @@ def weigh(text: str, automaton) -> tuple[float, float]:
             free.append((start, end))
         elif start not in best or best[start][0] < length:
             best[start] = (length, weight)
-    left = [weight for start, (_, weight) in best.items() if not any(a <= start < b for a, b in free)]
+    if free:  # an exception covers a place if, of those that start there or before, one ends behind it
+        free.sort()
+        starts, reach = [a for a, _ in free], list(accumulate((b for _, b in free), max))
+        best = {start: x for start, x in best.items() if not (k := bisect_right(starts, start)) or reach[k - 1] <= start}
+    left = [weight for _, weight in best.values()]
     return sum(left), max(left, default=0.0)
 
 
@@ -162,6 +214,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "label": part.column("label"), "folded": pa.array(_strings(data, bounds), pa.string()), "sketch": pa.array(sketch, pa.int64())})
 
 
+@lru_cache(maxsize=2)
+def _automaton_of(lexicon: tuple):
+    """Built once a worker for each lexicon."""
+    return Lexicon(dict(lexicon[0]), list(lexicon[1])).automaton()
+
+
 def _weighed(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shipped.value.automaton()
@@ -271,7 +329,8 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "toxi
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         lexicon = shipped.value
-        x = _features(*_measured(pa.array(texts, pa.large_string(), from_pandas=True), lexicon.automaton()))
+        automaton = _automaton_of((tuple(lexicon.terms.items()), tuple(lexicon.exceptions)))
+        x = _features(*_measured(pa.array(texts, pa.large_string(), from_pandas=True), automaton))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ np.array(lexicon.curve), -30, 30))))
 
     return df.withColumn(into, scored(F.col(f"`{text}`").cast("string")))
