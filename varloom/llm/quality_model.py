@@ -151,17 +151,20 @@ def fit(texts: list[str], labels: list[int], chunks: int = 9000, passes: int = 3
 
 
 def learn(sample: DataFrame, bytes_: int = 12 << 20, **options: int) -> Network:
-    """Fit on the labelled rows (doc_id, text, label) that come first by a hash of their id, up to `bytes_` of text.
+    """Fit on labelled rows (doc_id, text, label) of at most `bytes_` of text, whole texts only; no more reaches the driver.
 
-    Whole texts only; no more than that reaches the driver.
+    Rows are taken by a hash of their id.  Texts of over a sixteenth of `bytes_` come after all others, and those that
+    do not fit are passed over, so a few very long texts never take the place of the rest.
     """
     from pyspark.sql import Window
 
-    sized = sample.withColumn("size", F.octet_length("text")).withColumn("at", F.xxhash64("doc_id"))
+    sized = sample.withColumn("size", F.octet_length("text")).where(F.col("size") <= bytes_)
+    order = (F.col("size") > bytes_ // 16, F.xxhash64("doc_id"), "doc_id", "label")
     # The running sum is over the ids and sizes of a bounded sample.
-    sums = sized.select("doc_id", "at", "size").withColumn("until", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = sized.join(sums.where(F.col("until") <= bytes_).select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: r.doc_id)
+    sums = sized.select("doc_id", "label", "size").withColumn("until", F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    kept = sums.where(F.col("until") <= bytes_).select("doc_id").distinct()
+    rows = sized.join(kept, "doc_id", "left_semi").select("doc_id", "text", "label").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.label, r.text))
     return fit([r.text for r in rows], [r.label for r in rows], **options)
 
 
