@@ -4,8 +4,8 @@ A shard is a few megabytes of whole documents inside a task.  Its words become s
 vocabulary; documents, and words that no test phrase holds, end a segment.  The shard's suffix array gives
 the Burrows-Wheeler transform, held in a wavelet matrix with rank counts; all test phrases are searched
 backwards at once, their occurrences located by walking to sampled suffix positions, and the words that any
-occurrence covers merged into removal spans.  Nothing is shuffled.  A large benchmark is taken in blocks of
-bounded size, one pass each over the same rows in the same stage.
+occurrence covers merged into removal spans.  Nothing is shuffled.  A benchmark larger than a block is taken in
+blocks of bounded size, one after another: each is broadcast alone, and what it finds is written before the next.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varloom.llm import bytescan as bs
+from varloom.llm.shared import discard, written
 
-#: Bytes of text in a shard (a longer document is a shard of its own) and of benchmark text in a block.
-SHARD, BLOCK = 1 << 22, 1 << 24
+#: Bytes of text in a shard (a longer document is scanned by itself) and of benchmark text in a block; symbols of an index, at most.
+SHARD, BLOCK, SYMBOLS = 1 << 22, 1 << 24, 1 << 21
 #: Each suffix position divisible by this is sampled, and each segment start.
 SAMPLE = 8
 
@@ -199,8 +200,13 @@ def _shard(data: np.ndarray, bounds: np.ndarray, phrases: Phrases, table: bs.Has
     text, word = text[keep], word[keep]
     if text[-1] != 0:
         text, word = np.append(text, 0), np.append(word, 0)
-    phrase, place = occurrences(FMIndex(text, len(phrases.vocabulary) + 1), phrases)
-    first = word[place]
+    found = []
+    for low in range(0, len(text), SYMBOLS):  # a longer document is cut into overlapping parts; what is found twice counts once
+        part = text[low : low + SYMBOLS + phrases.window - 1]
+        part = part if part[-1] == 0 else np.append(part, 0)
+        phrase, place = occurrences(FMIndex(part, len(phrases.vocabulary) + 1), phrases)
+        found.append((phrase, word[low + place]))
+    phrase, first = (np.concatenate(x) for x in zip(*found, strict=True))
     np.add.at(hit, first, 1)
     np.add.at(hit, first + phrases.lengths[phrase], -1)
     row = np.searchsorted(at, first, "right") - 1
@@ -275,7 +281,8 @@ def find_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text: st
     Words are lower-cased (ASCII) runs of digits, letters and non-ASCII characters.  A window is `window`
     consecutive words of an item; an item of fewer words is one window, one without words none.  Null texts
     have no words; an item without an id counts under the empty string; items that share an id are one; a
-    column that is already called `into` is replaced; with an empty benchmark nothing is hit.
+    column that is already called `into` is replaced; with an empty benchmark nothing is hit; an empty table stays
+    empty.  A text of any length is searched whole, in overlapping parts.
     """
     spark = df.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text"))
@@ -283,11 +290,17 @@ def find_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text: st
     blocks = max(1, math.ceil(size / BLOCK))
     items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     out = df.withColumn(into, F.lit(None).cast(T._parse_datatype_string(HITS)))
-    schema = out.schema
+    schema, before = out.schema, None
     for block in range(blocks):
         rows = items.where(F.col("block") == block).select("item", "text").distinct().collect()  # about BLOCK bytes
         shipped = spark.sparkContext.broadcast(Phrases(sorted((r.item, r.text) for r in rows), window))
         out = out.mapInArrow(_search(shipped, text, into, _HITS_ARROW), schema)
+        if block < blocks - 1:
+            earlier, out = before, written(out, "hits")
+            before = out
+            shipped.destroy()
+            if earlier is not None:
+                discard(earlier)
     return out
 
 
@@ -308,7 +321,12 @@ def _cut(text: str, into: str):
 
 
 def remove_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", **names: str) -> DataFrame:
-    """The rows of df with the spans of all hits cut out of their texts; other texts are untouched."""
-    into = "hits" if "hits" not in df.columns else "hits_of_benchmark"
+    """The rows of df with the spans of all hits cut out of their texts; other texts are untouched, null ones too.
+
+    Rows are taken one by one, so repeated rows and null or repeated ids change nothing; all columns stay.
+    """
+    into = "hits"
+    while into in df.columns:
+        into += "_"
     found = find_phrases(df, benchmark, window, text, into=into, **names)
     return found.mapInArrow(_cut(text, into), found.schema).drop(into)
