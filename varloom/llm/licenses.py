@@ -96,7 +96,7 @@ def scan(df: DataFrame, known: DataFrame, least: float = 0.8, doc_id: str = "doc
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).where("text IS NOT NULL")
     wanted = written(known.select("license", words_of(F.col("text")).alias("words")).where("license IS NOT NULL AND words[0] != ''"), "license-templates")
     bands = written(_banded(wanted, 1).select("license", "band", "value").unionByName(_guards(wanted, least)).distinct(), "license-bands")
-    small = bands.count() <= 1 << 20
+    small = bands.count() <= 1 << 20 and (wanted.agg(F.sum(F.octet_length(F.array_join("words", " ")))).first()[0] or 0) <= 16 << 20  # rows of bands, bytes of templates
     bands = F.broadcast(bands) if small else bands
 
     found = _banded(docs.select("doc_id", words_of(F.col("text")).alias("words")), STRIDE, guarded=True).join(bands, ["band", "value"]).groupBy("doc_id", "license").agg(F.min("first").cast("long").alias("first_word"))

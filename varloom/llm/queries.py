@@ -100,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_preferences": sql.PREFERENCES, "op9_licenses": sql.licenses()}
+    return {"op1_repeats": sql.REPEATS, "op2_decontaminate": sql.PHRASES, "op4_near_copies": sql.NEAR_COPIES, "op8_preferences": sql.PREFERENCES, "op9_licenses": sql.licenses()}

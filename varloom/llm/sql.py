@@ -35,3 +35,47 @@ d AS (SELECT doc_id, unnest({pairs}) AS pair FROM (SELECT doc_id, {words} AS w F
 m AS (SELECT DISTINCT doc_id, license, n, pair FROM d JOIN e USING (pair))
 SELECT doc_id, license, round(count(*) / n, 6) AS containment, n::BIGINT AS n_pairs FROM m GROUP BY doc_id, license, n HAVING count(*) / n >= {least}
 """
+
+
+#: ASCII letters to lower case, others as they are.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')".format(_LOWER)
+_ALNUM = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOWER)
+
+#: Windows of 50 bytes as hexadecimal strings, whose first place is odd.
+REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, o, substr(h, 2 * o + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS o FROM d)),
+f AS (SELECT w, min(doc_id) AS first FROM w GROUP BY w HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT doc_id, o FROM w JOIN f USING (w) WHERE doc_id > first),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY o) AS run FROM (SELECT *, (o > coalesce(lag(o) OVER (PARTITION BY doc_id ORDER BY o), -100) + 50)::INT AS new FROM c)),
+s AS (SELECT doc_id, run, min(o) AS a, max(o) + 50 AS b FROM r GROUP BY ALL),
+g AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM s GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+ sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(list_aggregate(list_transform(range(1, n_spans + 2), lambda i: substr(h, (2 * CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END + 1)::BIGINT, (2 * (CASE WHEN i > n_spans THEN length(h) // 2 ELSE a[i] END - CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END))::BIGINT)), 'string_agg', '')) END) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+PHRASES = f"""
+WITH b AS (SELECT item_id::VARCHAR AS item, {_ALNUM} AS w FROM benchmark),
+p AS (SELECT DISTINCT item, list_aggregate(w[i:i + least(len(w), 10) - 1], 'string_agg', ' ') AS phrase, least(len(w), 10) AS n FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+n AS (SELECT DISTINCT n FROM p),
+x AS (SELECT doc_id, i, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d CROSS JOIN n)),
+h AS (SELECT doc_id, i, x.n, item FROM x JOIN p USING (phrase, n)),
+k AS (SELECT doc_id, count(DISTINCT o) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS o FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+NEAR_COPIES = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+e AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
