@@ -21,7 +21,10 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, row by row: null and repeated ids are judged on their own."""
+    """Documents that the quality rules keep, row by row: null and repeated ids are judged on their own.
+
+    Null and empty texts have no words and go; texts of any length are measured whole; no rows give no rows.
+    """
     return quality_rules.judge(docs, carry=True).where("kept").select("row.*")
 
 
@@ -44,17 +47,21 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 bytes or more that a document with a smaller id holds."""
+    """Texts without the passages of 50 bytes or more that a document with a smaller id holds.
+
+    All rows stay.  Rows without an id rank last; rows that share an id, or have none, take nothing from one another; null texts
+    become empty.
+    """
     return _recounted(repeats.remove_repeats(docs))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of benchmark items."""
+    """Texts without passages of benchmark items.  All rows stay; null texts and an empty benchmark change nothing."""
     return _recounted(decontaminate.remove_phrases(docs, table(spark, sf_dir, "benchmark")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids in sequences of 4,096."""
+    """Pieces of the documents' token ids in sequences of 4,096.  Rows are packed one by one; a null text is its end id."""
     return packing.pack(docs, wordtokens.default_path(), keep_ids=False)
 
 
@@ -66,7 +73,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: Outlier rejection, text removal and tokens are beyond SQL; the tests hold each stage against brute force.
+#: Outlier rejection, text removal and tokens are beyond SQL; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL: str | None = None
 
 
