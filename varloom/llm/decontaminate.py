@@ -38,7 +38,7 @@ def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
     key, open_ = np.zeros(n, np.int64), np.ones(n, bool)
     for k in range(depth):
         symbol = np.zeros(n, np.int64)
-        symbol[: n - k] = text[k:]
+        symbol[: max(0, n - k)] = text[k:]
         symbol[~open_] = 0
         open_ &= symbol > 0
         key = (key << bits) | symbol

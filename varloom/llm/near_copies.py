@@ -7,15 +7,18 @@
 3. Signatures of a pair are compared batch by batch.  When the posterior chance that the similarity reaches the
    threshold falls under `MISS`, the pair is pruned.
 4. Survivors are verified on their full sets.  First each class's likeliest pair; then the pairs that lie between
-   different components; last, in buckets that still hold several components, all pairs of members of
-   different ones, whose signatures are compared in blocks.  So a bucket of one component costs as many checks as it has members, yet no link between
-   two members that share a bucket is lost.
+   different components; last, buckets that still hold several components are compared in cells.  A cell holds
+   two blocks of members with their sets, prunes and verifies pairs of different components, joins components as
+   links are found, and returns only the links that joined some, fewer than it has members.  Blocks of the bucket's
+   main component are not compared with one another, nor blocks whose set sizes are too far apart for a link.
+   So pairs are never made rows, yet no link between two members that share a bucket is lost.
 
 Two sets of similarity 0.8 share no band with probability (1 - 0.8 ** ROWS) ** BANDS, 6e-7.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +28,16 @@ from pyspark.sql import functions as F
 
 from varloom.llm import bytescan as bs
 from varloom.llm.components import components
-from varloom.llm.shared import written
+from varloom.llm.shared import discard, small, written
 
 BANDS, ROWS = 36, 5
 HASHES = BANDS * ROWS
 #: Chance, by the posterior, under which a pair is pruned; minima compared at a time.
 MISS, STEP = 1e-7, 20
-#: Members of a block, about, when the members of a bucket are compared with one another.
-BLOCK = 512
+#: Members and bytes of a block, about, when the members of a bucket are compared with one another.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
+#: Bytes that are kept of a shingle's hash.
+WIDTH = 6
 _LAST = (1 << 63) - 1
 
 _rng = np.random.default_rng(20250311)
@@ -79,30 +84,36 @@ def minima(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
+_SIGNED = "id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SETS = "id long, bands array<long>, signature binary, members binary"
 
 
-def _signed(size: int):
+def _cut(raw: bytes, ends: np.ndarray) -> pa.Array:
+    """Consecutive parts of bytes as a binary column."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _signed(size: int, full: bool):
+    """What _SIGNED names of each text; full: what _SETS names, signature and set included."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, key, bounds in shingle_sets(batch.column(1), size):
                 rows = len(bounds) - 1
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(bs.mix(key + np.uint64(salt)), dtype=np.uint64)]) for salt in (1, 2)]
                 ids = batch.column(0).slice(low, rows)
                 least = minima(key, bounds)
                 bands = np.zeros((rows, BANDS), np.uint64)
                 for k in range(ROWS):
                     bands = bands * _SPREAD + least[:, k::ROWS]
                 bands = bs.mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                signature = (least & 255).astype(np.uint8)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "id": ids, "n_shingles": pa.array(np.diff(bounds), pa.int64()),
-                        "set_a": pa.array((sums[0][bounds[1:]] - sums[0][bounds[:-1]]).view(np.int64)), "set_b": pa.array((sums[1][bounds[1:]] - sums[1][bounds[:-1]]).view(np.int64)),
-                        "bands": pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel())),
-                        "signature": pa.array([s.tobytes() for s in signature], pa.binary()),
-                    }
-                )
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel()))
+                if full:
+                    signature, kept = np.ascontiguousarray((least & 255).astype(np.uint8)), np.ascontiguousarray(key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+                    yield pa.RecordBatch.from_pydict({"id": ids, "bands": listed, "signature": _cut(signature.tobytes(), np.arange(rows + 1) * HASHES), "members": _cut(kept.tobytes(), bounds * WIDTH)})
+                    continue
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(bs.mix(key + np.uint64(salt)), dtype=np.uint64)]) for salt in (1, 2)]
+                set_a, set_b = (pa.array((x[bounds[1:]] - x[bounds[:-1]]).view(np.int64)) for x in sums)
+                yield pa.RecordBatch.from_pydict({"id": ids, "n_shingles": pa.array(np.diff(bounds), pa.int64()), "set_a": set_a, "set_b": set_b, "bands": listed})
 
     return run
 
@@ -147,26 +158,62 @@ def likely(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "signature_a", "signature_b").mapInArrow(_likely(threshold), "a long, b long, matches long")
 
 
-def _cells(threshold: float):
-    """In each cell, all pairs of members of different components that the signatures leave, each where its first common band is."""
+class _Joined:
+    """Components of a cell's members, joined as links between them are found."""
+
+    def __init__(self, component: np.ndarray):
+        self.of = np.unique(component, return_inverse=True)[1]
+
+    def unite(self, k: int, other: np.ndarray) -> list[int]:
+        """Members of `other`, one of each component, that bring new components to that of k."""
+        _, first = np.unique(self.of[other], return_index=True)
+        fresh = [j for j in other[first].tolist() if self.of[j] != self.of[k]]
+        self.of[np.isin(self.of, self.of[fresh])] = self.of[k]
+        return fresh
+
+
+def _overlaps(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members of a sorted set each of the others has."""
+    ends = np.cumsum([len(x) for x in others])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    hits = np.concatenate([[0], np.cumsum(one[at] == every)])
+    return np.diff(hits[ends], prepend=0)
+
+
+def _cells(threshold: float, percent: int):
+    """The links that join components inside each cell; a pair is compared where its first common band is."""
     least = fewest_matches(threshold)
 
     def compared(key: int, rows: list[tuple]) -> tuple[list[int], list[int]]:
-        ids, component, block = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
+        ids, component, code = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
         bands, signs = np.stack([r[3] for r in rows]), np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
-        split = block.min() != block.max()
+        sets, joined, split = [_decoded(r[5]) for r in rows], _Joined(component), code.min() != code.max()
+        size = np.array([len(x) for x in sets])
         found: tuple[list[int], list[int]] = ([], [])
-        for k in range(len(rows)):
-            other = np.flatnonzero((component != component[k]) & ((block > block[k]) if split else (ids > ids[k])))
+        for k in range(len(rows) - 1):
+            other = np.flatnonzero(joined.of[k + 1 :] != joined.of[k]) + k + 1
+            if split:
+                other = other[code[other] != code[k]]
+            other = other[100 * np.minimum(size[other], size[k]) >= percent * np.maximum(size[other], size[k])]
             if len(other):
                 other = other[bands[other, (bands[other] == bands[k]).argmax(1)] == key]
             matches = np.zeros(len(other), np.int64)
             for n, few in enumerate(least):
+                if not len(other):
+                    break
                 part = slice(n * STEP, (n + 1) * STEP)
                 matches += (signs[other, part] == signs[k, part]).sum(1)
                 other, matches = other[matches >= few], matches[matches >= few]
-            found[0].extend(np.minimum(ids[other], ids[k]).tolist())
-            found[1].extend(np.maximum(ids[other], ids[k]).tolist())
+            other = other[np.argsort(-matches, kind="stable")]
+            while len(other):  # the likeliest first: a link spares the rest of its component
+                some, other = other[:64], other[64:]
+                common = _overlaps(sets[k], [sets[j] for j in some])
+                linked = some[100 * common >= percent * (size[k] + size[some] - common)]
+                for j in joined.unite(k, linked) if len(linked) else ():
+                    found[0].append(int(ids[k]))
+                    found[1].append(int(ids[j]))
+                other = other[joined.of[other] != joined.of[k]]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +224,8 @@ def _cells(threshold: float):
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("key", "low", "high", "id", "component", "block")]
-            columns += [batch.column("bands").flatten().to_numpy().reshape(-1, BANDS), batch.column("signature").to_pylist()]
+            columns = [batch.column(n).to_pylist() for n in ("key", "low", "high", "id", "component", "code")]
+            columns += [batch.column("bands").flatten().to_numpy().reshape(-1, BANDS), batch.column("signature").to_pylist(), batch.column("members").to_pylist()]
             for key, low, high, *row in zip(*columns, strict=True):
                 if (key, low, high) != cell:
                     if rows:
@@ -192,37 +239,44 @@ def _cells(threshold: float):
     return run
 
 
-def _across(placed: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of placed(key, b, component) that share a key, lie in different components and are likely enough.
+def _across(bucketed: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components of members which share a bucket: bucketed(key, b, n), found(id, component).
 
-    A bucket of many members is dealt into blocks of about `BLOCK`; each pair of blocks is a cell of its own, so no
-    task holds more than two blocks, and pairs that the signatures rule out are never made rows.
+    A bucket's members are grouped by size of set and by whether they are of its main component, and each group is
+    dealt into blocks of about `BLOCK` members.  Two blocks that can hold a link are a cell.  A small bucket is one cell.
     """
-    sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    signs = signed.select(F.col("id").alias("b"), "bands", "signature").dropDuplicates(["b"])
-    dealt = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "b", "component", "block")
-    rows = cells.join(signs, "b")
-    rows = rows.select("key", "low", "high", F.col("b").alias("id"), "component", "block", "bands", "signature")
-    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return dealt.mapInArrow(_cells(threshold), "a long, b long").distinct()
-
-
-def _sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, key, bounds in shingle_sets(batch.column(1), size):
-                raw = np.ascontiguousarray(key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                sets = [raw[6 * a : 6 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0).slice(low, len(sets)), "members": pa.array(sets, pa.binary())})
-
-    return run
+    placed = bucketed.join(found.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    weight = F.col("n") * WIDTH + HASHES + 8 * BANDS
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("members"), F.sum(weight).alias("bytes"))
+    several = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("members", "component")).alias("main"), F.sum("members").alias("members"), F.sum("bytes").alias("bytes")).where("parts > 1")
+    tier = F.floor(F.log("n") / math.log(100 / percent)).cast("int")  # sets that can be linked are of the same or the next tier
+    single = (F.col("members") <= BLOCK) & (F.col("bytes") <= BLOCK_BYTES)
+    placed = placed.join(several, "key").withColumn("grp", F.when(single, 0).otherwise(2 + 2 * tier + (F.col("component") == F.col("main")).cast("int")))
+    blocks = placed.where("grp > 0").groupBy("key", "grp").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(weight) / BLOCK_BYTES)).cast("long").alias("blocks"))
+    blocks = blocks.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("grp", "blocks"))).alias("blocks"))  # a few entries: tiers of set sizes
+    dealt = placed.select("key", "b", "component", "grp").join(blocks, "key", "left")
+    many = lambda g: F.coalesce(F.try_element_at("blocks", g), F.lit(0).cast("long"))
+    code = lambda g, i: F.shiftleft(g.cast("long"), 32) + i
+    dealt = dealt.withColumn("code", F.when(F.col("grp") > 0, code(F.col("grp"), F.pmod(F.xxhash64("b"), many(F.col("grp"))))).otherwise(F.lit(0).cast("long")))
+    is_main, base = F.col("grp") % 2, F.col("grp") - F.col("grp") % 2
+    all_of = lambda g: F.transform(F.sequence(F.lit(0).cast("long"), many(g) - 1), lambda i: code(g, i))
+    reached = []
+    for step in (-2, 0, 2):
+        for main in (0, 1):
+            g = base + step + main
+            reachable = (many(g) > 0) & ~((is_main == 1) & F.lit(main == 1))
+            reached.append(F.when(reachable, all_of(g)).otherwise(F.array().cast("array<long>")))
+    other = F.when(F.col("grp") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.concat(*reached))
+    rows = dealt.join(sets.withColumnRenamed("id", "b"), "b").withColumn("other", F.explode(other))
+    rows = rows.select("key", F.least("code", "other").alias("low"), F.greatest("code", "other").alias("high"), F.col("b").alias("id"), "component", "code", "bands", "signature", "members")
+    cells = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return cells.mapInArrow(_cells(percent / 100, percent), "a long, b long")
 
 
 def _decoded(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(">u8").ravel()
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, 8 - WIDTH :] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 def _linked(percent: int):
@@ -257,37 +311,33 @@ def near_copies(df: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str
     no rows.
     """
     given = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    signed = written(given.mapInArrow(_signed(shingle), _SIGNED), "signatures")
-
-    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("class"))
-    members = written(signed.select("id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left").select("id", "n_shingles", F.coalesce("class", "id").alias("class")), "classes")
-    chosen = members.where("n_shingles > 0").select(F.col("class").alias("id")).distinct()
-    banded = signed.select("id", "bands", "n_shingles").where("n_shingles > 0").join(chosen, "id", "left_semi").select("id", F.explode("bands").alias("key")).distinct()
+    signed = written(given.mapInArrow(_signed(shingle, False), _SIGNED), "signatures")
 
+    classes = written(signed.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("class"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "classes")
+    members = signed.join(small(classes), ["set_a", "set_b"], "left").withColumn("class", F.coalesce("class", "id"))
+    banded = members.where("n_shingles > 0 AND class = id").select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     leads = banded.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("most > a").select("key", "a")
-    bucketed = written(banded.join(leads, "key").select("key", "a", F.col("id").alias("b")), "buckets")
-    stars = bucketed.where("a <> b").select("a", "b").distinct()
-    stars = written(likely(stars, signed, percent / 100), "candidates")
-
-    ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).unionByName(bucketed.select(F.col("b").alias("id"))).distinct()
-    sets = written(given.join(ids, "id", "left_semi").mapInArrow(_sets(shingle), "id long, members binary"), "sets")
+    bucketed = written(banded.join(leads, "key").select("key", "a", F.col("id").alias("b"), "n"), "buckets")
+    # The texts that share a bucket are read and signed once more: that takes less disk than keeping the sets of all.
+    sets = written(given.join(bucketed.select(F.col("b").alias("id")).distinct(), "id", "left_semi").mapInArrow(_signed(shingle, True), _SETS), "sets")
+    stars = written(likely(bucketed.where("a <> b").select("a", "b").distinct(), sets, percent / 100), "candidates")
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
-    links = written(verified(best, sets, percent), "verified")
-    for pairs in ("stars", "all"):
-        found = components(links)
-        named = lambda n, found=found: found.select(F.col("id").alias(n), F.col("component").alias(f"component_{n}"))
-        if pairs == "stars":
-            between = stars.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left").where("tried IS NULL").select("a", "b")
-        else:
-            placed = bucketed.select("key", "b").join(named("b"), "b", "left").select("key", "b", F.coalesce("component_b", "b").alias("component"))
-            several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-            placed = placed.join(several, "key")
-            between = _across(placed, signed, percent / 100)
-        between = between.join(named("a"), "a", "left").join(named("b"), "b", "left")
-        between = between.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b"))
-        links = written(links.unionByName(verified(between, sets, percent)), "verified")
-    found = components(links).select(F.col("id").alias("class"), "component")
-    done = members.join(found, "class", "left").select("id", "n_shingles", F.coalesce("component", "class").alias("component"))
+    # Rows that share an id but not a set are in several classes, which belong together.
+    versions = members.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("most")).where("most > a").select("id", "a")
+    versions = members.join(small(written(versions, "versions")), "id").select("a", F.col("class").alias("b"))
+    links = written(verified(best, sets, percent).unionByName(versions), "verified")
+    found = components(links)
+    named = lambda n: found.select(F.col("id").alias(n), F.col("component").alias(f"component_{n}"))
+    between = stars.join(best.withColumn("tried", F.lit(True)), ["a", "b"], "left").where("tried IS NULL").select("a", "b")
+    between = between.join(named("b"), "b", "left").join(named("a"), "a", "left")
+    between = between.where(F.coalesce("component_a", "a") != F.coalesce("component_b", "b"))
+    same = lambda found: found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    for step in ("stars", "cells"):
+        more = verified(between, sets, percent) if step == "stars" else _across(bucketed.select("key", "b", "n"), found, sets, percent)
+        joined = components(written(same(found).unionByName(more), "verified"))
+        found = joined
+    done = members.select("id", "n_shingles", "class").join(found.select(F.col("id").alias("class"), "component"), "class", "left").select("id", "n_shingles", F.coalesce("component", "class").alias("component"))
+    discard(bucketed, sets, stars)
     real = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     return done.select(real("id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))

@@ -2,32 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.sources.scratch import discard, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder named by the session; only where none is set (tests), a new temporary one."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="varloom-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once as a table in the shared folder and read from there.
-
-    This cuts the lineage: the table outlives lost executors, and later actions do not repeat the work.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "docs_of", "shared_dir", "small", "table", "written"]
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
