@@ -14,7 +14,7 @@ def prune_blocks(index: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def rows_in_range(cells: DataFrame, start: int, end: int) -> DataFrame:
-    """Cells with a position in [start, end]; the filter reaches the scan."""
+    """Rows with a position in [start, end]; where the position is a stored column, the filter reaches the scan."""
     if start > end:
         raise ValueError("start lies behind end")
     return cells.where(F.col("pos").between(start, end))
