@@ -140,7 +140,7 @@ def test_groups_have_the_least_determinant_of_their_starts(spark):
     x = np.concatenate([rng.normal(0, 1, (400, n)) @ rng.normal(0, 1, (n, n)), rng.normal(9, 0.3, (80, n))])
     points = spark.createDataFrame([("g", *map(float, r)) for r in x], "grp string, " + ", ".join(f"x{i} double" for i in range(n)))
     r = quality_rules.fit_groups(points, core=0.75).first()
-    centre, h, best = np.array([r[f"c{i}_0"] for i in range(n)]), int(0.75 * len(x)), (np.inf, None)
+    centre, h, best = np.array([r[f"c{i}"] for i in range(n)]), int(0.75 * len(x)), (np.inf, None)
     for seed in range(40):
         at = np.random.default_rng(seed).choice(len(x), n + 2, replace=False)
         for _ in range(60):

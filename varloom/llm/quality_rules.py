@@ -3,10 +3,10 @@
 Each document becomes a vector of transformed statistics.  For each group the minimum-covariance-determinant
 estimate is sought over all of its documents from three starts: medians and deviations, the covariance of the signs
 (directions from the medians), and the plain mean and covariance.  A concentration step keeps the share `core` of
-documents nearest to the centre and takes their mean and covariance, which never raises the determinant; steps go on
-until no group's determinant falls any more, and of the three the least determinant wins.  All starts share a
-step's two aggregations over the statistics table, which have partial sums, and the groups' parameters (one row
-each, broadcast while few) meet the rows where they are, so a group of any size stays spread over the cluster.  The
+documents nearest to the centre and takes their mean and covariance, which never raises the determinant.  After two
+steps each group goes on with the start of least determinant, until no group's determinant falls any more.  A step
+is two aggregations over the statistics table with partial sums, and the groups' parameters (a few rows each,
+broadcast while few) meet the rows where they are, so a group of any size stays spread over the cluster.  The
 covariance is scaled so that the group's median distance is that of a normal distribution.  A document is rejected
 when its Mahalanobis distance passes a far quantile.  There each statistic's spread is at least its sampling error
 in that text, so a short text is excused for what few words or lines scatter, and no more.
@@ -128,21 +128,20 @@ def chi2_quantile(p: float, dims: int) -> float:
 
 #: Places of a symmetric matrix that are kept.
 UPPER = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
-#: Estimates that are followed at a time.
-STARTS = ("median", "sign", "mean")
+#: Estimates that are followed at first: from medians and deviations, from signs, from means; and for how many steps.
+STARTS, FOLLOWED = 3, 2
 
 
-def _params_schema(starts: int = 1) -> str:
-    of = lambda k: [f"{n}{k} double" for n in ("det", *(f"c{i}_" for i in range(DIMENSIONS)), *(f"p{i}_{j}_" for i, j in UPPER))]
-    return ", ".join(["grp string", *(x for k in range(starts) for x in of(k))])
+_PARAMS = "grp string, start int, det double, " + ", ".join([*(f"c{i} double" for i in range(DIMENSIONS)), *(f"p{i}_{j} double" for i, j in UPPER)])
+_PARAM_NAMES = [x.split()[0] for x in _PARAMS.split(", ")]
 
 
-def _distance(k: int = 0) -> Column:
-    """Squared Mahalanobis distance of x0, x1, ... from the k-th parameters of the row's group."""
-    d = [F.col(f"x{i}") - F.col(f"c{i}_{k}") for i in range(DIMENSIONS)]
+def _distance() -> Column:
+    """Squared Mahalanobis distance of x0, x1, ... from the parameters of the row's group."""
+    d = [F.col(f"x{i}") - F.col(f"c{i}") for i in range(DIMENSIONS)]
     total = F.lit(0.0)
     for i, j in UPPER:
-        total = total + d[i] * d[j] * F.col(f"p{i}_{j}_{k}") * (1 if i == j else 2)
+        total = total + d[i] * d[j] * F.col(f"p{i}_{j}") * (1 if i == j else 2)
     return total
 
 
@@ -160,10 +159,10 @@ def _measured(limit: float, kept_columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = lambda n, batch=batch: batch.column(n).to_numpy(zero_copy_only=False).astype(float)
-            x, centre = (np.stack([column(n.format(i)) for i in range(DIMENSIONS)], 1) for n in ("x{}", "c{}_0"))
+            x, centre = (np.stack([column(n.format(i)) for i in range(DIMENSIONS)], 1) for n in ("x{}", "c{}"))
             inverse = np.empty((batch.num_rows, DIMENSIONS, DIMENSIONS))
             for i, j in UPPER:
-                inverse[:, i, j] = inverse[:, j, i] = column(f"p{i}_{j}_0")
+                inverse[:, i, j] = inverse[:, j, i] = column(f"p{i}_{j}")
             noise = np.stack([0.25 / np.maximum(column(n), 1) for n in NOISE], 1)
             distance = np.full(batch.num_rows, np.nan)
             known = np.isfinite(x).all(1) & np.isfinite(centre).all(1) & np.isfinite(inverse).all((1, 2))
@@ -177,18 +176,18 @@ def _measured(limit: float, kept_columns: list[str]):
     return run
 
 
-def _moments(k: int, x: str, kept: Column | None = None) -> list[Column]:
-    """Count, sums and sums of products of the points that start k keeps."""
-    own = lambda c: c if kept is None else F.when(kept, c)
+def _moments(x: str, tag: str = "") -> list[Column]:
+    """Count, sums and sums of products of points."""
     at = [F.col(f"{x}{i}") for i in range(DIMENSIONS)]
-    return [F.count(own(F.lit(1))).alias(f"n{k}"), *(F.sum(own(at[i])).alias(f"s{i}_{k}") for i in range(DIMENSIONS)), *(F.sum(own(at[i] * at[j])).alias(f"s{i}_{j}_{k}") for i, j in UPPER)]
+    return [F.count("*").alias(f"n{tag}"), *(F.sum(at[i]).alias(f"s{i}{tag}") for i in range(DIMENSIONS)), *(F.sum(at[i] * at[j]).alias(f"s{i}_{j}{tag}") for i, j in UPPER)]
 
 
-def covariance(n: float, sums: np.ndarray, products: dict[tuple[int, int], float]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance from a count, sums and sums of products."""
-    mean, cov = sums / max(n, 1), np.zeros((DIMENSIONS, DIMENSIONS))
+def covariance(r: dict[str, float], tag: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from `_moments`."""
+    n = max(r[f"n{tag}"], 1)
+    mean, cov = np.array([r[f"s{i}{tag}"] for i in range(DIMENSIONS)], float) / n, np.zeros((DIMENSIONS, DIMENSIONS))
     for i, j in UPPER:
-        cov[i, j] = cov[j, i] = products[i, j] / max(n, 1) - mean[i] * mean[j]
+        cov[i, j] = cov[j, i] = r[f"s{i}_{j}{tag}"] / n - mean[i] * mean[j]
     return mean, cov
 
 
@@ -202,38 +201,31 @@ def _parameters(centre: np.ndarray, cov: np.ndarray) -> list[float]:
     return [float(np.linalg.slogdet(cov)[1]), *centre, *(inverse[i, j] for i, j in UPPER)]
 
 
-def _estimated(scale: float, starts: int):
-    """From the moments of what each start keeps to its parameters."""
+def _estimated(scale: float):
+    """From the moments of what was kept to parameters."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.to_dict("records"):
-                row = [r["grp"]]
-                for k in range(starts):
-                    sums = np.array([r[f"s{i}_{k}"] for i in range(DIMENSIONS)], float)
-                    mean, cov = covariance(r[f"n{k}"], sums, {(i, j): r[f"s{i}_{j}_{k}"] for i, j in UPPER})
-                    row += _parameters(mean, cov * scale)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _params_schema(starts).split(", ")])
+                mean, cov = covariance(r)
+                rows.append([r["grp"], r["start"], *_parameters(mean, cov * scale)])
+            yield pd.DataFrame(rows, columns=_PARAM_NAMES)
 
     return run
 
 
 def _started(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The three starts of each group, from medians (c), deviations (m) and the moments of signs (0) and points (1)."""
+    """The starts of each group, from medians (c), deviations (m) and the moments of signs (_u) and of points."""
     for frame in frames:
         rows = []
         for r in frame.to_dict("records"):
             centre, spread = (np.array([r[f"{n}{i}"] for i in range(DIMENSIONS)], float) for n in "cm")
             spread = np.maximum(1.4826 * spread, 1e-9)
-            found = []
-            for k in (0, 1):
-                sums = np.array([r[f"s{i}_{k}"] for i in range(DIMENSIONS)], float)
-                found.append(covariance(r[f"n{k}"], sums, {(i, j): r[f"s{i}_{j}_{k}"] for i, j in UPPER}))
-            signs = found[0][1] * spread[:, None] * spread * DIMENSIONS  # signs are taken of spread-out points
-            rows.append([r["grp"], *_parameters(centre, np.diag(spread**2)), *_parameters(centre, signs), *_parameters(*found[1])])
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in _params_schema(3).split(", ")])
+            signs = covariance(r, "_u")[1] * spread[:, None] * spread * DIMENSIONS  # signs are taken of spread-out points
+            for k, found in enumerate(((centre, np.diag(spread**2)), (centre, signs), covariance(r))):
+                rows.append([r["grp"], k, *_parameters(*found)])
+        yield pd.DataFrame(rows, columns=_PARAM_NAMES)
 
 
 def _first_params(points: DataFrame) -> DataFrame:
@@ -242,53 +234,46 @@ def _first_params(points: DataFrame) -> DataFrame:
     placed = points.join(small(centre), "grp")
     spread = placed.groupBy("grp").agg(*(F.first(f"c{i}").alias(f"c{i}") for i in range(DIMENSIONS)), *(F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), 0.5, 1000).alias(f"m{i}") for i in range(DIMENSIONS)))
     spread = written(spread, "mcd")
-    placed = points.join(small(spread), "grp")
-    for i in range(DIMENSIONS):
-        placed = placed.withColumn(f"u{i}", (F.col(f"x{i}") - F.col(f"c{i}")) / F.greatest(F.col(f"m{i}") * 1.4826, F.lit(1e-9)))
-    length = F.sqrt(sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(1, DIMENSIONS)), F.col("u0") * F.col("u0")))
-    placed = placed.withColumn("length", F.greatest(length, F.lit(1e-9)))
-    for i in range(DIMENSIONS):
-        placed = placed.withColumn(f"u{i}", F.col(f"u{i}") / F.col("length"))
-    moments = placed.groupBy("grp").agg(*_moments(0, "u"), *_moments(1, "x"))
-    return written(moments.join(spread, "grp").mapInPandas(_started, _params_schema(3)), "mcd")
+    x = [f"x{i}" for i in range(DIMENSIONS)]
+    placed = points.join(small(spread), "grp").select("grp", *x, *(((F.col(f"x{i}") - F.col(f"c{i}")) / F.greatest(F.col(f"m{i}") * 1.4826, F.lit(1e-9))).alias(f"v{i}") for i in range(DIMENSIONS)))
+    length = F.sqrt(sum((F.col(f"v{i}") * F.col(f"v{i}") for i in range(1, DIMENSIONS)), F.col("v0") * F.col("v0")))
+    placed = placed.select("*", F.greatest(length, F.lit(1e-9)).alias("length")).select("grp", *x, *((F.col(f"v{i}") / F.col("length")).alias(f"u{i}") for i in range(DIMENSIONS)))
+    moments = placed.groupBy("grp").agg(*_moments("u", "_u"), *_moments("x"))
+    return written(moments.join(spread, "grp").mapInPandas(_started, _PARAMS), "mcd")
 
 
-def fit_groups(points: DataFrame, core: float = 0.75, steps: int = 20, settled: float = 1e-3) -> DataFrame:
-    """grp, c*_0 and p*_*_0: centre and inverse covariance of each group of points(grp, x0, x1, ...), of least determinant.
+def fit_groups(points: DataFrame, core: float = 0.75, steps: int = 8, settled: float = 0.01) -> DataFrame:
+    """grp, c0, ... and p0_0, ...: centre and inverse covariance of each group of points(grp, x0, x1, ...), of least determinant.
 
-    steps: the most concentration steps; they end before when no log determinant falls by more than `settled`.
+    All starts are followed for `FOLLOWED` steps, then each group's best one, for `steps` in all at most; they end before
+    when no log determinant falls by more than `settled`.
     """
-    edge, starts = chi2_quantile(core, DIMENSIONS), len(STARTS)
+    edge = chi2_quantile(core, DIMENSIONS)
     scale = core / _chi2_below(edge, DIMENSIONS + 2)  # the core's covariance falls short of the whole's by this factor
-    params, before = _first_params(points), None
-    for _ in range(steps):
-        placed = points.join(small(params), "grp")
-        for k in range(starts):
-            placed = placed.withColumn(f"d{k}", _distance(k))
-        points_at = placed.select("grp", *(f"x{i}" for i in range(DIMENSIONS)), *(f"d{k}" for k in range(starts)))
-        limits = written(points_at.groupBy("grp").agg(*(F.percentile_approx(f"d{k}", core, 1000).alias(f"limit{k}") for k in range(starts))), "mcd")
-        near = points_at.join(small(limits), "grp").groupBy("grp").agg(*(m for k in range(starts) for m in _moments(k, "x", F.col(f"d{k}") <= F.col(f"limit{k}"))))
-        found = written(near.mapInPandas(_estimated(scale, starts), _params_schema(starts)), "mcd")
+    params, x = _first_params(points), [f"x{i}" for i in range(DIMENSIONS)]
+    for step in range(steps):
+        before, key = params, ["grp", "start"]
+        placed = points.join(small(params), "grp").select(*key, *x, _distance().alias("d"))  # a row for each start that is followed
+        limits = written(placed.groupBy(*key).agg(F.percentile_approx("d", core, 1000).alias("limit")), "mcd")
+        near = placed.join(small(limits), key).where("d <= limit").groupBy(*key).agg(*_moments("x"))
+        params = written(near.mapInPandas(_estimated(scale), _PARAMS), "mcd")
         discard(limits)
-        fell = None
-        if before is not None:
-            lower = found.select("grp", *(F.col(f"det{k}").alias(f"new{k}") for k in range(starts))).join(before, "grp")
-            fell = lower.agg(F.max(F.greatest(*(F.col(f"det{k}") - F.col(f"new{k}") for k in range(starts))))).first()[0] or 0.0
-        before = params = found
-        if fell is not None and fell <= settled:
-            break
-    which = F.array_position(F.array(*(f"det{k}" for k in range(starts))), F.array_min(F.array(*(f"det{k}" for k in range(starts)))))
-    names = ["det", *(f"c{i}_" for i in range(DIMENSIONS)), *(f"p{i}_{j}_" for i, j in UPPER)]
-    best = written(params.select("grp", *(F.element_at(F.array(*(f"{n}{k}" for k in range(starts))), which.cast("int")).alias(f"{n}0") for n in names)), "mcd")
-    middle = written(points.join(small(best), "grp").select("grp", _distance().alias("d")).groupBy("grp").agg(F.percentile_approx("d", 0.5, 1000).alias("middle")), "mcd")
+        if step + 1 == FOLLOWED:
+            names = [n for n in _PARAM_NAMES if n != "grp"]
+            params = written(params.groupBy("grp").agg(F.min_by(F.struct(*names), F.struct("det", "start")).alias("best")).select("grp", "best.*"), "mcd")
+        elif step >= FOLLOWED:
+            fell = params.join(before.select("grp", F.col("det").alias("was")), "grp").agg(F.max(F.col("was") - F.col("det"))).first()[0] or 0.0
+            if fell <= settled:
+                break
+    middle = written(points.join(small(params), "grp").select("grp", _distance().alias("d")).groupBy("grp").agg(F.percentile_approx("d", 0.5, 1000).alias("middle")), "mcd")
     # A group whose points lie closer than the least spreads is not spread out further.
     widen = F.greatest(F.col("middle") / chi2_quantile(0.5, DIMENSIONS), F.lit(1.0))
-    return written(best.join(small(middle), "grp").select("grp", *(f"c{i}_0" for i in range(DIMENSIONS)), *((F.col(f"p{i}_{j}_0") / widen).alias(f"p{i}_{j}_0") for i, j in UPPER)), "mcd")
+    return written(params.join(small(middle), "grp").select("grp", *(f"c{i}" for i in range(DIMENSIONS)), *((F.col(f"p{i}_{j}") / widen).alias(f"p{i}_{j}") for i, j in UPPER)), "mcd")
 
 
 def judge(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
-    least_words: int = 50, most_repeated: int = 50, least_group: int = 50, tail: float = 1e-9, core: float = 0.75, steps: int = 20,
+    least_words: int = 50, most_repeated: int = 50, least_group: int = 50, tail: float = 1e-9, core: float = 0.75, steps: int = 8,
     carry: bool = False,
 ) -> DataFrame:
     """One row a document: doc_id, the STATISTICS, base_failed, distance (squared, null if base_failed), kept.
