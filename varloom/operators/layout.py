@@ -26,10 +26,10 @@ def transpose(matrix: DataFrame) -> DataFrame:
     return matrix.select(*(F.col(c).alias(turned.get(c, c)) for c in matrix.columns))
 
 
-def _filled(places: Column, value: str, width: Column, empty: int) -> Column:
-    """Values of an ordered array of structs with the place `c`, with `empty` in the places that are not there."""
+def _filled(places: str, width: Column, empty: int) -> Column:
+    """Values `x` of an ordered array column of structs with the place `c`, with `empty` in the places that are not there."""
     before = lambda i: F.coalesce(F.get(places, i - 1)["c"], F.lit(-1))
-    gaps = F.transform(places, lambda x, i: F.concat(F.array_repeat(F.lit(empty), (x["c"] - before(i) - 1).cast("int")), F.array(x[value])))
+    gaps = F.transform(places, lambda x, i: F.concat(F.array_repeat(F.lit(empty), (x["c"] - before(i) - 1).cast("int")), F.array(x["x"])))
     last = F.coalesce(F.get(places, F.size(places) - 1)["c"], F.lit(-1))
     return F.concat(F.flatten(gaps), F.array_repeat(F.lit(empty), (width - last - 1).cast("int")))
 
@@ -47,7 +47,9 @@ def rows(cells: DataFrame, samples: int) -> DataFrame:
     p = F.col("ploidy")
     alleles = F.transform("copies", lambda x: F.struct((x["s"] * p + x["k"]).cast("long").alias("c"), x["allele"].cast("int").alias("x")))
     phases = F.transform(F.filter("copies", lambda x: x["k"] > 0), lambda x: F.struct((x["s"] * (p - 1) + x["k"] - 1).cast("long").alias("c"), x["phased"].cast("int").alias("x")))
-    found = made.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", _filled(alleles, "x", p * samples, -2).alias("alleles"), _filled(phases, "x", (p - 1) * samples, 0).alias("phases"))
+    # The places are columns of their own: an expression would be evaluated again for each of them.
+    placed = made.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", alleles.alias("alleles"), phases.alias("phases"))
+    found = placed.withColumns({"alleles": _filled("alleles", p * samples, -2), "phases": _filled("phases", (p - 1) * samples, 0)})
     whole = (F.size("alleles") == F.col("ploidy") * samples) & (F.size("phases") == (F.col("ploidy") - 1) * samples)
     return found.withColumn("alleles", F.when(whole, F.col("alleles")).otherwise(F.raise_error(F.lit("cells collide or lie outside of the samples")).cast("array<int>")))
 
@@ -55,7 +57,8 @@ def rows(cells: DataFrame, samples: int) -> DataFrame:
 def cells(rows_: DataFrame) -> DataFrame:
     """The cells of variant rows, one for each sample and copy; the first copy has the mark of the second, or 0."""
     p = F.col("ploidy")
-    each = rows_.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", "phases", F.posexplode("alleles").alias("at", "allele"))
+    # The outer form: for the inner one Spark infers a filter on the array, which it evaluates early, expression and all.
+    each = rows_.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", "phases", F.posexplode_outer("alleles").alias("at", "allele")).where("at IS NOT NULL")
     s, k = F.floor(F.col("at") / p), F.col("at") % p
     mark = F.get("phases", (s * (p - 1) + F.greatest(k - 1, F.lit(0))).cast("int"))
     return each.select("v", s.alias("s"), k.cast("int").alias("k"), "block_id", "row_in_block", "pos", "contig", "allele", F.when(p > 1, mark).otherwise(0).cast("int").alias("phased"))
