@@ -40,7 +40,9 @@ def row_genotypes(rows: DataFrame) -> DataFrame:
     """v, contig, pos and gts, the texts of all samples, of variant rows."""
     p = F.col("ploidy")
     each = F.transform(F.sequence(F.lit(0), (F.size("alleles") / p).cast("int") - 1), lambda s: genotype_of(F.slice("alleles", s * p + 1, p), F.slice("phases", s * (p - 1) + 1, p - 1)))
-    return rows.select("v", "contig", "pos", F.when(F.size("alleles") > 0, each).otherwise(F.array().cast("array<string>")).alias("gts"))
+    # Both arrays are named outside of the lambda too: an array named once would be put into it and computed for each sample.
+    there = (F.size("alleles") > 0) & (F.size("phases") >= 0)
+    return rows.select("v", "contig", "pos", F.when(there, each).otherwise(F.array().cast("array<string>")).alias("gts"))
 
 
 def parsed_rows(variants: DataFrame) -> DataFrame:

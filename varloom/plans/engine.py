@@ -41,7 +41,7 @@ class Engine:
     def decode(self, path: str, pos: tuple[int, int] | None = None, samples: list[str] | None = None, unknown: str = "raise", contig: str | None = None) -> DataFrame:
         """v, contig, pos, s and gt; s is the place in `samples` where they are named."""
         found = self.decode_rows(path, pos, samples, unknown, contig)
-        return found.select("v", "contig", "pos", F.posexplode("gts").alias("s", "gt")).withColumn("s", F.col("s").cast("long"))
+        return found.select("v", "contig", "pos", F.posexplode_outer("gts").alias("s", "gt")).where("s IS NOT NULL").withColumn("s", F.col("s").cast("long"))
 
     def decode_lines(self, path: str, pos: tuple[int, int] | None = None, samples: list[str] | None = None, unknown: str = "raise", contig: str | None = None) -> DataFrame:
         """v, contig, pos and line, the genotypes of a variant separated by TABs."""

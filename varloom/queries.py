@@ -11,7 +11,7 @@ from varloom.operators import access, binarize, blocks, codec, container, distan
 from varloom.plans.engine import EncodeOptions, Engine
 from varloom.sources import store, vcf
 from varloom.sources.cells import fixture_cells, fixture_rows, samples_of
-from varloom.sources.scratch import scratch_path
+from varloom.sources.scratch import scratch_path, written
 
 START, END, NAMES = 2000, 5000, ["S7", "S1", "S7"]
 
@@ -74,7 +74,7 @@ def gt_range_sample_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gt_range_all_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = text.row_genotypes(access.rows_in_range(fixture_rows(spark, sf_dir), START, END))
-    return found.select("v", "pos", F.posexplode("gts").alias("s", "gt")).withColumn("s", F.col("s").cast("long"))
+    return found.select("v", "pos", F.posexplode_outer("gts").alias("s", "gt")).where("s IS NOT NULL").withColumn("s", F.col("s").cast("long"))
 
 
 def block_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +194,7 @@ def param_set_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def access_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.access_units(_facts(spark, sf_dir))
+    return blocks.access_units(written(_facts(spark, sf_dir), "facts"))  # used several times
 
 
 def access_unit_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
