@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.sources.scratch import written
+
 #: Variants of a block.
 BLOCK = 64
 
@@ -30,12 +32,27 @@ def samples_of(spark: SparkSession, sf_dir: str) -> int:
 
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("v"))
+    # Few keys make many cells, so the keys are dealt out first: their file is one small partition.
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("v")).repartition(4 * spark.sparkContext.defaultParallelism)
     return part.withColumn("block_id", F.floor(F.col("v") / BLOCK)).withColumn("row_in_block", F.col("v") % BLOCK).withColumn("pos", 1000 + 7 * F.col("v"))
 
 
+#: The rows made in this process, by application and folder.
+_made: dict[tuple[str, str], DataFrame] = {}
+
+
 def fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v, contig, pos, block_id, row_in_block, ploidy, alleles and phases (one mark less a sample than copies)."""
+    """v, contig, pos, block_id, row_in_block, ploidy, alleles and phases (one mark less a sample than copies).
+
+    They are derived once an application and written to the shared folder, as a table of variants would lie there.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _made:
+        _made[key] = written(_derived_rows(spark, sf_dir), "fixture")
+    return _made[key]
+
+
+def _derived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = samples_of(spark, sf_dir)
     places = {"v": "v", "s": "(c div 2)", "k": "(c % 2)"}
     allele = _ALLELE.replace("{h}", "({h})").format(h=_HASH.format(**places), **places)
