@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import decontaminate, licenses, near_copies, packing, preferences, quality_model, quality_rules, repeats, sql, token_store, toxicity, wordtokens
+from varloom.llm import decontaminate, licenses, line_dedup, manifest, near_copies, packing, preferences, quality_model, quality_rules, repeats, sql, token_store, toxicity, vector_codes, wordtokens
 from varloom.llm.samples import held_out, labelled_sample
 from varloom.llm.shared import table
 
@@ -84,6 +84,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), wordtokens.default_path(), keep_ids=False)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs, least=10), outputs=("n_lines", "n_dropped", "kept_sha256"))
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", "kept_sha256")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(chosen, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), "source", "doc_id", {"text": tampered})
+    folded = found.select(
+        F.col("key").cast("long").alias("doc_id"), "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        manifest.fold(F.coalesce("suspect", "leaf"), F.col("proof")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_repeats": op1_repeats,
@@ -96,8 +118,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_preferences": op8_preferences,
         "op9_licenses": op9_licenses,
         "op10_packing": op10_packing,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_manifest": op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_repeats": sql.REPEATS, "op2_decontaminate": sql.PHRASES, "op4_near_copies": sql.NEAR_COPIES, "op8_preferences": sql.PREFERENCES, "op9_licenses": sql.licenses()}
+    return {"op1_repeats": sql.REPEATS, "op2_decontaminate": sql.PHRASES, "op4_near_copies": sql.NEAR_COPIES, "op8_preferences": sql.PREFERENCES, "op9_licenses": sql.licenses(), "op11_vector_codes": sql.VECTOR_CODES, "op12_line_dedup": sql.LINES, "op13_manifest": sql.MANIFEST}

@@ -79,3 +79,54 @@ u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.reached)
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(reached) AS component_id, r.doc_id = min(reached) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
 """
+
+
+def _vector_codes(rounds: int) -> str:
+    """Every part against every entry, `rounds` times with new codebooks and once more for the codes."""
+    steps = ["""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x * 256)::BIGINT) AS x, len(embedding) // 16 AS w FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT vec_id, i // w AS part, i % w AS pos, x[i + 1] AS val FROM (SELECT *, unnest(range(0, len(x))) AS i FROM v)),
+b0 AS (SELECT entry, part, pos, val FROM c JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v ORDER BY vec_id LIMIT 64) USING (vec_id))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (SELECT vec_id, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (SELECT vec_id, c.part, entry, sum((c.val - b.val) * (c.val - b.val))::BIGINT AS d FROM c JOIN b{k} b ON c.part = b.part AND c.pos = b.pos GROUP BY ALL) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS (SELECT b.entry, b.part, b.pos, coalesce(m.val, b.val) AS val FROM b{k} b LEFT JOIN (SELECT a.part, a.entry, c.pos, floor(sum(c.val)::DOUBLE / count(*))::BIGINT AS val FROM a{k} a JOIN c USING (vec_id, part) GROUP BY ALL) m USING (part, entry, pos))""")
+    return "WITH " + ",\n".join(steps) + f""",
+r AS (SELECT vec_id, label, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} JOIN v USING (vec_id) GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(val::VARCHAR, ',' ORDER BY part, entry, pos)) FROM b{rounds}) AS codebooks_sha256 FROM r"""
+
+
+VECTOR_CODES = _vector_codes(2)
+
+LINES = """
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+f AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT doc_id, line, i, coalesce(doc_id > first, false) AS dropped FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+#: A field as it is digested, and the lowest bit of a decimal number's crc32, eight shifts a byte.
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_CRC_LOW = """(xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+ lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT) & 1)"""
+_OTHERS = "string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx {} a.idx)"
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT *, CASE WHEN {_CRC_LOW} = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents),
+l AS (SELECT doc_id, sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf, sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "changed"))}) AS other,
+ row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY source) AS n FROM d),
+q AS (SELECT g, min(n) AS n, (SELECT count(*) FROM range(0, 39) r(k) WHERE 3 ** k < min(n)) AS deep FROM l GROUP BY g),
+t(k, g, idx, h) AS (SELECT 0::BIGINT, g, idx, leaf FROM l UNION ALL SELECT t.k + 1, t.g, t.idx // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM t JOIN q ON t.g = q.g AND t.k < q.deep GROUP BY t.k, t.g, t.idx // 3),
+w AS (SELECT count(*) AS n, (SELECT count(*) FROM range(0, 39) r(k) WHERE 3 ** k < (SELECT count(*) FROM q)) AS deep FROM q),
+u(k, idx, h) AS (SELECT 0::BIGINT, q.g, h FROM q JOIN t ON t.g = q.g AND t.k = q.deep UNION ALL SELECT u.k + 1, u.idx // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM u JOIN w ON u.k < w.deep GROUP BY u.k, u.idx // 3),
+ti AS (SELECT a.k, a.g, a.idx, coalesce({_OTHERS.format("<")}, '') AS l, coalesce({_OTHERS.format(">")}, '') AS r FROM t a JOIN q ON a.g = q.g AND a.k < q.deep JOIN t b ON a.k = b.k AND a.g = b.g AND a.idx // 3 = b.idx // 3 GROUP BY ALL),
+ui AS (SELECT a.k, a.idx, coalesce({_OTHERS.format("<")}, '') AS l, coalesce({_OTHERS.format(">")}, '') AS r FROM u a JOIN w ON a.k < w.deep JOIN u b ON a.k = b.k AND a.idx // 3 = b.idx // 3 GROUP BY ALL),
+p AS (SELECT l.g, l.idx, ti.k AS rung, ti.l, ti.r FROM l JOIN ti ON l.g = ti.g AND ti.idx = l.idx // (3 ** ti.k)::BIGINT UNION ALL SELECT l.g, l.idx, 100 + ui.k, ui.l, ui.r FROM l JOIN ui ON ui.idx = l.g // (3 ** ui.k)::BIGINT),
+s AS (SELECT *, row_number() OVER (PARTITION BY g, idx ORDER BY rung) AS step FROM p),
+f(g, idx, step, h) AS (SELECT g, idx, 0::BIGINT, other FROM l UNION ALL SELECT f.g, f.idx, s.step, sha256(s.l || f.h || s.r) FROM f JOIN s ON f.g = s.g AND f.idx = s.idx AND s.step = f.step + 1),
+e AS (SELECT g, idx, arg_max(h, step) AS folded_root FROM f GROUP BY ALL),
+x AS (SELECT g, idx, string_agg(l || r, '' ORDER BY rung) AS siblings FROM p GROUP BY ALL)
+SELECT doc_id, leaf, t.h AS subroot, u.h AS root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = u.h AS verified
+FROM l JOIN q USING (g) JOIN t ON t.g = l.g AND t.k = q.deep JOIN w ON true JOIN u ON u.k = w.deep JOIN e ON e.g = l.g AND e.idx = l.idx LEFT JOIN x ON x.g = l.g AND x.idx = l.idx
+"""
