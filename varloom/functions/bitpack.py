@@ -43,15 +43,24 @@ def lengths_bytes(lengths: np.ndarray) -> bytes:
 
 
 def lengths_of(raw: bytes) -> np.ndarray:
-    """The row bit counts again; an entry tells by its first bit whether others follow, so they are read in turn."""
+    """The row bit counts again.
+
+    An entry tells by its first bit whether others follow.  The places of entries come from jumps that double: the first
+    2**k places and the jump over 2**k entries give the next 2**k places.
+    """
     count, width = int.from_bytes(raw[:4], "big"), raw[4]
     bits = np.unpackbits(np.frombuffer(raw, np.uint8, offset=5))
-    weights, out, at = 1 << np.arange(width - 1, -1, -1, dtype=np.int64), np.ones(count, np.int64), 0
-    for k in range(count):
-        if bits[at]:
-            out[k] = 2 + int(bits[at + 1 : at + 1 + width] @ weights)
-            at += width
-        at += 1
+    jump = np.minimum(np.arange(len(bits)) + 1 + width * bits.astype(np.int64), len(bits))
+    jump, at = np.append(jump, len(bits)), np.zeros(min(count, 1), np.int64)
+    while len(at) < count:
+        at, jump = np.append(at, jump[at]), jump[jump]
+    at = at[:count]
+    if count and (at[-1] >= len(bits) or at[-1] + 1 + width * int(bits[at[-1]]) > len(bits)):
+        raise ValueError("the bytes end within an entry")
+    more = at[bits[at] == 1] if count else at
+    out = np.ones(count, np.int64)
+    places = more[:, None] + 1 + np.arange(width)
+    out[bits[at] == 1] = 2 + (bits[places].astype(np.int64) @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64)) if width else 0)
     return out
 
 

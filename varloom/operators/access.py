@@ -37,3 +37,10 @@ def expand_columns(selected: DataFrame, ploidy: int) -> DataFrame:
     """The columns (s * ploidy + k) of selected samples, in order."""
     found = selected.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(ploidy - 1))))
     return found.select("ord", "k", (F.col("s") * ploidy + F.col("k")).alias("col_id"))
+
+
+def pick(rows: DataFrame, samples: list[int]) -> DataFrame:
+    """Variant rows with the arrays of the given samples alone, in that order, repeats kept: no cell is made of any other."""
+    p, wanted = F.col("ploidy"), F.array(*(F.lit(s) for s in samples)) if samples else F.array().cast("array<int>")
+    cut = lambda name, n: F.flatten(F.transform(wanted, lambda s: F.slice(name, s * n + 1, n)))
+    return rows.withColumns({"alleles": cut("alleles", p), "phases": cut("phases", p - 1)})

@@ -6,11 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.bits import bit_length
+from varloom.sources.scratch import written
 
 #: An access unit holds at most this many blocks.
 UNIT_BLOCKS = 255
 
 
+#: Rows of block facts that are broadcast, at most; a row has a few numbers.
+MOST_FACTS = 1 << 18
+
+
+def beside(df: DataFrame, facts_: DataFrame, kept: bool = False) -> DataFrame:
+    """Rows or cells with the facts of their block, one short row each.
+
+    The facts are written once (unless they come from a table: kept), and broadcast while they are few; more are joined by a shuffle.  The other side is never
+    broadcast: Spark's estimate of its size does not know what an explode adds.
+    """
+    facts_ = facts_ if kept else written(facts_, "facts")
+    few = facts_.limit(MOST_FACTS + 1).count() <= MOST_FACTS
+    return df.join(F.broadcast(facts_) if few else facts_.hint("merge"), "block_id")
+
+
 def assign(variants: DataFrame, size: int, order: str = "v") -> DataFrame:
     """block_id and row_in_block from a dense variant number."""
     return variants.withColumn("block_id", F.floor(F.col(order) / size)).withColumn("row_in_block", F.col(order) % size)
@@ -29,6 +45,30 @@ def replacements(found: DataFrame) -> DataFrame:
     return found.withColumn("depth", bit_length(F.coalesce("absent_rep", "missing_rep", "max_allele")))
 
 
+def reblock(rows: DataFrame, size: int) -> DataFrame:
+    """Variant rows in blocks of `size` consecutive variants, which end with their contig.
+
+    v must number the rows from 0 on in the order of contigs and positions.  A block has the ploidy of its longest
+    genotype; shorter ones are filled up with absent copies.
+    """
+    contigs = rows.groupBy("contig").agg(F.min("v").alias("_first"), F.ceil(F.count("*") / size).alias("_blocks"))
+    contigs = contigs.select("contig", "_first", (F.sum("_blocks").over(Window.orderBy("_first")) - F.col("_blocks")).alias("_ahead"))  # one row a contig
+    at = F.col("v") - F.col("_first")
+    placed = rows.drop("block_id", "row_in_block").join(F.broadcast(written(contigs, "contigs")), "contig")  # a genome has few contigs
+    placed = placed.withColumn("block_id", F.col("_ahead") + F.floor(at / size)).withColumn("row_in_block", at % size).drop("_first", "_ahead")
+    most = placed.groupBy("block_id").agg(F.max("ploidy").alias("_most"))
+    found = beside(placed, most).withColumnsRenamed({"ploidy": "_own", "_most": "ploidy"})
+    p, q = F.col("_own"), F.col("ploidy")
+
+    def filled(name: str, own: Column, wanted: Column, value: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), (F.size("alleles") / p).cast("int") - 1), lambda s: F.concat(F.slice(name, s * own + 1, own), F.array_repeat(F.lit(value), wanted - own)))
+        return F.when(p == q, F.col(name)).otherwise(F.flatten(each))
+
+    padded = {"_alleles": filled("alleles", p, q, -2), "_phases": filled("phases", p - 1, q - 1, 0)}
+    found = found.withColumns(padded).select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", F.col("_alleles").alias("alleles"), F.col("_phases").alias("phases"))
+    return found
+
+
 def statistics(cells: DataFrame) -> DataFrame:
     """Per block: largest allele, missing and absent marks, their replacement values and the depth in bits."""
     found = cells.groupBy("block_id").agg(
@@ -86,11 +126,24 @@ def _running(df: DataFrame, value: Column, into: str) -> DataFrame:
     return inner.join(ahead, "_span").withColumn(into, F.col(into) + F.col("_ahead")).drop("_span", "_value", "_ahead")
 
 
+def _units(placed: DataFrame, limit: int) -> DataFrame:
+    """block_id, set_id and au_id (from 1) of blocks placed(block_id, set_id, _span, _before) of one span each, as if it stood alone."""
+    within = Window.partitionBy("_span").orderBy("block_id")
+    new = F.coalesce((F.coalesce(F.lag("set_id").over(within), F.col("_before")) != F.col("set_id")).cast("int"), F.lit(1))
+    placed = placed.withColumn("_run", F.sum(new).over(within))
+    at = F.row_number().over(Window.partitionBy("_span", "_run").orderBy("block_id")) - 1
+    return placed.withColumn("_starts", (at % limit == 0).cast("int")).withColumn("au_id", F.sum("_starts").over(within))
+
+
 def number_units(named: DataFrame, limit: int = UNIT_BLOCKS) -> DataFrame:
     """au_id of each block of named(block_id, set_id): a new unit where the set changes or the unit is full.
 
     All windows run over a bounded span of blocks, or over one row a span; a run of equal sets may be of any length.
+    named is read several times: pass a written table where it is dear.
     """
+    last = named.agg(F.max("block_id")).first()[0]
+    if last is None or last < SPAN:  # one span, with nothing ahead of it
+        return _units(named.withColumns({"_span": F.lit(0), "_before": F.lit(None).cast("long")}), limit).select("block_id", "set_id", (F.col("au_id") - 1).alias("au_id"))
     spans = named.groupBy(F.floor(F.col("block_id") / SPAN).alias("_span")).agg(F.max_by("set_id", "block_id").alias("_last"))
     spans = spans.select("_span", F.lag("_last").over(Window.orderBy("_span")).alias("_before"))
     placed = named.withColumn("_span", F.floor(F.col("block_id") / SPAN)).join(spans, "_span")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from varloom.functions import bitpack
 from varloom.functions.bits import bits_to_hex, number_hex
 from varloom.operators.matrices import CODECS
+from varloom.sources.scratch import spread
 
 
 def _hex(raw: str | Column) -> Column:
@@ -83,7 +84,7 @@ def packed_planes(rows: DataFrame) -> DataFrame:
         planes = [bitpack.matrix_bytes((x >> b) & 1) for b in range(max(1, int(frame["depth"].iloc[0])))]
         return pd.DataFrame({"block_id": frame["block_id"].iloc[0], "plane": range(len(planes)), "n_rows": x.shape[0], "n_cols": x.shape[1], "raw": planes})
 
-    found = rows.groupBy("block_id").applyInPandas(run, "block_id long, plane int, n_rows long, n_cols long, raw binary")
+    found = spread(rows, "block_id").groupBy("block_id").applyInPandas(run, "block_id long, plane int, n_rows long, n_cols long, raw binary")
     return found.select("block_id", "plane", "n_rows", "n_cols", _hex("raw").alias("hex"))
 
 

@@ -1,12 +1,24 @@
-"""Distances between the rows or columns of a block.  Pairs stay inside a block, whose size bounds them."""
+"""Distances between the rows or columns of a block.
+
+Vectors are cut into tiles, packed as bit planes, and each pair of tiles of a block is a task's group: whatever the number
+of vectors, a task holds two tiles and their distances.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.functions import planes
+from varloom.sources.scratch import spread, written
+
+#: Vectors of a tile.
+TILE = 1024
+
 
 def vectors(matrix: DataFrame, of: str, along: str, value: str = "allele") -> DataFrame:
     """block_id, id and the ordered values of each row or column."""
@@ -74,38 +86,112 @@ def stacked(frame: pd.DataFrame, columns: bool) -> tuple[np.ndarray, np.ndarray]
     return (np.arange(x.shape[1]), x.T) if columns else (frame["id"].to_numpy(), x)
 
 
-def pairs(found: DataFrame, kind: str = "ham", columns: bool = False) -> DataFrame:
-    """block_id, i < j and the distance of all pairs of rows (or columns) of a block; its size bounds their number."""
+_TILES = "block_id long, tile int, n long, length long, depth int, ids binary, words binary"
+
+
+def _bytes_of(ids: np.ndarray, x: np.ndarray, depth: int) -> dict[str, list]:
+    return {"n": [len(x)], "length": [x.shape[1]], "depth": [depth], "ids": [ids.astype("<i8").tobytes()], "words": [planes.packed(x, depth).astype("<u8").tobytes()]}
+
+
+def tiles(found: DataFrame, columns: bool = False, tile: int = TILE) -> DataFrame:
+    """Tiles of the vectors of blocks, found(block_id, id, x): at most `tile` vectors, packed as bit planes.
+
+    columns: the vectors are the columns of the given rows.  Each row is then cut first, so a task gathers the rows of a
+    block for one tile of columns only.
+    """
+    if columns:
+        width = F.ceil(F.size("x") / tile).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), width - 1), lambda t: F.slice("x", t * tile + 1, tile))
+        pieces = found.where(F.size("x") > 0).select("block_id", "id", F.posexplode_outer(cut).alias("tile", "x"))
+    else:
+        pieces = found.withColumn("tile", F.floor(F.col("id") / tile).cast("int")).select("block_id", "id", "tile", "x")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids, x = stacked(frame, columns)
-        cost = matrix(x, kind)
-        i, j = np.triu_indices(len(ids), 1)
-        return pd.DataFrame({"block_id": frame["block_id"].iloc[0], "i": ids[i], "j": ids[j], "distance": cost[i, j]})
+        one = frame.iloc[0]
+        if columns:
+            ids = ids + int(one["tile"]) * tile
+        return pd.DataFrame({"block_id": [one["block_id"]], "tile": [one["tile"]], **_bytes_of(ids, x, max(1, int(x.max()).bit_length()))})
 
-    return found.groupBy("block_id").applyInPandas(run, "block_id long, i long, j long, distance long")
+    return spread(pieces, "block_id", "tile").groupBy("block_id", "tile").applyInPandas(run, _TILES)
 
 
-def nearest(found: DataFrame, kind: str = "ham", columns: bool = False) -> DataFrame:
-    """block_id, id, nearest (lowest on ties), distance to it and total, the sum of all distances, of each row or column of a block.
+def _tile(r: pd.Series) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ids, words and length of a tile."""
+    return np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["words"], "<u8").reshape(r["depth"], r["n"], -1).astype(np.uint64, copy=False), int(r["length"])
+
 
-    A block of one vector has no row.
+def _deeper(words: np.ndarray, depth: int) -> np.ndarray:
+    return np.concatenate([words, np.zeros((depth - len(words), *words.shape[1:]), np.uint64)]) if depth > len(words) else words
+
+
+def over_tiles(found: DataFrame, kind: str, columns: bool, tile: int, each: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What `each` makes of the ids of two tiles and the matrix of their distances, for every pair of tiles of a block.
+
+    A tile goes to as many tasks as its block has tiles; the number of pairs grows with the square of that, as the
+    distances do, and each pair is a task of its own size.
     """
+    KINDS[kind]  # an unknown kind raises here
+    packed = written(tiles(found, columns, tile), "tiles")  # used twice, and a fraction of the vectors' size
+    counts = packed.groupBy("block_id").agg((F.max("tile") + 1).alias("_tiles"))
+    # Tiles know how many they are from their block's row alone: a join of tiles and blocks, neither of which holds cells.
+    met = packed.join(counts.hint("merge"), "block_id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    met = met.withColumn("_low", F.least("tile", "_other")).withColumn("_high", F.greatest("tile", "_other")).drop("_tiles", "_other")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, x = stacked(frame, columns)
-        cost = matrix(x, kind)
+        frame = frame.sort_values("tile")
+        (ids, a, _), (others, b, _) = _tile(frame.iloc[0]), _tile(frame.iloc[-1])
+        depth = max(len(a), len(b))
+        made = each(ids, others, planes.between(_deeper(a, depth), _deeper(b, depth), kind))
+        made.insert(0, "block_id", frame["block_id"].iloc[0])
+        return made
+
+    return spread(met, "block_id", "_low", "_high").groupBy("block_id", "_low", "_high").applyInPandas(run, schema)
+
+
+def pairs(found: DataFrame, kind: str = "ham", columns: bool = False, tile: int = TILE, whole: bool = False) -> DataFrame:
+    """block_id, i, j and the distance of all pairs of rows (or columns) of a block with i < j.
+
+    whole: both directions, and each vector with itself: the cost matrix.
+    """
+
+    def each(ids: np.ndarray, others: np.ndarray, cost: np.ndarray) -> pd.DataFrame:
+        if whole:
+            i, j = (x.ravel() for x in np.indices(cost.shape))
+            made = pd.DataFrame({"i": ids[i], "j": others[j], "distance": cost.ravel()})
+            return made if ids[0] == others[0] else pd.concat([made, made.rename(columns={"i": "j", "j": "i"})])[["i", "j", "distance"]]
+        i, j = np.triu_indices(len(ids), 1) if ids[0] == others[0] else (x.ravel() for x in np.indices(cost.shape))
+        return pd.DataFrame({"i": ids[i], "j": others[j], "distance": cost[i, j]})
+
+    return over_tiles(found, kind, columns, tile, each, "block_id long, i long, j long, distance long")
+
+
+def nearest(found: DataFrame, kind: str = "ham", columns: bool = False, tile: int = TILE) -> DataFrame:
+    """block_id, id, nearest (lowest on ties), distance to it and total, the sum of all distances, of each row or column of a block.
+
+    Each pair of tiles gives its vectors' nearest one there and their sums, which are merged.  A block of one vector has
+    no row.
+    """
+
+    def side(ids: np.ndarray, others: np.ndarray, cost: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+        at = cost.argmin(1)
+        return pd.DataFrame({"id": ids, "nearest": others[at], "distance": cost[np.arange(len(ids)), at], "total": total})
+
+    def each(ids: np.ndarray, others: np.ndarray, cost: np.ndarray) -> pd.DataFrame:
         total = cost.sum(1)
+        if ids[0] != others[0]:
+            return pd.concat([side(ids, others, cost, total), side(others, ids, np.ascontiguousarray(cost.T), cost.sum(0))])
         np.fill_diagonal(cost, np.iinfo(np.int64).max)
-        at = cost.argmin(1)
-        made = pd.DataFrame({"block_id": frame["block_id"].iloc[0], "id": ids, "nearest": ids[at], "distance": cost[np.arange(len(ids)), at], "total": total})
-        return made if len(ids) > 1 else made.iloc[:0]
+        return side(ids, others, cost, total).iloc[: len(ids) if len(ids) > 1 else 0]
 
-    return found.groupBy("block_id").applyInPandas(run, "block_id long, id long, nearest long, distance long, total long")
+    found = over_tiles(found, kind, columns, tile, each, "block_id long, id long, nearest long, distance long, total long")
+    best = F.min(F.struct("distance", "nearest"))
+    merged = found.groupBy("block_id", "id").agg(best.alias("best"), F.sum("total").alias("total"))
+    return merged.select("block_id", "id", "best.nearest", "best.distance", "total")
 
 
 def cost_matrix(half: DataFrame) -> DataFrame:
-    """Both directions and the zero diagonal."""
+    """Both directions and the zero diagonal of pairs; `pairs(..., whole=True)` makes them without another shuffle."""
     both = half.unionByName(half.select("block_id", F.col("j").alias("i"), F.col("i").alias("j"), "distance"))
     own = both.select("block_id", "i").distinct().select("block_id", "i", F.col("i").alias("j"), F.lit(0).cast("long").alias("distance"))
     return both.unionByName(own)

@@ -26,9 +26,13 @@ BINARIZATIONS = {"bit_plane": 0, "row_split": 2}
 
 @dataclass(frozen=True)
 class EncodeOptions:
-    """How blocks are made and coded.  axis: planes are stacked by rows (0), by columns (1) or kept apart (2)."""
+    """How blocks are made and coded.
 
-    block_size: int = 1024
+    block_size: variants of a block; None keeps the blocks that rows are given in.  axis: planes are stacked by rows (0),
+    by columns (1) or kept apart (2).  tile_samples: samples of a tile of the store; None keeps all samples together.  preset: the effort of a solver that knows any (`tour.PRESETS`); others refuse it.
+    """
+
+    block_size: int | None = 1024
     binarization: str = "bit_plane"
     axis: int = 2
     sort_rows: bool = False
@@ -38,14 +42,17 @@ class EncodeOptions:
     solver: str = "nn"
     preset: int = 0
     coder: str = "zlib"
+    tile_samples: int | None = None
 
     def __post_init__(self) -> None:
-        known = {"binarization": BINARIZATIONS, "axis": (0, 1, 2), "distance": distance.KINDS, "solver": tour.SOLVERS, "preset": (0, 1, 2), "coder": CODECS}
+        known = {"binarization": BINARIZATIONS, "axis": (0, 1, 2), "distance": distance.KINDS, "solver": tour.SOLVERS, "preset": tour.PRESETS.get(self.solver, (0,)), "coder": CODECS}
         for name, choices in known.items():
             if getattr(self, name) not in choices:
                 raise ValueError(f"unknown {name}: {getattr(self, name)}")
-        if self.block_size < 1:
+        if self.block_size is not None and self.block_size < 1:
             raise ValueError("a block has at least one variant")
+        if self.tile_samples is not None and self.tile_samples < 1:
+            raise ValueError("a tile has at least one sample")
 
 
 @dataclass
@@ -104,7 +111,7 @@ def from_binarized(found: list[np.ndarray], depth: int, axis: int, lengths: np.n
 def sort_matrix(bits: np.ndarray, options: EncodeOptions) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """A matrix with rows and columns in the solver's order, and the inverse orders.  Both orders come from the given matrix."""
     turned = bits.T if options.transpose else bits
-    orders = [tour.SOLVERS[options.solver](distance.matrix(m, options.distance)) if wanted else None for wanted, m in ((options.sort_rows, turned), (options.sort_cols, turned.T))]
+    orders = [tour.SOLVERS[options.solver].order(m, options.distance, options.preset) if wanted else None for wanted, m in ((options.sort_rows, turned), (options.sort_cols, turned.T))]
     for axis, order in enumerate(orders):
         if order is not None:
             bits = turned = np.take(turned, order, axis)

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators import blocks
 
 
+def _replaced(a: Column) -> Column:
+    return F.when(a == -1, F.col("missing_rep")).when(a == -2, F.col("absent_rep")).otherwise(a).cast("int")
+
+
+def _restored(a: Column) -> Column:
+    return F.when(a == F.col("absent_rep"), -2).when(a == F.col("missing_rep"), -1).otherwise(a).cast("int")
+
+
 def recode(cells: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
     reps = (blocks.statistics(cells) if statistics is None else statistics).select("block_id", "missing_rep", "absent_rep")
-    value = F.when(F.col("allele") == -1, F.col("missing_rep")).when(F.col("allele") == -2, F.col("absent_rep")).otherwise(F.col("allele"))
-    return cells.join(reps, "block_id").withColumn("allele", value.cast("int"))
+    return blocks.beside(cells, reps).withColumn("allele", _replaced(F.col("allele")))
 
 
 def undo(recoded: DataFrame) -> DataFrame:
-    value = F.when(F.col("allele") == F.col("absent_rep"), -2).when(F.col("allele") == F.col("missing_rep"), -1).otherwise(F.col("allele"))
-    return recoded.withColumn("allele", value.cast("int")).drop("missing_rep", "absent_rep")
+    return recoded.withColumn("allele", _restored(F.col("allele"))).drop("missing_rep", "absent_rep")
+
+
+def recode_rows(rows: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Variant rows with replaced alleles, and of their block missing_rep, absent_rep, depth and n_rows: arrays, before anything is exploded."""
+    facts = (blocks.facts(rows) if facts is None else facts).select("block_id", "missing_rep", "absent_rep", "depth", "n_rows")
+    return blocks.beside(rows, facts).withColumn("alleles", F.transform("alleles", _replaced))
+
+
+def undo_rows(recoded: DataFrame) -> DataFrame:
+    return recoded.withColumn("alleles", F.transform("alleles", _restored)).drop("missing_rep", "absent_rep", "depth", "n_rows")

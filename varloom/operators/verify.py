@@ -1,36 +1,102 @@
-"""Comparison of two cell tables."""
+"""Comparison of cells, variant rows and lines.
+
+Both sides are first digested by spans of variants: digests are counts and exclusive ors of hashes, so they do not depend
+on order and are combined in the tasks.  Only spans whose digests differ are joined; what is equal is never shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.sources.scratch import written
 
-def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """v, s, k and both alleles where the tables differ or only one has a cell."""
-    a = left.select("v", "s", "k", F.col("allele").alias("left_allele"))
-    b = right.select("v", "s", "k", F.col("allele").alias("right_allele"))
+#: Variants of a span, and spans that are broadcast at most.
+SPAN, MOST_SPANS = 1024, 1 << 18
+
+_CELL = ("v", "s", "k", "allele")
+_ROW = ("v", "contig", "pos", "ploidy", "alleles", "phases")
+
+
+def _span() -> Column:
+    return F.floor(F.col("v") / SPAN)
+
+
+def digests(df: DataFrame, columns: tuple[str, ...], weight: Column | None = None) -> DataFrame:
+    """span, n (rows, or the sum of a weight), and an order-free digest of the columns of each span of variants."""
+    marked = [x for c in columns for x in (F.col(c), F.col(c).isNull())]  # the hash passes over nulls
+    halves = {name: F.bit_xor(F.xxhash64(F.lit(seed), *marked)) for name, seed in (("x", 1), ("y", 2))}
+    n = F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0))
+    found = df.groupBy(_span().alias("span")).agg(F.count("*").alias("rows"), n.cast("long").alias("n"), *(h.alias(name) for name, h in halves.items()))
+    return found.select("span", "n", F.struct("rows", "x", "y").alias("digest"))
+
+
+def spans(left: DataFrame, right: DataFrame, columns: tuple[str, ...], weight: Column | None = None) -> DataFrame:
+    """span, n_left, n_right and whether the sides differ there: a written table with a short row a span."""
+    a, b = (digests(df, columns, weight).withColumnsRenamed({"n": f"n_{side}", "digest": side}) for df, side in ((left, "left"), (right, "right")))
+    both = a.join(b, "span", "full")
+    n = lambda side: F.coalesce(f"n_{side}", F.lit(0)).alias(f"n_{side}")
+    return written(both.select("span", n("left"), n("right"), (~F.col("left").eqNullSafe(F.col("right"))).alias("differ")), "spans")
+
+
+def _within(df: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of spans that differ."""
+    odd = found.where("differ").select(F.col("span").alias("_span"))
+    few = odd.limit(MOST_SPANS + 1).count() <= MOST_SPANS
+    return df.join(F.broadcast(odd) if few else odd.hint("merge"), _span() == F.col("_span"), "left_semi")
+
+
+def _cell_differences(left: DataFrame, right: DataFrame, found: DataFrame) -> DataFrame:
+    a, b = (_within(df, found).select("v", "s", "k", F.col("allele").alias(f"{side}_allele")) for df, side in ((left, "left"), (right, "right")))
     return a.join(b, ["v", "s", "k"], "full").where(~F.col("left_allele").eqNullSafe(F.col("right_allele")))
 
 
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """v, s, k and both alleles where the tables of cells differ or only one has a cell."""
+    return _cell_differences(left, right, spans(left, right, _CELL))
+
+
+def _summed(found: DataFrame, n_differ: DataFrame) -> DataFrame:
+    """n_left and n_right of the spans and n_differ of a frame, as one row."""
+    sides = found.agg(F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right")).withColumn("n_differ", F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    return sides.unionByName(n_differ.select(zero.alias("n_left"), zero.alias("n_right"), "n_differ")).agg(*(F.sum(c).alias(c) for c in ("n_left", "n_right", "n_differ")))
+
+
 def summary(left: DataFrame, right: DataFrame) -> DataFrame:
     """Cells on either side and how many of them differ: one row."""
-    a = left.select("v", "s", "k", F.col("allele").alias("left_allele"))
-    b = right.select("v", "s", "k", F.col("allele").alias("right_allele"))
-    both = a.join(b, ["v", "s", "k"], "full")
-    return both.agg(F.count("left_allele").alias("n_left"), F.count("right_allele").alias("n_right"), F.sum((~F.col("left_allele").eqNullSafe(F.col("right_allele"))).cast("long")).alias("n_differ"))
+    found = spans(left, right, _CELL, F.col("allele").isNotNull().cast("long"))
+    return _summed(found, _cell_differences(left, right, found).agg(F.count("*").alias("n_differ")))
+
+
+def row_differences(left: DataFrame, right: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """v and n_differ of variant rows that differ: alleles, phases, and one for a contig, position or ploidy that differs.
+
+    A variant's arrays meet once.  Places that only one side has differ too.
+    """
+    found = spans(left, right, _ROW) if found is None else found
+    a, b = (_within(df, found).select("v", F.struct(*_ROW[1:]).alias(side)) for df, side in ((left, "l"), (right, "r")))
+    none = F.array().cast("array<int>")
+
+    def differ(name: str) -> Column:
+        x, y = (F.coalesce(F.col(side)[name], none) for side in ("l", "r"))
+        return F.size(F.filter(F.zip_with(x, y, lambda c, d: ~c.eqNullSafe(d)), lambda d: d)).cast("long")
+
+    place = F.lit(False)
+    for name in ("contig", "pos", "ploidy"):
+        place = place | ~F.col("l")[name].eqNullSafe(F.col("r")[name])
+    n_differ = differ("alleles") + differ("phases") + place.cast("long")
+    return a.join(b, "v", "full").select("v", n_differ.alias("n_differ")).where("n_differ > 0")
 
 
 def row_summary(left: DataFrame, right: DataFrame) -> DataFrame:
-    """As `summary`, of variant rows: their arrays of alleles meet once a variant."""
-    a, b = (df.select("v", F.col("alleles").alias(side)) for df, side in ((left, "l"), (right, "r")))
-    n = lambda side: F.coalesce(F.size(side), F.lit(0)).cast("long")
-    differ = F.size(F.filter(F.zip_with(F.coalesce("l", F.array().cast("array<int>")), F.coalesce("r", F.array().cast("array<int>")), lambda x, y: ~x.eqNullSafe(y)), lambda d: d)).cast("long")
-    found = a.join(b, "v", "full").select(n("l").alias("l"), n("r").alias("r"), differ.alias("d"))
-    return found.agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"), F.sum("d").alias("n_differ"))
+    """Cells on either side of variant rows, and what differs (`row_differences`) in all: one row."""
+    found = spans(left, right, _ROW, F.size("alleles").cast("long"))
+    return _summed(found, row_differences(left, right, found).agg(F.coalesce(F.sum("n_differ"), F.lit(0)).alias("n_differ")))
 
 
 def line_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """v and both lines of variants whose lines differ, or which only one side has."""
-    a, b = (df.select("v", F.col("line").alias(f"{side}_line")) for df, side in ((left, "left"), (right, "right")))
+    found = spans(left, right, ("v", "line"))
+    a, b = (_within(df, found).select("v", F.col("line").alias(f"{side}_line")) for df, side in ((left, "left"), (right, "right")))
     return a.join(b, "v", "full").where(~F.col("left_line").eqNullSafe(F.col("right_line")))

@@ -17,16 +17,17 @@ class Engine:
         self.spark, self.options = spark, options or EncodeOptions()
 
     def encode(self, cells: DataFrame, path: str, names: DataFrame | None = None) -> None:
-        """Encode a table of cells; its samples are numbered from 0."""
+        """Encode a table of cells; its samples are numbered from 0, its variants (v) from 0 in order of contig and position."""
         samples = cells.agg(F.max("s")).first()[0]
-        store.write(layout.rows(cells, 0 if samples is None else samples + 1), path, self.options, names)
+        self.encode_rows(layout.rows(cells, 0 if samples is None else samples + 1), path, names)
 
     def encode_rows(self, rows: DataFrame, path: str, names: DataFrame | None = None) -> None:
-        store.write(rows, path, self.options, names)
+        """Encode variant rows, in blocks of the options' size, or with block_size=None in the blocks that they are given in."""
+        store.write(rows, path, self.options, names, block_size=self.options.block_size)
 
     def encode_vcf(self, source: str, path: str) -> None:
         """Encode a VCF, with the names of its samples and its header."""
-        rows = vcf.rows_of(vcf.read_variants(self.spark, source), self.options.block_size)
+        rows = vcf.rows_of(vcf.read_variants(self.spark, source), self.options.block_size or EncodeOptions.block_size)
         store.write(rows, path, self.options, vcf.read_samples(self.spark, source), vcf.read_header(self.spark, source))
 
     def decode_rows(self, path: str, pos: tuple[int, int] | None = None, samples: list[str] | None = None, unknown: str = "raise", contig: str | None = None) -> DataFrame:
@@ -51,6 +52,10 @@ class Engine:
         """The cells in which a store differs from its source; none if it is intact."""
         return verify.differences(store.read_cells(self.spark, path), cells)
 
+    def compare_rows(self, path: str, rows: DataFrame) -> DataFrame:
+        """The variants in which a store differs from its source in alleles, phases or place; none if it is intact."""
+        return verify.row_differences(store.read(self.spark, path), rows)
+
     def compare_vcf(self, path: str, source: str) -> DataFrame:
         """The variants whose lines differ between a store and a VCF, or stand in one of them only."""
         variants = vcf.read_variants(self.spark, source)

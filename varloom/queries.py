@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from varloom.operators import access, binarize, blocks, codec, container, distance, layout, recode, text, tour, verify
 from varloom.plans.engine import EncodeOptions, Engine
-from varloom.sources import store, vcf
-from varloom.sources.cells import fixture_cells, fixture_rows, samples_of
+from varloom.sources import store, table_function, vcf, vcf_format
+from varloom.sources.cells import BLOCK, fixture_cells, fixture_rows, samples_of
 from varloom.sources.scratch import scratch_path, written
 
 START, END, NAMES = 2000, 5000, ["S7", "S1", "S7"]
@@ -46,20 +46,13 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.facts(fixture_rows(spark, sf_dir))
 
 
-def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _facts(spark, sf_dir).select("block_id", "max_allele", "any_missing", "any_absent", "missing_rep", "absent_rep", "depth")
-
-
-def _matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    stats = _statistics(spark, sf_dir)
-    return layout.flatten(recode.recode(fixture_cells(spark, sf_dir), stats)), stats
+def _recoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recode.recode_rows(fixture_rows(spark, sf_dir))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recoded rows of each block as arrays."""
-    rows = fixture_rows(spark, sf_dir).join(_statistics(spark, sf_dir), "block_id")
-    recoded = F.transform("alleles", lambda a: F.when(a == -1, F.col("missing_rep")).when(a == -2, F.col("absent_rep")).otherwise(a).cast("int"))
-    return rows.select("block_id", F.col("row_in_block").alias("id"), recoded.alias("x"), "depth")
+    return _recoded(spark, sf_dir).select("block_id", F.col("row_in_block").alias("id"), F.col("alleles").alias("x"), "depth")
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,13 +60,16 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gt_range_sample_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = access.select_samples(_samples(spark, sf_dir), NAMES)
-    rows = text.genotypes(access.rows_in_range(fixture_cells(spark, sf_dir), START, END).join(chosen.select("s").distinct(), "s", "left_semi"))
-    return rows.join(chosen, "s").select("v", "pos", "ord", "name", "gt")
+    """The arrays of the named samples are cut out of the rows of the range; nothing is shuffled."""
+    chosen = access.select_samples(_samples(spark, sf_dir), NAMES).orderBy("ord").collect()  # as many as were named
+    rows = fixture_rows(spark, sf_dir, F.col("pos").between(START, END))
+    found = text.row_genotypes(access.pick(rows, [r["s"] for r in chosen]))
+    names = F.array(*(F.lit(r["name"]) for r in chosen))
+    return found.select("v", "pos", F.posexplode("gts").alias("ord", "gt")).select("v", "pos", "ord", F.get(names, F.col("ord")).alias("name"), "gt")
 
 
 def gt_range_all_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text.row_genotypes(access.rows_in_range(fixture_rows(spark, sf_dir), START, END))
+    found = text.row_genotypes(fixture_rows(spark, sf_dir, F.col("pos").between(START, END)))
     return found.select("v", "pos", F.posexplode_outer("gts").alias("s", "gt")).where("s IS NOT NULL").withColumn("s", F.col("s").cast("long"))
 
 
@@ -127,11 +123,11 @@ def recode_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recode_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recode.recode(fixture_cells(spark, sf_dir), _statistics(spark, sf_dir)).select("v", "s", "k", "allele")
+    return layout.cells(_recoded(spark, sf_dir)).select("v", "s", "k", "allele")
 
 
 def undo_recode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recode.undo(recode.recode(fixture_cells(spark, sf_dir), _statistics(spark, sf_dir))).select("v", "s", "k", "allele")
+    return layout.cells(recode.undo_rows(_recoded(spark, sf_dir))).select("v", "s", "k", "allele")
 
 
 def missing_by_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,39 +146,38 @@ def phase_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.phase_uniformity(fixture_cells(spark, sf_dir))
 
 
-def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binarize.bit_planes(*_matrix(spark, sf_dir))
-
-
 def bit_plane_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.concatenate(_planes(spark, sf_dir), 2, "n_rows", 2 * samples_of(spark, sf_dir))
+    planes = binarize.bit_cells(binarize.row_planes(_recoded(spark, sf_dir)))
+    return layout.concatenate(planes, 2, "n_rows", 2 * samples_of(spark, sf_dir)).drop("n_rows")
 
 
 def bit_plane_axis0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planes = _planes(spark, sf_dir).join(_facts(spark, sf_dir).select("block_id", "n_rows"), "block_id")
-    return layout.concatenate(planes, 0, "n_rows", 2 * samples_of(spark, sf_dir)).select("block_id", "row_in_block", "col_id", "bit")
+    """Planes are stacked while they are arrays, then taken apart."""
+    stacked = layout.concatenate(binarize.row_planes(_recoded(spark, sf_dir)), 0, "n_rows", 2 * samples_of(spark, sf_dir))
+    return binarize.bit_cells(stacked.select("block_id", "row_in_block", "bits"))
 
 
 def bit_plane_axis1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.concatenate(_planes(spark, sf_dir), 1, "n_rows", 2 * samples_of(spark, sf_dir)).select("block_id", "row_in_block", "col_id", "bit")
+    planes = binarize.bit_cells(binarize.row_planes(_recoded(spark, sf_dir)))
+    return layout.concatenate(planes, 1, "n_rows", 2 * samples_of(spark, sf_dir)).select("block_id", "row_in_block", "col_id", "bit")
 
 
 def bit_plane_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binarize.from_bit_planes(_planes(spark, sf_dir))
+    return binarize.bit_cells(binarize.from_row_planes(binarize.row_planes(_recoded(spark, sf_dir))), "alleles", "allele")
 
 
 def row_bitlen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binarize.row_bits(_matrix(spark, sf_dir)[0])
+    """The arrays give their bits before the window, so it moves four numbers a row."""
+    return binarize.bits_of_rows(_recoded(spark, sf_dir).select("block_id", "row_in_block", F.array(F.array_max("alleles")).alias("alleles"))).drop("alleles")
 
 
 def row_split_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binarize.row_split(_matrix(spark, sf_dir)[0])
+    return binarize.bit_cells(binarize.split_rows(binarize.bits_of_rows(_recoded(spark, sf_dir))))
 
 
 def row_split_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = _matrix(spark, sf_dir)[0]
-    rows = binarize.row_bits(matrix)
-    return binarize.from_row_split(binarize.row_split(matrix, rows), rows)
+    rows = binarize.bits_of_rows(_recoded(spark, sf_dir))
+    return binarize.bit_cells(binarize.from_split_rows(binarize.split_rows(rows), row_bitlen(spark, sf_dir)), "alleles", "allele")
 
 
 def param_set_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,7 +210,7 @@ def ham_rl_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distance.cost_matrix(ham_dist_cols(spark, sf_dir))
+    return distance.pairs(_vectors(spark, sf_dir), "ham", columns=True, whole=True)
 
 
 def nearest_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,18 +225,35 @@ def nn_tour_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tour.tour(_vectors(spark, sf_dir), columns=True)
 
 
+def nn_tour_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tour by the solver that holds one row of distances."""
+    return tour.tour(_vectors(spark, sf_dir), "nn_direct", columns=True)
+
+
+def two_opt_tours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tours with pieces turned round: every column once, and no longer than the plain tour."""
+    vectors = written(_vectors(spark, sf_dir), "vectors")
+    orders = [written(tour.tour(vectors, name, columns=True, preset=preset), "order") for name, preset in (("nn_direct", 0), ("nn_two_opt", 1))]
+    plain, better = (tour.lengths(vectors, o, columns=True).withColumnRenamed("total", name) for o, name in zip(orders, ("plain", "better"), strict=True))
+    seen = orders[1].groupBy("block_id").agg(F.count("*").alias("n_steps"), F.count_distinct("id").alias("n_columns"))
+    return plain.join(better, "block_id").join(seen, "block_id").select("block_id", "n_steps", "n_columns", (F.col("better") <= F.col("plain")).cast("int").alias("not_longer"))
+
+
 def inverse_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tour.inverse(nn_tour_cols(spark, sf_dir))
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    return binarize.bit_cells(rows.select("block_id", F.col("id").alias("row_in_block"), "x"), "x", "allele")
+
+
 def apply_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = _matrix(spark, sf_dir)[0].select("block_id", "row_in_block", "col_id", "allele")
-    return tour.apply(matrix, nn_tour_cols(spark, sf_dir), "col_id")
+    return _placed(tour.apply_to_rows(_vectors(spark, sf_dir), nn_tour_direct(spark, sf_dir)))
 
 
 def undo_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = nn_tour_cols(spark, sf_dir)
-    return tour.undo(apply_permutation(spark, sf_dir), order, "col_id")
+    order = written(nn_tour_direct(spark, sf_dir), "order")
+    return _placed(tour.apply_to_rows(tour.apply_to_rows(_vectors(spark, sf_dir), order), tour.inverse(order)))
 
 
 def perm_bits_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,12 +298,11 @@ def gt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixture_cells(spark, sf_dir)
-    return verify.summary(cells, recode.undo(recode.recode(cells, _statistics(spark, sf_dir))))
+    return verify.summary(cells, layout.cells(recode.undo_rows(_recoded(spark, sf_dir))))
 
 
 def compare_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = fixture_cells(spark, sf_dir)
-    return verify.differences(cells, recode.recode(cells, _statistics(spark, sf_dir)))
+    return verify.differences(fixture_cells(spark, sf_dir), layout.cells(_recoded(spark, sf_dir)))
 
 
 def compare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +315,7 @@ def compare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str, **options: object) -> str:
     """The fixture encoded into a store in the shared folder."""
     path = scratch_path(spark, "store")
-    Engine(spark, EncodeOptions(**options)).encode_rows(fixture_rows(spark, sf_dir), path)
+    Engine(spark, EncodeOptions(block_size=BLOCK, **options)).encode_rows(fixture_rows(spark, sf_dir), path)
     return path
 
 
@@ -328,6 +339,13 @@ ROUNDTRIPS = {
     for kind, axis in (("bit_plane", 0), ("bit_plane", 1), ("bit_plane", 2), ("row_split", 2))
     for sort in ("none", "rows", "cols", "both")
 }
+#: The solver without a matrix of distances, the one that goes on from its tour, and stores in tiles.
+ROUNDTRIPS |= {
+    "roundtrip_direct_both": _roundtrip(sort_rows=True, sort_cols=True, solver="nn_direct", distance="ham_rl"),
+    "roundtrip_two_opt_cols": _roundtrip(sort_cols=True, solver="nn_two_opt", preset=1),
+    "roundtrip_tiled": _roundtrip(tile_samples=3, sort_rows=True),
+    "roundtrip_tiled_split": _roundtrip(tile_samples=7, binarization="row_split", sort_cols=True, coder="lzma"),
+}
 
 
 def store_range_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,8 +354,25 @@ def store_range_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).decode(path, (START, END), NAMES).select("v", "pos", "s", "gt")
 
 
+def tiled_range_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a store in tiles of four samples: the scan opens the folders of two tiles."""
+    path = _stored(spark, sf_dir, sort_cols=True, tile_samples=4)
+    return Engine(spark).decode(path, (START, END), NAMES).select("v", "pos", "s", "gt")
+
+
+def tiled_one_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample over all variants, from one tile."""
+    return Engine(spark).decode(_stored(spark, sf_dir, tile_samples=4), samples=["S5"]).select("v", "pos", "gt")
+
+
+def tiled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies in the folder of each tile."""
+    found = store.blocks_of(spark, _stored(spark, sf_dir, tile_samples=4))
+    return found.groupBy("tile").agg(F.count("*").alias("n_blocks"), F.sum("n_rows").alias("n_rows"), F.min("first_s").alias("first_s"), F.max("n_samples").alias("n_samples"))
+
+
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.sizes(spark, _stored(spark, sf_dir, coder="raw", sort_rows=True))
+    return store.sizes(spark, _stored(spark, sf_dir, coder="raw", sort_rows=True)).drop("tile")
 
 
 def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +383,7 @@ def units_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Access units as bytes, parsed again: blocks of each, and how many payloads are equal to those written."""
     path = _stored(spark, sf_dir, coder="raw")
     parsed = container.units_from_bytes(store.write_units(spark, path)[1])
-    kept = spark.read.parquet(f"{path}/blocks")
+    kept = store.blocks_of(spark, path)
     kept = kept.withColumn("place", F.row_number().over(Window.partitionBy("au_id").orderBy("block_id")) - 1)  # at most 255 blocks a unit
     both = parsed.join(kept.select("au_id", "place", F.col("payload").alias("known")), ["au_id", "place"], "left")
     return both.groupBy("au_id", "set_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("payload") == F.col("known")).alias("n_equal"))
@@ -367,9 +402,14 @@ def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("gts", third)
 
 
-def _vcf_store(spark: SparkSession, sf_dir: str) -> str:
-    source, path = scratch_path(spark, "source") + ".vcf", scratch_path(spark, "store")
-    vcf.write_vcf(_mixed(spark, sf_dir), source, [f"N{s}" for s in range(samples_of(spark, sf_dir))])
+def _vcf_file(spark: SparkSession, sf_dir: str, ending: str = ".vcf") -> str:
+    source = scratch_path(spark, "source") + ending
+    vcf.write_vcf(_mixed(spark, sf_dir), source, [f"N{s}" for s in range(samples_of(spark, sf_dir))], 1 if ending == ".vcf.gz" else None)
+    return source
+
+
+def _vcf_store(spark: SparkSession, sf_dir: str, ending: str = ".vcf") -> str:
+    source, path = _vcf_file(spark, sf_dir, ending), scratch_path(spark, "store")
     Engine(spark, EncodeOptions(block_size=64, sort_rows=True)).encode_vcf(source, path)
     return path
 
@@ -379,6 +419,31 @@ def vcf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark).decode_lines(_vcf_store(spark, sf_dir))
 
 
+def vcf_gz_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through one block-compressed file."""
+    return Engine(spark).decode_lines(_vcf_store(spark, sf_dir, ".vcf.gz"))
+
+
+def vcf_gz_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a range of one contig of a block-compressed file, read by several tasks; the reader gets the condition."""
+    found = vcf_format.read(spark, _vcf_file(spark, sf_dir, ".vcf.gz"), splitBytes=1 << 16, sorted="true")
+    return found.where((F.col("contig") == "2") & F.col("pos").between(1500, 3000)).select("contig", "pos", F.array_join("gt", "\t").alias("line"))
+
+
+def vcf_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the samples and number of header lines, as a store keeps them."""
+    path = _vcf_store(spark, sf_dir, ".vcf.gz")
+    n = spark.read.parquet(f"{path}/header").count()
+    return spark.read.parquet(f"{path}/samples").select("s", "name", F.lit(n).cast("long").alias("header_lines"))
+
+
+def decoded_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of a store in tiles, decoded by the table function in SQL."""
+    table_function.register(spark)
+    table_function.view(spark, _stored(spark, sf_dir, tile_samples=4), "stored_blocks", START, END)
+    return spark.sql(f"SELECT v, pos, alleles[0] AS first_allele, alleles[size(alleles) - 1] AS last_allele, size(alleles) AS n_alleles, phases[0] AS first_phase FROM decode_blocks(TABLE(stored_blocks) PARTITION BY (block_id), {START}L, {END}L)")
+
+
 def vcf_range_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named samples in a range of one contig of that VCF."""
     return Engine(spark).decode(_vcf_store(spark, sf_dir), (1500, 3000), ["N7", "N1", "N7"], contig="2")
@@ -458,15 +523,24 @@ au AS (SELECT block_id, set_id, (sum(starts) OVER (ORDER BY block_id) - 1)::BIGI
         "compare_lines": _with(CELLS, GT, "l AS (SELECT v, string_agg(gt, chr(9) ORDER BY s) AS line FROM gt GROUP BY v)") + "SELECT v, line AS left_line, regexp_replace(line, '[|/]', '', 'g') AS right_line FROM l WHERE v % 64 = 0 AND regexp_matches(line, '[|/]')",
         **{name: c + whole for name in ROUNDTRIPS},
         "store_range_samples": _with(CELLS, GT) + f"SELECT v, pos, ord::BIGINT AS s, gt FROM gt JOIN {_SAMPLES} USING (s) JOIN {_NAMES} USING (name) WHERE pos BETWEEN {START} AND {END}",
+        "tiled_range_samples": _with(CELLS, GT) + f"SELECT v, pos, ord::BIGINT AS s, gt FROM gt JOIN {_SAMPLES} USING (s) JOIN {_NAMES} USING (name) WHERE pos BETWEEN {START} AND {END}",
+        "tiled_one_sample": _with(CELLS, GT) + "SELECT v, pos, gt FROM gt WHERE s = 5",
+        "tiled_counts": c + f"SELECT (s // 4)::INT AS tile, count(DISTINCT block_id) AS n_blocks, count(DISTINCT v) AS n_rows, min(s) AS first_s, count(DISTINCT s) AS n_samples FROM cells GROUP BY s // 4",
         "component_sizes": _with(CELLS, STATS, PARAMS, f"z AS (SELECT pk.block_id, greatest(depth, 1) AS d, (phase < 0)::INT AS e, any_missing + any_absent AS r, n, ceil(n * 2 * {n_s} / 8.0) AS a, ceil(n * {n_s} / 8.0) AS f, ceil(n * CASE WHEN n > 1 THEN {width} ELSE 0 END / 8.0) + 4 AS i FROM pk JOIN (SELECT block_id, count(DISTINCT v) AS n FROM cells GROUP BY block_id) USING (block_id))")
         + "SELECT block_id, (d * (a + 12))::BIGINT AS allele_matrices, (d * i)::BIGINT AS allele_row_ids, 0::BIGINT AS allele_col_ids, 0::BIGINT AS row_lengths, (e * (f + 12))::BIGINT AS phase_matrix, (e * i)::BIGINT AS phase_row_ids, 0::BIGINT AS phase_col_ids, r::BIGINT AS replacements, (d * (a + 12 + i) + e * (f + 12 + i) + r)::BIGINT AS payload_bytes, (d * (a + 12 + i) + e * (f + 12 + i) + r + 5)::BIGINT AS block_bytes FROM z",
         "store_counts": _with(CELLS, STATS, PARAMS, au) + "SELECT (SELECT count(*) FROM part) AS n_variants, (SELECT count(*) FROM supplier) AS n_samples, count(*) AS n_blocks, count(DISTINCT au_id) AS n_units, count(DISTINCT set_id) AS n_sets FROM au",
         "units_roundtrip": _with(CELLS, STATS, PARAMS, au) + "SELECT au_id, set_id::BIGINT AS set_id, count(*) AS n_blocks, count(*) AS n_equal FROM au GROUP BY ALL",
         "sets_roundtrip": _with(CELLS, STATS, PARAMS) + "SELECT set_id::BIGINT AS set_id, any_missing, any_absent, 2 AS ploidy, greatest(depth, 1) AS depth, phase FROM ps",
         "vcf_roundtrip": _with(CELLS, GT, mixed) + "SELECT v, contig, pos, string_agg(gt, chr(9) ORDER BY s) AS line FROM mx GROUP BY ALL",
+        "vcf_gz_roundtrip": _with(CELLS, GT, mixed) + "SELECT v, contig, pos, string_agg(gt, chr(9) ORDER BY s) AS line FROM mx GROUP BY ALL",
+        "vcf_gz_range": _with(CELLS, GT, mixed) + "SELECT contig, pos, string_agg(gt, chr(9) ORDER BY s) AS line FROM mx WHERE contig = '2' AND pos BETWEEN 1500 AND 3000 GROUP BY ALL",
+        "vcf_header": "SELECT s_suppkey AS s, 'N' || s_suppkey AS name, 2::BIGINT AS header_lines FROM supplier",
+        "decoded_by_sql": c + f"SELECT v, pos, min(allele) FILTER (s = 0 AND k = 0) AS first_allele, min(allele) FILTER (s = {n_s} - 1 AND k = 1) AS last_allele, count(*)::INT AS n_alleles, min(phased) FILTER (s = 0) AS first_phase FROM cells WHERE pos BETWEEN {START} AND {END} GROUP BY v, pos",
         "vcf_range_samples": _with(CELLS, GT, mixed) + "SELECT v, contig, pos, ord::BIGINT AS s, gt FROM mx JOIN (VALUES (0, 7), (1, 1), (2, 7)) w(ord, s) USING (s) WHERE contig = '2' AND pos BETWEEN 1500 AND 3000",
         "cost_matrix": _with(CELLS, STATS, RECODED, HAM) + "SELECT * FROM pairs UNION ALL SELECT block_id, j, i, distance FROM pairs UNION ALL SELECT DISTINCT block_id, col_id, col_id, 0 FROM rc",
         "nn_tour_cols": _with(*_WALK, recursive=True) + "SELECT block_id, step, id FROM walk",
+        "nn_tour_direct": _with(*_WALK, recursive=True) + "SELECT block_id, step, id FROM walk",
+        "two_opt_tours": rc + "SELECT block_id, count(DISTINCT col_id) AS n_steps, count(DISTINCT col_id) AS n_columns, 1 AS not_longer FROM rc GROUP BY block_id",
         "inverse_permutation": _with(*_WALK, recursive=True) + "SELECT block_id, id AS step, step AS id FROM walk",
         "apply_permutation": _with(*_WALK, recursive=True) + "SELECT rc.block_id, row_in_block, step AS col_id, allele FROM rc JOIN walk ON rc.block_id = walk.block_id AND rc.col_id = walk.id",
         "undo_permutation": rc + "SELECT block_id, row_in_block, col_id, allele FROM rc",

@@ -7,13 +7,15 @@ allele (-1 missing, -2 absent) and phased (1: `|`, 0: `/`; the mark before the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from varloom.sources.scratch import written
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Variants of a block.
-BLOCK = 64
+#: Variants of a block, and keys that are worth a task.
+BLOCK, KEYS = 64, 250
 
 _HASH = "({v} * 7919 + {s} * 104729 + {k} * 1299709 + ({v} * {s}) % 613) % 1000"
 _ALLELE = (
@@ -33,34 +35,54 @@ def samples_of(spark: SparkSession, sf_dir: str) -> int:
 
 def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Few keys make many cells, so the keys are dealt out first: their file is one small partition.
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("v")).repartition(4 * spark.sparkContext.defaultParallelism)
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("v"))
+    part = part.repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, part.count() // KEYS)))
     return part.withColumn("block_id", F.floor(F.col("v") / BLOCK)).withColumn("row_in_block", F.col("v") % BLOCK).withColumn("pos", 1000 + 7 * F.col("v"))
 
 
-#: The rows made in this process, by application and folder.
-_made: dict[tuple[str, str], DataFrame] = {}
+def _alleles(v: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    s, k = np.divmod(np.arange(2 * n), 2)
+    v, block = v[:, None], block[:, None]
+    h = (v * 7919 + s * 104729 + k * 1299709 + (v * s) % 613) % 1000
+    high = np.select([h < 700, h < 900, (v % 5 == 0) & (h < 960), np.broadcast_to(v % 25 == 0, h.shape)], [0, 1, 2, 3], 1)
+    return np.select([np.broadcast_to(block == 5, h.shape), (block % 8 == 3) & (k == 1) & (h % 37 == 0), ((block // 2) % 4 == 1) & (h % 29 == 0)], [0, -2, -1], high).astype(np.int32)
 
 
-def fixture_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """v, contig, pos, block_id, row_in_block, ploidy, alleles and phases (one mark less a sample than copies).
+def _phases(v: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    v, block = v[:, None], block[:, None]
+    return np.where((block // 4) % 2 == 0, 1, np.where(block % 16 == 7, 0, (v + np.arange(n)) % 3 == 0)).astype(np.int32)
 
-    They are derived once an application and written to the shared folder, as a table of variants would lie there.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _made:
-        _made[key] = written(_derived_rows(spark, sf_dir), "fixture")
-    return _made[key]
 
+_ROWS = "v long, contig string, pos long, block_id long, row_in_block long, ploidy int, alleles array<int>, phases array<int>"
 
-def _derived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = samples_of(spark, sf_dir)
-    places = {"v": "v", "s": "(c div 2)", "k": "(c % 2)"}
-    allele = _ALLELE.replace("{h}", "({h})").format(h=_HASH.format(**places), **places)
-    phase = _PHASE.format(v="v", s="s")
-    return _variants(spark, sf_dir).selectExpr(
-        "v", "'1' AS contig", "pos", "block_id", "row_in_block", "2 AS ploidy",
-        f"transform(sequence(0L, {2 * n - 1}L), c -> CAST({allele} AS INT)) AS alleles", f"transform(sequence(0L, {n - 1}L), s -> CAST({phase} AS INT)) AS phases",
-    )
+
+def _derived(n: int):
+    def lists(x: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                part = batch.slice(low, 64)
+                v, block = (part.column(c).to_numpy() for c in ("v", "block_id"))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "v": part.column("v"), "contig": pa.array(["1"] * len(v)), "pos": part.column("pos"), "block_id": part.column("block_id"), "row_in_block": part.column("row_in_block"),
+                        "ploidy": pa.array(np.full(len(v), 2, np.int32)), "alleles": lists(_alleles(v, block, n)), "phases": lists(_phases(v, block, n)),
+                    }
+                )
+
+    return run
+
+
+def fixture_rows(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """v, contig, pos, block_id, row_in_block, ploidy, alleles and phases (one mark less a sample than copies).
+
+    where: a condition on v, pos, block_id or row_in_block, by which variants are left out before they are made.
+    """
+    variants = _variants(spark, sf_dir)
+    variants = variants if where is None else variants.where(where)
+    return variants.select("v", "pos", "block_id", "row_in_block").mapInArrow(_derived(samples_of(spark, sf_dir)), _ROWS)
 
 
 def fixture_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to the session's number of shuffle partitions, for work that is dear for its bytes.
+
+    Adaptive execution joins small partitions by their size; groups that compute for long would then share few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for df in tables:

@@ -1,14 +1,20 @@
-"""The encoded store: Parquet tables under one path.
+"""The encoded store: Parquet tables under one path.  Blocks of variants may be cut into tiles of samples as well.
 
-blocks      one row a block: where it lies, its access unit and parameter set, its payload's bytes and their sizes
-index       one row a block: contig, positions, ploidy, replacement values, depth
+blocks      one row a block and tile: where it lies, its access unit and parameter set, its payload's bytes and their sizes;
+            a folder a tile, and in it blocks by number, hence by contig and position
+index       one row a block and tile: contig, positions, ploidy, replacement values, depth; a folder a tile
+tiles       one row a tile: its first sample and their number
 parameters  the parameter sets that blocks refer to
 samples     s and name
 header      lines of the source's header
+
+Every tile is coded on its own, with its own replacement values, depth, phases and orders, so what is read for named
+samples is their tiles' folders, and in those the blocks of the range.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +26,7 @@ from varloom.operators import blocks, container, layout, matrices
 from varloom.operators.matrices import EncodeOptions
 from varloom.sources.scratch import discard, written
 
-TABLES = ("blocks", "index", "parameters", "samples", "header")
+TABLES = ("blocks", "index", "tiles", "parameters", "samples", "header")
 #: A parameter set's number is one byte.
 MOST_SETS = 256
 
@@ -42,109 +48,197 @@ def _encoder(options: EncodeOptions):
     return run
 
 
-def write(rows: DataFrame, path: str, options: EncodeOptions | None = None, names: DataFrame | None = None, header: DataFrame | None = None, mode: str = "errorifexists") -> None:
-    """Encode variant rows block by block: recode, binarize, sort, pack, code.
+def _tiled(rows: DataFrame, size: int, blocks_: int) -> DataFrame:
+    """Rows cut into tiles of `size` samples; block_id numbers the blocks of the first tile, then those of the second, and so on."""
+    p = F.col("ploidy")
+    count = F.ceil(F.size("alleles") / p / size).cast("int")
+    cut = lambda name, n, t: F.slice(name, t * size * n + 1, n * size)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda t: F.struct(t.alias("t"), cut("alleles", p, t).alias("a"), cut("phases", p - 1, t).alias("f")))
+    each = rows.select(*(c for c in rows.columns if c not in ("alleles", "phases")), F.explode_outer(pieces).alias("piece")).where("piece IS NOT NULL")
+    return each.withColumn("block_id", F.col("piece.t").cast("long") * blocks_ + F.col("block_id")).withColumns({"alleles": F.col("piece.a"), "phases": F.col("piece.f")}).drop("piece")
 
-    The rows are written once to the shared folder and read from there.  Blocks are laid out by their number, hence by
-    contig and position, so readers prune.  names: s and name of the samples (without it S0, S1, ...); mode: what to do
-    with tables that are there already, as in Spark's writer.
-    """
-    spark, options = rows.sparkSession, options or EncodeOptions()
+
+def _encoded(rows: DataFrame, options: EncodeOptions, block_size: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """blocks, index, tiles and parameters of variant rows, and the written tables that they are made from."""
     rows = written(rows.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", "alleles", "phases"), "rows")
+    made = [rows]
+    if block_size is not None:
+        rows = blocks.reblock(rows, block_size)
+    last = rows.agg(F.max("block_id")).first()[0]
+    stride = 1 if last is None else last + 1
+    if options.tile_samples:
+        rows = _tiled(rows, options.tile_samples, stride)
     facts = written(blocks.facts(rows), "facts")
 
     shape = facts if options.binarization == "bit_plane" else facts.withColumn("depth", F.lit(1))
     key = ("any_missing", "any_absent", "ploidy", "depth", "phase")
-    sets = blocks.number_sets(shape, key)
     axis = options.axis if options.binarization == "bit_plane" else 0
     constant = {n: F.lit(axis if n == "axis" else getattr(options, n)) for n in ("binarization", "axis", "sort_rows", "sort_cols", "transpose", "coder")}
-    sets = written(sets.withColumns(constant), "sets")
+    sets = written(blocks.number_sets(shape, key).withColumns(constant).withColumn("set_id", F.col("set_id").cast("long")), "sets")
+    made += [facts, sets]
     if sets.count() > MOST_SETS:
         raise ValueError(f"more than {MOST_SETS} parameter sets")
-    named = shape.join(F.broadcast(sets.select(*key, "set_id")), list(key)).select("block_id", F.col("set_id").cast("long"))  # at most MOST_SETS rows
-    units = written(blocks.number_units(named), "units")
+    # At most MOST_SETS rows.  A unit ends with its tile, so tiles tell their sets apart here.
+    tile = F.floor(F.col("block_id") / stride)
+    named = shape.join(F.broadcast(sets.select(*key, "set_id")), list(key)).select("block_id", (F.col("set_id") + tile * MOST_SETS).alias("set_id"))
+    named = written(named, "named")
+    units = written(blocks.number_units(named).select("block_id", (F.col("set_id") % MOST_SETS).alias("set_id"), "au_id"), "units")
+    made += [named, units]
 
     recoded = F.transform("alleles", lambda a: F.when(a == -1, F.col("missing_rep")).when(a == -2, F.col("absent_rep")).otherwise(a).cast("int"))
-    given = rows.join(facts.drop("contig", "ploidy"), "block_id").withColumn("values", recoded)
+    given = blocks.beside(rows, facts.drop("contig", "ploidy"), kept=True).withColumn("values", recoded)
     given = given.select(*_COPIED, "row_in_block", "pos", "values", "phases", "depth", "phase", "missing_rep", "absent_rep")
-    coded = given.repartitionByRange("block_id").groupBy("block_id").applyInPandas(_encoder(options), _BLOCK)  # the ranges serve the grouping too
-    coded.join(units, "block_id").write.mode(mode).parquet(f"{path}/blocks")
-    facts.write.mode(mode).parquet(f"{path}/index")
-    sets.select(*container.SET_NAMES).coalesce(1).write.mode(mode).parquet(f"{path}/parameters")
+    coded = given.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block_id").groupBy("block_id").applyInPandas(_encoder(options), _BLOCK)  # the ranges serve the grouping too
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("tile", tile.cast("int")).withColumn("first_s", F.col("tile").cast("long") * (options.tile_samples or 0)).withColumn("block_id", F.col("block_id") % stride)
+
+    # The units stay on the side that is shuffled: coded blocks keep their ranges, so a task writes few tiles.
+    found, index = placed(coded.join(F.broadcast(units) if facts.limit(blocks.MOST_FACTS + 1).count() <= blocks.MOST_FACTS else units, "block_id")), placed(facts)
+    tiles = index.groupBy("tile", "first_s").agg(F.max("n_samples").alias("n_samples"))
+    return found, index, tiles, sets.select(*container.SET_NAMES), made
+
+
+def write(rows: DataFrame, path: str, options: EncodeOptions | None = None, names: DataFrame | None = None, header: DataFrame | None = None, mode: str = "errorifexists", block_size: int | None = None) -> None:
+    """Encode variant rows block by block, and tile by tile: recode, binarize, sort, pack, code.
+
+    The rows are written once to the shared folder and read from there.  Blocks are laid out by tile and number, hence by
+    contig and position, so readers prune.  names: s and name of the samples (without it S0, S1, ...); mode: what to do
+    with tables that are there already, as in Spark's writer; block_size: None keeps the blocks that the rows are given in.
+    """
+    spark, options = rows.sparkSession, options or EncodeOptions()
+    found, index, tiles, sets, made = _encoded(rows, options, block_size)
+    found.write.mode(mode).partitionBy("tile").parquet(f"{path}/blocks")
+    index.write.mode(mode).partitionBy("tile").parquet(f"{path}/index")
+    tiles.coalesce(1).write.mode(mode).parquet(f"{path}/tiles")
+    sets.coalesce(1).write.mode(mode).parquet(f"{path}/parameters")
     if names is None:
-        n = facts.agg(F.max("n_samples")).first()[0] or 0
+        n = spark.read.parquet(f"{path}/tiles").agg(F.sum("n_samples")).first()[0] or 0
         names = spark.range(n).select(F.col("id").alias("s"), F.concat(F.lit("S"), F.col("id")).alias("name"))
     names.select("s", "name").write.mode(mode).parquet(f"{path}/samples")
     header = spark.createDataFrame([], "line_no long, value string") if header is None else header
     header.write.mode(mode).parquet(f"{path}/header")
-    discard(rows, facts, sets, units)
+    discard(*made)
+
+
+_STORED = f"{_BLOCK}, set_id long, au_id long, first_s long, tile int"
+
+
+def blocks_of(spark: SparkSession, path: str) -> DataFrame:
+    """The table of coded blocks."""
+    return spark.read.schema(_STORED).parquet(f"{path}/blocks")
 
 
 def check(spark: SparkSession, path: str) -> None:
-    """Raise if access units are not numbered without gaps, blocks lack their set, or numbers of samples differ."""
-    found = spark.read.parquet(f"{path}/blocks")
-    r = found.agg(F.count_distinct("au_id").alias("units"), F.max("au_id").alias("last"), F.min("n_samples").alias("low"), F.max("n_samples").alias("high")).first()
+    """Raise if access units are not numbered without gaps, blocks lack their set, or numbers of samples differ within a tile."""
+    found = blocks_of(spark, path)
+    r = found.agg(F.count_distinct("au_id").alias("units"), F.max("au_id").alias("last")).first()
     if r["units"] and r["units"] != r["last"] + 1:
         raise ValueError("access units are missing")
-    if r["low"] != r["high"]:
+    if found.groupBy("tile").agg((F.min("n_samples") != F.max("n_samples")).alias("odd")).where("odd").limit(1).count():
         raise ValueError("blocks have different numbers of samples")
     if found.select("set_id").distinct().join(spark.read.parquet(f"{path}/parameters").select("set_id"), "set_id", "left_anti").limit(1).count():
         raise ValueError("a parameter set is missing")
 
 
 def counts(spark: SparkSession, path: str) -> DataFrame:
-    """Numbers of variants, samples, blocks, access units and parameter sets: one row."""
-    found = spark.read.parquet(f"{path}/blocks")
-    return found.agg(F.sum("n_rows").alias("n_variants"), F.max("n_samples").alias("n_samples"), F.count("*").alias("n_blocks"), F.count_distinct("au_id").alias("n_units"), F.count_distinct("set_id").alias("n_sets"))
+    """Numbers of variants, samples, blocks (of all tiles), access units and parameter sets: one row."""
+    found = blocks_of(spark, path)
+    return found.agg(
+        F.coalesce(F.sum(F.when(F.col("tile") == 0, F.col("n_rows"))), F.lit(0)).alias("n_variants"), F.max(F.col("first_s") + F.col("n_samples")).alias("n_samples"), F.count("*").alias("n_blocks"),
+        F.count_distinct("au_id").alias("n_units"), F.count_distinct("set_id").alias("n_sets"),
+    )
 
 
 def sizes(spark: SparkSession, path: str) -> DataFrame:
-    """Bytes of each block by component, of its payload, and with its header of five bytes."""
+    """Bytes of each block and tile by component, of its payload, and with its header of five bytes."""
     total = sum((F.col(n) for n in matrices.SIZES[1:]), F.col(matrices.SIZES[0]))
-    return spark.read.parquet(f"{path}/blocks").select("block_id", *matrices.SIZES, total.alias("payload_bytes"), (total + container.HEADER).alias("block_bytes"))
-
-
-def _decoder(start: int | None, end: int | None, columns: list[int] | None):
-    def one(r) -> pd.DataFrame:
-        options = EncodeOptions(binarization=r.binarization, axis=r.axis, sort_rows=r.sort_rows, sort_cols=r.sort_cols, transpose=r.transpose, coder=r.coder)
-        split = r.binarization == "row_split"
-        payload = container.payload_of(bytes(r.payload), container.matrices_of(r.binarization, r.depth, r.axis), r.sort_rows, r.sort_cols, split, r.phase < 0, bool(r.any_missing), bool(r.any_absent))
-        values, phases = matrices.decode_block(payload, r.depth, options)
-        pos, p = np.asarray(r.positions), r.ploidy
-        row = np.arange(len(pos)) if start is None or end is None else np.flatnonzero((pos >= start) & (pos <= end))
-        values = values[row].astype(np.int32).reshape(len(row), r.n_samples, p)
-        if payload.absent_rep is not None:
-            values[values == payload.absent_rep] = -2
-        if payload.missing_rep is not None:
-            values[values == payload.missing_rep] = -1
-        phases = np.full((len(row), r.n_samples, p - 1), r.phase, np.int32) if phases is None else phases[row].astype(np.int32).reshape(len(row), r.n_samples, p - 1)
-        if columns is not None:
-            values, phases = values[:, columns], phases[:, columns]
-        return pd.DataFrame({"v": r.first_v + row, "contig": r.contig, "pos": pos[row], "block_id": r.block_id, "row_in_block": row, "ploidy": p, "alleles": list(values.reshape(len(row), -1)), "phases": list(phases.reshape(len(row), -1))})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                yield one(r)
-
-    return run
-
-
-def read(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, contig: str | None = None, columns: list[int] | None = None) -> DataFrame:
-    """Variant rows of a store, of a contig or a range of positions: blocks outside are not read, other rows and samples are cut.
-
-    columns: samples in the order wanted, repeats kept.
+    return blocks_of(spark, path).select("tile", "block_id", *matrices.SIZES, total.alias("payload_bytes"), (total + container.HEADER).alias("block_bytes"))
+
+
+def decoded(r, rows: np.ndarray, columns: list[int] | None) -> tuple[np.ndarray, np.ndarray]:
+    """Alleles and phases (rows, samples, copies) of a stored block joined with its parameter set, of chosen rows and samples."""
+    options = EncodeOptions(binarization=r.binarization, axis=r.axis, sort_rows=r.sort_rows, sort_cols=r.sort_cols, transpose=r.transpose, coder=r.coder)
+    split = r.binarization == "row_split"
+    payload = container.payload_of(bytes(r.payload), container.matrices_of(r.binarization, r.depth, r.axis), r.sort_rows, r.sort_cols, split, r.phase < 0, bool(r.any_missing), bool(r.any_absent))
+    values, phases = matrices.decode_block(payload, r.depth, options)
+    p = r.ploidy
+    values = values[rows].astype(np.int32).reshape(len(rows), r.n_samples, p)
+    values = values if columns is None else values[:, columns]
+    absent, missing = (values == rep if rep is not None else None for rep in (payload.absent_rep, payload.missing_rep))
+    for mark, value in ((absent, -2), (missing, -1)):
+        if mark is not None:
+            values[mark] = value
+    if phases is None:
+        return values, np.full((len(rows), values.shape[1], p - 1), r.phase, np.int32)
+    phases = phases[rows].astype(np.int32).reshape(len(rows), r.n_samples, p - 1)
+    return values, phases if columns is None else phases[:, columns]
+
+
+def decoded_rows(tiles: list, start: int | None, end: int | None, columns: list[tuple[int, int]] | None) -> pd.DataFrame:
+    """Variant rows of one block from its tiles.  columns: tile and place in it of each sample wanted; None: all in order."""
+    one, pos = tiles[0], np.asarray(tiles[0].positions)
+    rows = np.arange(len(pos)) if start is None or end is None else np.flatnonzero((pos >= start) & (pos <= end))
+    own = {r.tile: None if columns is None else sorted({c for t, c in columns if t == r.tile}) for r in tiles}
+    found = {r.tile: decoded(r, rows, own[r.tile]) for r in tiles}
+    if columns is None:
+        alleles, phases = (np.concatenate([found[t][k] for t in sorted(found)], 1) for k in (0, 1))
+    elif columns:
+        place = {(t, c): k for t in own for k, c in enumerate(own[t])}
+        alleles, phases = (np.stack([found[t][k][:, place[t, c]] for t, c in columns], 1) for k in (0, 1))
+    else:
+        alleles, phases = (found[one.tile][k] for k in (0, 1))
+    return pd.DataFrame(
+        {
+            "v": one.first_v + rows, "contig": one.contig, "pos": pos[rows], "block_id": one.block_id, "row_in_block": rows, "ploidy": one.ploidy,
+            "alleles": list(alleles.reshape(len(rows), -1)), "phases": list(phases.reshape(len(rows), -1)),
+        }
+    )
+
+
+def scan(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, contig: str | None = None, columns: list[int] | None = None) -> tuple[DataFrame, list[tuple[int, int]] | None, int]:
+    """The stored blocks and tiles that a read needs, with their parameter sets; tile and place of each sample; the number of tiles.
+
+    Tiles are folders, so others are not opened; blocks outside of the range or contig are skipped by the files' statistics.
     """
-    packed = spark.read.parquet(f"{path}/blocks")
+    packed = blocks_of(spark, path)
     if contig is not None:
         packed = packed.where(F.col("contig") == contig)
     if start is not None and end is not None:
         if start > end:
             raise ValueError("start lies behind end")
         packed = packed.where((F.col("min_pos") <= end) & (F.col("max_pos") >= start))
+    tiles = sorted((r["first_s"], r["tile"], r["n_samples"]) for r in spark.read.parquet(f"{path}/tiles").collect())  # one short row a tile
+    places = None
+    if columns is not None:
+        firsts = [t[0] for t in tiles]
+        at = [bisect.bisect_right(firsts, s) - 1 for s in columns]
+        if any(s < 0 or s >= tiles[k][0] + tiles[k][2] for s, k in zip(columns, at, strict=True)):
+            raise ValueError("a sample lies outside of the store")
+        places = [(tiles[k][1], s - tiles[k][0]) for s, k in zip(columns, at, strict=True)]
+        wanted = sorted({t for t, _ in places}) or [0]
+        packed = packed.where(F.col("tile").isin(wanted))
+        tiles = wanted
     sets = F.broadcast(spark.read.parquet(f"{path}/parameters"))  # at most MOST_SETS rows
-    packed = packed.select(*_COPIED, "positions", "payload", "set_id").join(sets, "set_id")
-    return packed.mapInPandas(_decoder(start, end, columns), _ROWS)
+    return packed.select(*_COPIED, "tile", "positions", "payload", "set_id").join(sets, "set_id"), places, len(tiles)
+
+
+def read(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, contig: str | None = None, columns: list[int] | None = None) -> DataFrame:
+    """Variant rows of a store, of a contig or a range of positions: blocks and tiles outside are not read, other rows and samples are cut.
+
+    columns: samples in the order wanted, repeats kept.  Samples of one tile are decoded where they are read; for several
+    tiles the coded bytes of a block meet in one task.
+    """
+    packed, places, tiles = scan(spark, path, start, end, contig, columns)
+    if tiles > 1:
+        return packed.groupBy("block_id").applyInPandas(lambda frame: decoded_rows(list(frame.itertuples()), start, end, places), _ROWS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                yield decoded_rows([r], start, end, places)
+
+    return packed.mapInPandas(run, _ROWS)
 
 
 def read_cells(spark: SparkSession, path: str, **where: object) -> DataFrame:
@@ -153,5 +247,5 @@ def read_cells(spark: SparkSession, path: str, **where: object) -> DataFrame:
 
 def write_units(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The store as bytes: parameter sets and access units, in rows."""
-    found = spark.read.parquet(f"{path}/blocks").select("block_id", "au_id", "set_id", "payload")
+    found = blocks_of(spark, path).select("block_id", "au_id", "set_id", "payload")
     return container.sets_to_bytes(spark.read.parquet(f"{path}/parameters")), container.units_to_bytes(found)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varloom.operators import layout, text
+from varloom.sources import vcf_format
 from varloom.sources.scratch import written
 
 
@@ -15,15 +16,22 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def _split(path: str) -> bool:
+    """Whether a path is compressed and lies where `vcf_format` can read it in splits."""
+    return path.endswith(".vcf.gz") and ("://" not in path or path.startswith(("file:", "hdfs:", "s3:", "gs:")))
+
+
 def read_header(spark: SparkSession, path: str) -> DataFrame:
     """line_no and value of the header's lines."""
+    if _split(path):
+        return spark.createDataFrame(list(enumerate(vcf_format.head_lines(path))), "line_no long, value string")
     head = _lines(spark, path).withColumn("line_no", F.monotonically_increasing_id()).where(F.col("value").startswith("#"))
     return head.select("line_no", "value")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """s and name of the sample columns, from the header line."""
-    head = _lines(spark, path).where(F.col("value").startswith("#CHROM")).limit(1)
+    head = (read_header if _split(path) else _lines)(spark, path).where(F.col("value").startswith("#CHROM")).limit(1)
     return head.select(F.posexplode(F.slice(F.split("value", "\t"), 10, 1 << 30)).alias("s", "name")).select(F.col("s").cast("long").alias("s"), "name")
 
 
@@ -31,8 +39,10 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
     """contig, pos, v (variants in order of contig, position and file place) and gt (array of genotype texts).
 
     The genotype is taken where FORMAT says it stands.  Numbering sorts ranges of (contig, pos) in parallel and adds
-    the ranges' counts.
+    the ranges' counts.  Compressed files go through `vcf_format`, so block-compressed ones are read by many tasks.
     """
+    if _split(path):
+        return numbered(vcf_format.read(spark, path), ["contig", "pos", "file", "place"]).drop("file", "place")
     fields = F.split("value", "\t")
     place = F.monotonically_increasing_id()
     rows = _lines(spark, path).select("value", place.alias("place")).where(~F.col("value").startswith("#") & (F.col("value") != ""))
@@ -75,13 +85,22 @@ def cells_of(variants: DataFrame, block_size: int = 1024) -> DataFrame:
     return layout.cells(rows_of(variants, block_size))
 
 
-def write_vcf(genotypes: DataFrame, path: str, names: list[str]) -> None:
-    """Genotypes (v, contig, pos, gts) as a VCF without other fields, a part file a partition; the header stands in the first."""
+def write_vcf(genotypes: DataFrame, path: str, names: list[str], files: int | None = None) -> None:
+    """Genotypes (v, contig, pos, gts) as a VCF without other fields, a part file a partition; the header stands in the first.
+
+    A path that ends with .vcf.gz gets block-compressed files.  files: their number, about.
+    """
     head = "##fileformat=VCFv4.2\n#" + "\t".join(["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])
     dot = F.lit(".")
     body = genotypes.select("v", F.concat_ws("\t", "contig", F.col("pos").cast("string"), dot, dot, dot, dot, dot, dot, F.lit("GT"), F.array_join("gts", "\t")).alias("value"))
     first = genotypes.sparkSession.range(1).select(F.lit(-1).cast("long").alias("v"), F.lit(head).alias("value"))
-    first.unionByName(body).repartitionByRange("v").sortWithinPartitions("v").select("value").write.mode("errorifexists").text(path)
+    both = first.unionByName(body)
+    lines = (both.repartitionByRange("v") if files is None else both.repartitionByRange(files, "v")).sortWithinPartitions("v").select("value")
+    if path.endswith(".gz"):
+        vcf_format.register(genotypes.sparkSession)
+        lines.write.format("vcf").mode("append").save(path)
+    else:
+        lines.write.mode("errorifexists").text(path)
 
 
 def write_lines(genotypes: DataFrame, path: str) -> None:
