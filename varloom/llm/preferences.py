@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.sources.vcf import numbered
+
 #: How a turn is opened and closed in rendered text.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "<|end|>\n"
 
@@ -66,3 +68,21 @@ def preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", t
 
     pairs = pairs.select("pair_id", "n_common", F.slice("chosen", F.lit(1), common).alias("prompt"), rest("chosen").alias("chosen"), rest("rejected").alias("rejected"))
     return pairs.select("pair_id", "n_common", text_of(F.col("prompt")).alias("prompt"), text_of(F.col("chosen")).alias("chosen"), text_of(F.col("rejected")).alias("rejected"), _spans(F.col("chosen")).alias("chosen_mask"), _spans(F.col("rejected")).alias("rejected_mask"))
+
+
+def with_other_answers(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Chosen and rejected conversations (pair_id, turn, role, text) from one table, for conversations that have an answer.
+
+    Chosen is a conversation as it is.  Rejected is the same with its last assistant turn replaced by that of the next
+    conversation, in the order of ids, that has one; the last of them has no pair.  Of several last turns with one number
+    the greatest text counts.  Rows without an id are left out.  The ids are numbered by sorted ranges.
+    """
+    rows = turns.select(F.col(f"`{conversation}`").alias("pair_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = rows.where("pair_id IS NOT NULL")
+    last = rows.where("role = 'assistant'").groupBy("pair_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    own = numbered(last, ["pair_id"], "_n")
+    other = own.select((F.col("_n") - 1).alias("_n"), F.col("last.text").alias("_other"))
+    named = own.join(other, "_n").select("pair_id", "last", "_other")
+    met = rows.join(named, "pair_id")
+    replaced = (F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("last.turn")) & (F.col("text") == F.col("last.text"))
+    return met.select("pair_id", "turn", "role", "text"), met.select("pair_id", "turn", "role", F.when(replaced, F.col("_other")).otherwise(F.col("text")).alias("text"))

@@ -64,10 +64,8 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation 2k is the chosen and 2k + 1 the rejected one of pair k."""
-    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
-    even = F.col("conv_id") % 2 == 0
-    found = preferences.preferences(turns.where(even), turns.where(~even))
+    """Each conversation against itself with the next one's last answer: the two share all turns ahead of it."""
+    found = preferences.preferences(*preferences.with_other_answers(table(spark, sf_dir, "conversations")))
 
     def shown(mask: str) -> Column:
         return F.array_join(F.transform(mask, lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias(mask)

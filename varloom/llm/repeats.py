@@ -98,7 +98,7 @@ def pack(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray,
     step = np.diff(start, prepend=0)
     step[first] = start[first]
     plain = b"".join(
-        [np.diff(doc[first], prepend=0).astype("<i8").tobytes(), tag[first].astype("<u4").tobytes(), np.diff(np.append(first, len(doc))).astype("<u4").tobytes(), step.astype("<i8").tobytes(), count.astype("<u1").tobytes()]
+        [np.diff(doc[first], prepend=0).astype("<i8").tobytes(), tag[first].astype("<i8").tobytes(), step.astype("<i8").tobytes(), np.diff(np.append(first, len(doc))).astype("<u4").tobytes(), count.astype("<u1").tobytes()]
     )
     small = _CODEC.compress(plain, asbytes=True)
     head = np.array([len(first), len(doc), len(plain), len(small)], "<i8").tobytes()
@@ -109,20 +109,25 @@ def unpack(raw: bytes, *sizes: int) -> tuple[np.ndarray, ...]:
     """doc, tag, start, count and the digits."""
     runs, n, full, small = np.frombuffer(raw, "<i8", 4).tolist()
     plain = _CODEC.decompress(raw[32 : 32 + small], full, asbytes=True)
-    length = np.frombuffer(plain, "<u4", runs, 12 * runs).astype(np.int64)
+    length = np.frombuffer(plain, "<u4", runs, 16 * runs + 8 * n).astype(np.int64)
     doc = np.repeat(np.cumsum(np.frombuffer(plain, "<i8", runs)), length)
-    tag = np.repeat(np.frombuffer(plain, "<u4", runs, 8 * runs).astype(np.int64), length)
+    tag = np.repeat(np.frombuffer(plain, "<i8", runs, 8 * runs), length)
     step = np.frombuffer(plain, "<i8", n, 16 * runs)
     total = np.cumsum(step)
     first = np.cumsum(length) - length
     start = total - np.repeat(total[first] - step[first], length) if n else total
-    out, at = [doc, tag, start, np.frombuffer(plain, "<u1", n, 16 * runs + 8 * n).astype(np.int64)], 32 + small
+    out, at = [doc, tag, start, np.frombuffer(plain, "<u1", n, 20 * runs + 8 * n).astype(np.int64)], 32 + small
     for size in sizes:
         out.append(_from_high(raw[at : at + size * n], size))
         at += size * n
     return tuple(out)
 
 
+def _bucket_of(doc: np.ndarray, tag: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of rows by document and text, so that rows which share an id, or have none, are dealt out too."""
+    return (bs.mix(doc.astype(np.uint64) + tag.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _dealt(bucket: np.ndarray, pieces: list[np.ndarray], sizes: list[int], kind: int) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, kind, payload) of entries."""
     order = np.argsort(bucket, kind="stable")
@@ -152,7 +157,7 @@ def _first_digits(length: int, buckets: int):
         covered[order] = ranked > np.repeat(np.minimum.reduceat(ranked, cut), np.diff(np.append(cut, len(doc))))
         del key, order, ranked
         bucket = (first % np.uint64(buckets)).astype(np.int64)
-        bucket[covered] = (bs.mix(doc[covered].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        bucket[covered] = _bucket_of(doc[covered], tag[covered], buckets)
         rows = []
         for kind, chosen in ((0, ~covered), (1, covered)):
             rows += _dealt(bucket[chosen], [x[chosen] for x in (doc, tag, start, count)] + ([first[chosen], whole[chosen]] if kind == 0 else []), [5, 6] if kind == 0 else [], kind)
@@ -165,7 +170,7 @@ def _first_digits(length: int, buckets: int):
             for low, _, data, bounds in bs.pieces(batch.column("text")):
                 row, start, count, first, whole = anchors(data, bounds, length)
                 if len(row):
-                    parts.append((docs[low + row], tags[low + row].astype(np.uint32), start, count, first, whole))
+                    parts.append((docs[low + row], tags[low + row], start, count, first, whole))
                 size += len(data)
                 if size >= SORTED and parts:
                     yield settled(parts)
@@ -214,7 +219,7 @@ def _by_place(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.nda
     order = np.lexsort((start, tag, doc))
     pieces = [x[order] for x in (doc, tag, start, count)]
     chosen, rows = open_[order], []
-    bucket = (bs.mix(pieces[0].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    bucket = _bucket_of(pieces[0], pieces[1], buckets)
     for kind, mask in ((0, ~chosen), (1, chosen)):
         rows += _dealt(bucket[mask], [x[mask] for x in pieces], [], kind)
     return _batch(rows)
@@ -363,14 +368,15 @@ def find_repeats(df: DataFrame, length: int = 50, doc_id: str = "doc_id", text:
     outputs: n_bytes, n_removed, spans (maximal removed runs, in bytes), kept_sha256 (of the remaining bytes),
     kept_text (the same as text; a character cut in two is dropped).  Null texts are empty; ids that are null
     rank last, and such rows take nothing from one another; rows that share an id are versions of one document and
-    take nothing from each other; texts shorter than `length` lose nothing; an empty table gives no rows.
+    take nothing from each other.  Rows of one id are told apart by 64 bits of a hash of their text, and equal texts have
+    one outcome: among a million rows without an id two different texts meet with a chance of 3e-8.  Texts shorter than `length` lose nothing; an empty table gives no rows.
     """
     spark = df.sparkSession
     size = df.select(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rest = F.struct(*(F.col(f"`{c}`") for c in df.columns if c != text))
-    keyed = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("key"), F.crc32(body.cast("binary")).alias("tag"), body.alias("text"), rest.alias("row"))
+    keyed = df.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST)).alias("key"), F.xxhash64(body).alias("tag"), body.alias("text"), rest.alias("row"))
 
     def collected(found: DataFrame) -> DataFrame:
         return _bucketed(found, buckets).mapInArrow(_by_document(length), _PLACES)

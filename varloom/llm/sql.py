@@ -5,7 +5,10 @@ from __future__ import annotations
 from varloom.llm.licenses import TEMPLATES
 
 PREFERENCES = """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+WITH g AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT pair_id, turn, text, lead(text) OVER (ORDER BY pair_id) AS other FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC NULLS LAST, text DESC) AS k FROM g WHERE role = 'assistant') WHERE k = 1),
+t AS (SELECT g.pair_id, side, g.turn, g.role, CASE WHEN side = 1 AND g.role = 'assistant' AND g.turn IS NOT DISTINCT FROM l.turn AND g.text = l.text THEN l.other ELSE g.text END AS text
+      FROM g JOIN l USING (pair_id) CROSS JOIN (VALUES (0), (1)) z(side) WHERE l.other IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
 p AS (SELECT pair_id, max(CASE WHEN side = 0 THEN k END) AS a, max(CASE WHEN side = 1 THEN k END) AS b FROM n GROUP BY pair_id HAVING a > 0 AND b > 0),
 d AS (SELECT x.pair_id, min(x.k) AS k FROM n x JOIN n y ON x.pair_id = y.pair_id AND x.k = y.k AND x.side = 0 AND y.side = 1
