@@ -134,7 +134,7 @@ def test_vcf_to_store_and_back(spark, mixed_vcf, tmp_path, options):
     assert [r.name for r in spark.read.parquet(f"{path}/samples").orderBy("s").collect()] == ["A", "B", "C"]
     assert [r.value for r in spark.read.parquet(f"{path}/header").orderBy("line_no").collect()] == HEAD.splitlines()
     # the third block of contig 1 ends it: blocks hold one contig, each with its own ploidy
-    assert [(r.contig, r.n_rows, r.ploidy) for r in spark.read.parquet(f"{path}/index").orderBy("block_id").collect()] == [("1", 2, 2), ("1", 1, 2), ("2", 2, 1), ("2", 1, 3)]
+    assert [(r.contig, r.n_rows, r.ploidy) for r in store.index_of(spark, path).orderBy("block_id").collect()] == [("1", 2, 2), ("1", 1, 2), ("2", 2, 1), ("2", 1, 3)]
     some = engine.decode(path, (105, 125), ["C", "A", "C"], contig="1")
     assert [(r.v, r.s, r.gt) for r in some.orderBy("v", "s").collect()] == [(1, 0, "0|0"), (1, 1, "10|2"), (1, 2, "0|0"), (2, 0, "2|2"), (2, 1, ".|."), (2, 2, "2|2")]
     assert [(r.contig, r.pos) for r in engine.decode_rows(path, (105, 125)).orderBy("v").collect()] == [("1", 110), ("1", 120), ("2", 115)]
@@ -148,7 +148,7 @@ def test_vcf_to_store_and_back(spark, mixed_vcf, tmp_path, options):
     sets, units = store.write_units(spark, path)
     assert sorted(map(tuple, container.sets_from_bytes(sets).drop("depth").collect())) == sorted(map(tuple, spark.read.parquet(f"{path}/parameters").drop("depth").collect()))
     parsed = [bytes(r.payload) for r in container.units_from_bytes(units).orderBy("au_id", "place").collect()]
-    assert parsed == [bytes(r.payload) for r in spark.read.parquet(f"{path}/blocks").orderBy("block_id").collect()]
+    assert parsed == [bytes(r.payload) for r in store.blocks_of(spark, path).orderBy("block_id").collect()]
 
 
 def test_vcf_names_and_lines(spark, mixed_vcf, tmp_path):

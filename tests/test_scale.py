@@ -204,7 +204,7 @@ def test_blocks_of_the_size_asked_for(spark, tmp_path):
     })
     path, engine = str(tmp_path / "blocks"), Engine(spark, EncodeOptions(block_size=25))
     engine.encode_rows(mixed, path)
-    index = spark.read.parquet(f"{path}/index").orderBy("block_id").collect()
+    index = store.index_of(spark, path).orderBy("block_id").collect()
     assert [r.n_rows for r in index] == [25, 25, 25, 15, 25, 25, 25, 25, 10] and [r.contig for r in index] == ["1"] * 4 + ["2"] * 5
     from varloom.operators import text
 
@@ -212,7 +212,7 @@ def test_blocks_of_the_size_asked_for(spark, tmp_path):
     assert got == {r.v: r.gts for r in text.row_genotypes(mixed).collect()}
     kept = str(tmp_path / "kept")
     Engine(spark, EncodeOptions(block_size=None)).encode_rows(rows, kept)
-    assert [r.n_rows for r in spark.read.parquet(f"{kept}/index").orderBy("block_id").collect()] == [64, 64, 64, 8]
+    assert [r.n_rows for r in store.index_of(spark, kept).orderBy("block_id").collect()] == [64, 64, 64, 8]
 
 
 def test_a_damaged_phase_or_position_is_found(spark, tmp_path):

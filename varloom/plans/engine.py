@@ -25,6 +25,10 @@ class Engine:
         """Encode variant rows, in blocks of the options' size, or with block_size=None in the blocks that they are given in."""
         store.write(rows, path, self.options, names, block_size=self.options.block_size)
 
+    def append_rows(self, rows: DataFrame, path: str) -> None:
+        """Add variant rows behind those of a store."""
+        store.append(rows, path)
+
     def encode_vcf(self, source: str, path: str) -> None:
         """Encode a VCF, with the names of its samples and its header."""
         rows = vcf.rows_of(vcf.read_variants(self.spark, source), self.options.block_size or EncodeOptions.block_size)

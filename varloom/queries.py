@@ -371,6 +371,25 @@ def tiled_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("tile").agg(F.count("*").alias("n_blocks"), F.sum("n_rows").alias("n_rows"), F.min("first_s").alias("first_s"), F.max("n_samples").alias("n_samples"))
 
 
+def _appended(spark: SparkSession, sf_dir: str) -> str:
+    """The fixture in a store by three writes; none of the cuts is the end of a block."""
+    path, n = scratch_path(spark, "store"), spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    engine = Engine(spark, EncodeOptions(block_size=BLOCK, sort_rows=True))
+    cuts = [0, n // 3, n // 3 + n // 7, n]
+    for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        (engine.append_rows if k else engine.encode_rows)(fixture_rows(spark, sf_dir, F.col("v").between(low, high - 1)), path)
+    return path
+
+
+def appended_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.row_summary(store.read(spark, _appended(spark, sf_dir)), fixture_rows(spark, sf_dir))
+
+
+def appended_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks, parameter sets and access units are those of one write."""
+    return store.blocks_of(spark, _appended(spark, sf_dir)).select("block_id", "set_id", "au_id")
+
+
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sizes(spark, _stored(spark, sf_dir, coder="raw", sort_rows=True)).drop("tile")
 
@@ -526,6 +545,8 @@ au AS (SELECT block_id, set_id, (sum(starts) OVER (ORDER BY block_id) - 1)::BIGI
         "tiled_range_samples": _with(CELLS, GT) + f"SELECT v, pos, ord::BIGINT AS s, gt FROM gt JOIN {_SAMPLES} USING (s) JOIN {_NAMES} USING (name) WHERE pos BETWEEN {START} AND {END}",
         "tiled_one_sample": _with(CELLS, GT) + "SELECT v, pos, gt FROM gt WHERE s = 5",
         "tiled_counts": c + f"SELECT (s // 4)::INT AS tile, count(DISTINCT block_id) AS n_blocks, count(DISTINCT v) AS n_rows, min(s) AS first_s, count(DISTINCT s) AS n_samples FROM cells GROUP BY s // 4",
+        "appended_roundtrip": c + whole,
+        "appended_units": _with(CELLS, STATS, PARAMS, au) + "SELECT block_id, set_id::BIGINT AS set_id, au_id FROM au",
         "component_sizes": _with(CELLS, STATS, PARAMS, f"z AS (SELECT pk.block_id, greatest(depth, 1) AS d, (phase < 0)::INT AS e, any_missing + any_absent AS r, n, ceil(n * 2 * {n_s} / 8.0) AS a, ceil(n * {n_s} / 8.0) AS f, ceil(n * CASE WHEN n > 1 THEN {width} ELSE 0 END / 8.0) + 4 AS i FROM pk JOIN (SELECT block_id, count(DISTINCT v) AS n FROM cells GROUP BY block_id) USING (block_id))")
         + "SELECT block_id, (d * (a + 12))::BIGINT AS allele_matrices, (d * i)::BIGINT AS allele_row_ids, 0::BIGINT AS allele_col_ids, 0::BIGINT AS row_lengths, (e * (f + 12))::BIGINT AS phase_matrix, (e * i)::BIGINT AS phase_row_ids, 0::BIGINT AS phase_col_ids, r::BIGINT AS replacements, (d * (a + 12 + i) + e * (f + 12 + i) + r)::BIGINT AS payload_bytes, (d * (a + 12 + i) + e * (f + 12 + i) + r + 5)::BIGINT AS block_bytes FROM z",
         "store_counts": _with(CELLS, STATS, PARAMS, au) + "SELECT (SELECT count(*) FROM part) AS n_variants, (SELECT count(*) FROM supplier) AS n_samples, count(*) AS n_blocks, count(DISTINCT au_id) AS n_units, count(DISTINCT set_id) AS n_sets FROM au",

@@ -1,10 +1,11 @@
 """The encoded store: Parquet tables under one path.  Blocks of variants may be cut into tiles of samples as well.
 
+log         the versions of the store (`versions`): which parts are live, and how blocks are made
 blocks      one row a block and tile: where it lies, its access unit and parameter set, its payload's bytes and their sizes;
-            a folder a tile, and in it blocks by number, hence by contig and position
-index       one row a block and tile: contig, positions, ploidy, replacement values, depth; a folder a tile
+            a folder a part and tile, and in it blocks by number, hence by contig and position
+index       one row a block and tile: contig, positions, ploidy, replacement values, depth; a folder a part and tile
 tiles       one row a tile: its first sample and their number
-parameters  the parameter sets that blocks refer to
+parameters  the parameter sets that blocks refer to; a version with more of them has a table of its own
 samples     s and name
 header      lines of the source's header
 
@@ -16,14 +17,16 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from varloom.operators import blocks, container, layout, matrices
 from varloom.operators.matrices import EncodeOptions
+from varloom.sources import versions
 from varloom.sources.scratch import discard, written
 
 TABLES = ("blocks", "index", "tiles", "parameters", "samples", "header")
@@ -58,12 +61,27 @@ def _tiled(rows: DataFrame, size: int, blocks_: int) -> DataFrame:
     return each.withColumn("block_id", F.col("piece.t").cast("long") * blocks_ + F.col("block_id")).withColumns({"alleles": F.col("piece.a"), "phases": F.col("piece.f")}).drop("piece")
 
 
-def _encoded(rows: DataFrame, options: EncodeOptions, block_size: int | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
-    """blocks, index, tiles and parameters of variant rows, and the written tables that they are made from."""
+_KEY = ("any_missing", "any_absent", "ploidy", "depth", "phase")
+
+
+def _with_known(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Numbered sets of new blocks under the numbers that they have already, others after those; both are few."""
+    most = known.agg(F.max("set_id")).first()[0]
+    named = sets.drop("set_id").join(F.broadcast(known.select(*_KEY, "set_id")), list(_KEY), "left")
+    fresh = F.row_number().over(Window.partitionBy(F.col("set_id").isNull()).orderBy("first_block")) + (-1 if most is None else most)
+    return named.withColumn("set_id", F.coalesce("set_id", fresh.cast("long")))
+
+
+def _encoded(rows: DataFrame, options: EncodeOptions, block_size: int | None, first_block: int = 0, known: DataFrame | None = None, ahead: DataFrame | None = None, first_unit: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, list[DataFrame]]:
+    """blocks, index, tiles and parameters of variant rows, and the written tables that they are made from.
+
+    For rows that are appended: the first block's number, the parameter sets that are known, the blocks (block_id, set_id)
+    of the unit that may go on, and the number of that unit.
+    """
     rows = written(rows.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", "alleles", "phases"), "rows")
     made = [rows]
     if block_size is not None:
-        rows = blocks.reblock(rows, block_size)
+        rows = blocks.reblock(rows, block_size).withColumn("block_id", F.col("block_id") + first_block)
     last = rows.agg(F.max("block_id")).first()[0]
     stride = 1 if last is None else last + 1
     if options.tile_samples:
@@ -71,18 +89,19 @@ def _encoded(rows: DataFrame, options: EncodeOptions, block_size: int | None) ->
     facts = written(blocks.facts(rows), "facts")
 
     shape = facts if options.binarization == "bit_plane" else facts.withColumn("depth", F.lit(1))
-    key = ("any_missing", "any_absent", "ploidy", "depth", "phase")
+    key = _KEY
     axis = options.axis if options.binarization == "bit_plane" else 0
     constant = {n: F.lit(axis if n == "axis" else getattr(options, n)) for n in ("binarization", "axis", "sort_rows", "sort_cols", "transpose", "coder")}
-    sets = written(blocks.number_sets(shape, key).withColumns(constant).withColumn("set_id", F.col("set_id").cast("long")), "sets")
+    sets = blocks.number_sets(shape, key).withColumn("set_id", F.col("set_id").cast("long"))
+    sets = written((sets if known is None else _with_known(sets, known)).withColumns(constant), "sets")
     made += [facts, sets]
-    if sets.count() > MOST_SETS:
+    if (sets.agg(F.max("set_id")).first()[0] or 0) >= MOST_SETS:
         raise ValueError(f"more than {MOST_SETS} parameter sets")
     # At most MOST_SETS rows.  A unit ends with its tile, so tiles tell their sets apart here.
     tile = F.floor(F.col("block_id") / stride)
     named = shape.join(F.broadcast(sets.select(*key, "set_id")), list(key)).select("block_id", (F.col("set_id") + tile * MOST_SETS).alias("set_id"))
-    named = written(named, "named")
-    units = written(blocks.number_units(named).select("block_id", (F.col("set_id") % MOST_SETS).alias("set_id"), "au_id"), "units")
+    named = written(named if ahead is None else named.unionByName(ahead), "named")
+    units = written(blocks.number_units(named).select("block_id", (F.col("set_id") % MOST_SETS).alias("set_id"), (F.col("au_id") + first_unit).alias("au_id")), "units")
     made += [named, units]
 
     recoded = F.transform("alleles", lambda a: F.when(a == -1, F.col("missing_rep")).when(a == -2, F.col("absent_rep")).otherwise(a).cast("int"))
@@ -99,7 +118,7 @@ def _encoded(rows: DataFrame, options: EncodeOptions, block_size: int | None) ->
     return found, index, tiles, sets.select(*container.SET_NAMES), made
 
 
-def write(rows: DataFrame, path: str, options: EncodeOptions | None = None, names: DataFrame | None = None, header: DataFrame | None = None, mode: str = "errorifexists", block_size: int | None = None) -> None:
+def write(rows: DataFrame, path: str, options: EncodeOptions | None = None, names: DataFrame | None = None, header: DataFrame | None = None, mode: str = "errorifexists", block_size: int | None = None, batch: int | None = None) -> None:
     """Encode variant rows block by block, and tile by tile: recode, binarize, sort, pack, code.
 
     The rows are written once to the shared folder and read from there.  Blocks are laid out by tile and number, hence by
@@ -108,8 +127,11 @@ def write(rows: DataFrame, path: str, options: EncodeOptions | None = None, name
     """
     spark, options = rows.sparkSession, options or EncodeOptions()
     found, index, tiles, sets, made = _encoded(rows, options, block_size)
-    found.write.mode(mode).partitionBy("tile").parquet(f"{path}/blocks")
-    index.write.mode(mode).partitionBy("tile").parquet(f"{path}/index")
+    part = versions.new_part()
+    if mode == "overwrite":
+        versions.clear(spark, path)
+    for df, name in ((found, "blocks"), (index, "index")):
+        df.withColumn("part", F.lit(part)).write.mode(mode).partitionBy("part", "tile").parquet(f"{path}/{name}")
     tiles.coalesce(1).write.mode(mode).parquet(f"{path}/tiles")
     sets.coalesce(1).write.mode(mode).parquet(f"{path}/parameters")
     if names is None:
@@ -118,15 +140,99 @@ def write(rows: DataFrame, path: str, options: EncodeOptions | None = None, name
     names.select("s", "name").write.mode(mode).parquet(f"{path}/samples")
     header = spark.createDataFrame([], "line_no long, value string") if header is None else header
     header.write.mode(mode).parquet(f"{path}/header")
+    versions.commit(spark, path, {"number": 0, "parts": [[part, None]], "parameters": "parameters", "options": asdict(options), "block_size": block_size, "batch": batch})
     discard(*made)
 
 
-_STORED = f"{_BLOCK}, set_id long, au_id long, first_s long, tile int"
+def append(rows: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add variant rows behind those of a store, with its options and its size of blocks.
 
-
-def blocks_of(spark: SparkSession, path: str) -> DataFrame:
-    """The table of coded blocks."""
-    return spark.read.schema(_STORED).parquet(f"{path}/blocks")
+    v numbers the new rows without gaps; they follow the stored ones in contig and position.  A last block that is not
+    full is coded again with the rows that complete it; parameter sets keep their numbers and the last access unit goes on,
+    so a store that was appended to equals one that was written at once (with several tiles but for the units' numbers).
+    Readers see the new version from its commit on, which fails if another writer was first.  batch: a number that grows
+    from one append to the next; a batch that the store holds already is left out.
+    """
+    spark, version = rows.sparkSession, versions.current(rows.sparkSession, path)
+    if version is None:
+        raise ValueError(f"no store at {path}")
+    if batch is not None and version["batch"] is not None and batch <= version["batch"]:
+        return
+    options, size = EncodeOptions(**version["options"]), version["block_size"]
+    if size is None:
+        raise ValueError("the store was written in blocks of its own")
+    rows = written(rows.select("v", "contig", "pos", "ploidy", "alleles", "phases"), "rows")
+    index = index_of(spark, path).where("tile = 0")
+    first, last = rows.orderBy("v").limit(1).first(), index.orderBy(F.desc("block_id")).limit(1).first()
+    new = {"number": version["number"] + 1, "batch": batch if batch is not None else version["batch"]}
+    if first is None:
+        versions.commit(spark, path, version | new)
+        discard(rows)
+        return
+    contigs = rows.select("contig").distinct()
+    if last is not None and first["contig"] == last["contig"]:
+        if first["pos"] < last["max_pos"]:
+            raise ValueError("the rows do not follow those of the store")
+        contigs = contigs.where(F.col("contig") != last["contig"])
+    if contigs.join(index.select("contig").distinct(), "contig", "left_semi").limit(1).count():
+        raise ValueError("a contig of the rows ended in the store")
+    ahead = 0 if last is None else last["first_v"] + last["n_rows"]
+    given = rows.withColumn("v", F.col("v") - first["v"] + ahead)
+    base = 0 if last is None else last["block_id"] + 1
+    if last is not None and last["n_rows"] < size and first["contig"] == last["contig"]:
+        base = last["block_id"]
+        given = read(spark, path, blocks_=(base, base)).select(given.columns).unionByName(given)
+
+    stored = blocks_of(spark, path, version).where(F.col("block_id") < base)
+    # A block that is coded again may have been the only one with its set.
+    known = written(parameters_of(spark, path, version).join(F.broadcast(stored.select("set_id").distinct()), "set_id", "left_semi").select(*container.SET_NAMES), "known")
+    unit = stored.agg(F.max("au_id")).first()[0]
+    goes_on = None
+    if unit is not None and options.tile_samples is None:
+        goes_on = stored.where(F.col("au_id") == unit).select("block_id", "set_id")  # at most a unit's blocks
+    first_unit = 0 if unit is None else unit + (goes_on is None)
+    given = given.withColumns({"block_id": F.lit(0).cast("long"), "row_in_block": F.lit(0).cast("long")})
+    found, facts, _, sets, made = _encoded(given, options, size, base, known, goes_on, first_unit)
+    part = versions.new_part()
+    for df, name in ((found, "blocks"), (facts, "index")):
+        df.withColumn("part", F.lit(part)).write.mode("append").partitionBy("part", "tile").parquet(f"{path}/{name}")
+    fresh = written(known.unionByName(sets.join(F.broadcast(known.select("set_id")), "set_id", "left_anti")), "sets")
+    name = version["parameters"]
+    if fresh.exceptAll(parameters_of(spark, path, version).select(fresh.columns)).limit(1).count():
+        name = f"parameters_{part}"
+        fresh.coalesce(1).write.parquet(f"{path}/{name}")
+    parts = [[p, base if end is None else min(end, base)] for p, end in version["parts"]]
+    versions.commit(spark, path, version | new | {"parts": [*(x for x in parts if x[1] > 0), [part, None]], "parameters": name})
+    discard(rows, known, fresh, *made)
+
+
+_INDEX = (
+    "block_id long, contig string, min_pos long, max_pos long, first_v long, n_rows long, n_samples long, ploidy int, max_allele int, any_missing int, any_absent int, phase int, missing_rep int, absent_rep int, depth int, "
+    "first_s long, part int, tile int"
+)
+_STORED = f"{_BLOCK}, set_id long, au_id long, first_s long, part int, tile int"
+
+
+def _version(spark: SparkSession, path: str) -> dict:
+    version = versions.current(spark, path)
+    if version is None:
+        raise ValueError(f"no store at {path}")
+    return version
+
+
+def blocks_of(spark: SparkSession, path: str, version: dict | None = None) -> DataFrame:
+    """The table of coded blocks, of the live version."""
+    return spark.read.schema(_STORED).parquet(f"{path}/blocks").where(versions.live(version or _version(spark, path)))
+
+
+def index_of(spark: SparkSession, path: str) -> DataFrame:
+    """The index of the live version."""
+    return spark.read.schema(_INDEX).parquet(f"{path}/index").where(versions.live(_version(spark, path)))
+
+
+def parameters_of(spark: SparkSession, path: str, version: dict | None = None) -> DataFrame:
+    """The parameter sets of the live version."""
+    return spark.read.parquet(f"{path}/{(version or _version(spark, path))['parameters']}")
 
 
 def check(spark: SparkSession, path: str) -> None:
@@ -137,7 +243,7 @@ def check(spark: SparkSession, path: str) -> None:
         raise ValueError("access units are missing")
     if found.groupBy("tile").agg((F.min("n_samples") != F.max("n_samples")).alias("odd")).where("odd").limit(1).count():
         raise ValueError("blocks have different numbers of samples")
-    if found.select("set_id").distinct().join(spark.read.parquet(f"{path}/parameters").select("set_id"), "set_id", "left_anti").limit(1).count():
+    if found.select("set_id").distinct().join(parameters_of(spark, path).select("set_id"), "set_id", "left_anti").limit(1).count():
         raise ValueError("a parameter set is missing")
 
 
@@ -196,12 +302,15 @@ def decoded_rows(tiles: list, start: int | None, end: int | None, columns: list[
     )
 
 
-def scan(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, contig: str | None = None, columns: list[int] | None = None) -> tuple[DataFrame, list[tuple[int, int]] | None, int]:
+def scan(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, contig: str | None = None, columns: list[int] | None = None, blocks_: tuple[int, int] | None = None) -> tuple[DataFrame, list[tuple[int, int]] | None, int]:
     """The stored blocks and tiles that a read needs, with their parameter sets; tile and place of each sample; the number of tiles.
 
     Tiles are folders, so others are not opened; blocks outside of the range or contig are skipped by the files' statistics.
     """
-    packed = blocks_of(spark, path)
+    version = _version(spark, path)
+    packed = blocks_of(spark, path, version)
+    if blocks_ is not None:
+        packed = packed.where(F.col("block_id").between(*blocks_))
     if contig is not None:
         packed = packed.where(F.col("contig") == contig)
     if start is not None and end is not None:
@@ -219,17 +328,17 @@ def scan(spark: SparkSession, path: str, start: int | None = None, end: int | No
         wanted = sorted({t for t, _ in places}) or [0]
         packed = packed.where(F.col("tile").isin(wanted))
         tiles = wanted
-    sets = F.broadcast(spark.read.parquet(f"{path}/parameters"))  # at most MOST_SETS rows
+    sets = F.broadcast(parameters_of(spark, path, version))  # at most MOST_SETS rows
     return packed.select(*_COPIED, "tile", "positions", "payload", "set_id").join(sets, "set_id"), places, len(tiles)
 
 
-def read(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, contig: str | None = None, columns: list[int] | None = None) -> DataFrame:
+def read(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, contig: str | None = None, columns: list[int] | None = None, blocks_: tuple[int, int] | None = None) -> DataFrame:
     """Variant rows of a store, of a contig or a range of positions: blocks and tiles outside are not read, other rows and samples are cut.
 
-    columns: samples in the order wanted, repeats kept.  Samples of one tile are decoded where they are read; for several
+    columns: samples in the order wanted, repeats kept; blocks_: first and last block.  Samples of one tile are decoded where they are read; for several
     tiles the coded bytes of a block meet in one task.
     """
-    packed, places, tiles = scan(spark, path, start, end, contig, columns)
+    packed, places, tiles = scan(spark, path, start, end, contig, columns, blocks_)
     if tiles > 1:
         return packed.groupBy("block_id").applyInPandas(lambda frame: decoded_rows(list(frame.itertuples()), start, end, places), _ROWS)
 
@@ -248,4 +357,4 @@ def read_cells(spark: SparkSession, path: str, **where: object) -> DataFrame:
 def write_units(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The store as bytes: parameter sets and access units, in rows."""
     found = blocks_of(spark, path).select("block_id", "au_id", "set_id", "payload")
-    return container.sets_to_bytes(spark.read.parquet(f"{path}/parameters")), container.units_to_bytes(found)
+    return container.sets_to_bytes(parameters_of(spark, path)), container.units_to_bytes(found)
