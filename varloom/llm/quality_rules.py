@@ -3,8 +3,10 @@
 Each document becomes a vector of transformed statistics.  For each group the minimum-covariance-determinant
 estimate is sought over all of its documents from three starts: medians and deviations, the covariance of the signs
 (directions from the medians), and the plain mean and covariance.  A concentration step keeps the share `core` of
-documents nearest to the centre and takes their mean and covariance, which never raises the determinant.  After two
-steps each group goes on with the start of least determinant, until no group's determinant falls any more.  A step
+documents nearest to the centre and takes their mean and covariance, which lowers the determinant but for the
+approximate quantiles and the least spreads.  After two steps each group goes on with the start of least determinant,
+until no group's determinant falls any more.  Each language is estimated in the same way, and a group's estimate is drawn
+toward its language's by the smooth weight n / (n + k), so no group is pooled and none stands on few documents.  A step
 is two aggregations over the statistics table with partial sums, and the groups' parameters (a few rows each,
 broadcast while few) meet the rows where they are, so a group of any size stays spread over the cluster.  The
 covariance is scaled so that the group's median distance is that of a normal distribution.  A document is rejected
@@ -271,16 +273,47 @@ def fit_groups(points: DataFrame, core: float = 0.75, steps: int = 8, settled: f
     return written(params.join(small(middle), "grp").select("grp", *(f"c{i}" for i in range(DIMENSIONS)), *((F.col(f"p{i}_{j}") / widen).alias(f"p{i}_{j}") for i, j in UPPER)), "mcd")
 
 
+_DRAWN = "grp string, " + ", ".join(f"c{i} double" for i in range(DIMENSIONS)) + ", " + ", ".join(f"p{i}_{j} double" for i, j in UPPER)
+
+
+def _shape(r: dict[str, float], tag: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of parameters."""
+    inverse = np.empty((DIMENSIONS, DIMENSIONS))
+    for i, j in UPPER:
+        inverse[i, j] = inverse[j, i] = r[f"{tag}p{i}_{j}"]
+    return np.array([r[f"{tag}c{i}"] for i in range(DIMENSIONS)], float), np.linalg.inv(inverse)
+
+
+def drawn(own: tuple[np.ndarray, np.ndarray], wider: tuple[np.ndarray, np.ndarray], n: int, k: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of a mixture: the share n / (n + k) of a group's own estimate, and the rest of a wider one."""
+    share = n / (n + k)
+    apart = own[0] - wider[0]
+    return wider[0] + share * apart, share * own[1] + (1 - share) * wider[1] + share * (1 - share) * np.outer(apart, apart)
+
+
+def _drawn(k: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.to_dict("records"):
+                centre, cov = drawn(_shape(r), _shape(r, "w_"), r["n"], k)
+                inverse = np.linalg.inv(cov)
+                rows.append([r["grp"], *centre, *(inverse[i, j] for i, j in UPPER)])
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in _DRAWN.split(", ")])
+
+    return run
+
+
 def judge(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
-    least_words: int = 50, most_repeated: int = 50, least_group: int = 50, tail: float = 1e-9, core: float = 0.75, steps: int = 8,
+    least_words: int = 50, most_repeated: int = 50, prior: float = 50.0, tail: float = 1e-9, core: float = 0.75, steps: int = 8,
     carry: bool = False,
 ) -> DataFrame:
     """One row a document: doc_id, the STATISTICS, base_failed, distance (squared, null if base_failed), kept.
 
     base_failed: fewer than least_words words, or over most_repeated per cent of them in repeated three-word
-    windows.  Others are compared with their (lang, source) group; groups of fewer than least_group such
-    documents are pooled by language, and small pools with one another.  A document is kept if its distance,
+    windows.  Others are compared with their (lang, source) group, whose estimate has the weight n / (n + prior) beside
+    that of its language, n being the number of such documents in it.  A document is kept if its distance,
     with each statistic's sampling error in that text as its least spread, stays below the chi-squared quantile
     at 1 - tail.  Null and empty texts have no words and fail; null languages and sources are groups
     of their own; repeated rows are judged one by one; an empty table gives no rows.  carry: each row also brings
@@ -292,19 +325,15 @@ def judge(
     found = found.withColumn("base_failed", F.expr(f"n_words < {least_words} OR 100 * n_repeat_words > {most_repeated} * n_words"))
     usable = found.where("NOT base_failed").select("doc_id", "lang", "source", "n_words", *(F.expr(f).alias(f"x{i}") for i, (f, _) in enumerate(FEATURES.values())))
 
-    by_source = usable.groupBy("lang", "source").count()
-    sparse = by_source.where(F.col("count") < least_group)
-    by_lang = sparse.groupBy("lang").agg(F.sum("count").alias("in_lang"))
-    names = by_source.join(by_lang, "lang", "left").select(
-        "lang", "source",
-        F.when(F.col("count") >= least_group, F.concat_ws("\x01", "lang", "source")).when(F.col("in_lang") >= least_group, F.col("lang")).otherwise("").alias("grp"),
-    )
-    names = written(names, "groups")
-    points = usable.join(small(names), ["lang", "source"])
-    params = fit_groups(points, core, steps)
+    wide, own = F.concat(F.lit("l\x01"), "lang"), F.concat_ws("\x01", F.lit("g"), "lang", "source")
+    names = written(usable.groupBy("lang", "source").agg(F.count("*").alias("n")).select("lang", "source", "n", own.alias("grp"), wide.alias("wide")), "groups")
+    fitted = fit_groups(usable.select(F.explode(F.array(own, wide)).alias("grp"), *(f"x{i}" for i in range(DIMENSIONS))), core, steps)
+    wider = fitted.select(F.col("grp").alias("wide"), *(F.col(c).alias(f"w_{c}") for c in fitted.columns if c != "grp"))
+    # A row a group, joined with a row a language.
+    params = written(names.select("grp", "wide", "n").join(fitted, "grp").join(small(wider), "wide").mapInPandas(_drawn(prior), _DRAWN), "mcd")
 
     limit = chi2_quantile(1 - tail, DIMENSIONS)
-    named = found.join(small(names), ["lang", "source"], "left").join(small(params), "grp", "left")
+    named = found.join(small(names.select("lang", "source", "grp")), ["lang", "source"], "left").join(small(params), "grp", "left")
     for i, (f, _) in enumerate(FEATURES.values()):
         named = named.withColumn(f"x{i}", F.when(F.col("base_failed"), F.lit(None)).otherwise(F.expr(f)))
     names = ["doc_id", *(["row"] if carry else []), *STATISTICS, "base_failed"]
