@@ -14,6 +14,8 @@ from varloom.plans.engine import Engine, EncodeOptions
 from varloom.sources import store
 from varloom.sources.cells import fixture_cells, fixture_rows
 
+from plans import broadcasts
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -236,27 +238,6 @@ def test_pick_cuts_samples_before_anything_is_exploded(spark):
         access.select_samples(queries._samples(spark, SF), ["S7", "X"]).collect()
 
 
-def broadcasts(plan):
-    """The subtree below each broadcast of a plan, as text."""
-    lines = plan.splitlines()
-    depth = [len(re.match(r"[\s:+\-*|]*", x).group()) for x in lines]
-    for k, line in enumerate(lines):
-        if "BroadcastExchange" in line:
-            end = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
-            yield "\n".join(lines[k:end])
-
-
-FAST = sorted(n for n in queries.oracle_sql() if not n.startswith("roundtrip_") or n in ("roundtrip_tiled", "roundtrip_bit_plane2_both"))
-
-
-@pytest.mark.parametrize("name", FAST)
-def test_no_cells_are_broadcast(spark, name):
-    """Spark takes a few keys' file size for the size of the cells that are made of them, so no explode may lie below a broadcast."""
-    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    for part in broadcasts(plan):
-        assert "Generate" not in part and "mapInArrow" not in part and "MapInArrow" not in part, part
-
-
 def test_cell_operators_do_not_broadcast_cells(spark):
     cells = fixture_cells(spark, SF)
     stats = blocks.statistics(cells)
@@ -265,5 +246,5 @@ def test_cell_operators_do_not_broadcast_cells(spark):
     order = tour.tour(distance.vectors(matrix, "col_id", "row_in_block"))
     split = binarize.row_split(matrix, rows)
     for df in (matrix, binarize.bit_planes(matrix, stats), split, binarize.from_row_split(split, rows), tour.apply(matrix, order, "col_id")):
-        for part in broadcasts(df._jdf.queryExecution().executedPlan().toString()):
+        for part in broadcasts(df):
             assert "Generate" not in part, part

@@ -181,3 +181,34 @@ def test_table_function_equals_the_reader(spark, tmp_path, tile):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.schema == want.schema
     table_function.view(spark, path, "everything")
     assert spark.sql(f"SELECT v FROM decode_blocks(TABLE(everything) {by})").count() == 200
+
+
+# --- the container as files
+
+
+def test_container_files(spark, tmp_path):
+    from varloom.sources import container_format as cf
+
+    path, out = str(tmp_path / "s"), str(tmp_path / "out")
+    Engine(spark, EncodeOptions(block_size=8, sort_rows=True, coder="raw")).encode_rows(fixture_rows(spark, SF), path)
+    cf.write(spark, path, out, files=3)
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert len(names) > 1 and all(n.endswith(".units") for n in names)
+    sets = sorted(map(str, store.parameters_of(spark, path).drop("depth").collect()))
+    assert sorted(map(str, cf.read_sets(spark, out).drop("depth").collect())) == sets
+    want = [bytes(r.payload) for r in store.blocks_of(spark, path).orderBy("block_id").collect()]
+    for size in (500, 1 << 20):
+        got = cf.read_blocks(spark, out, splitBytes=size).orderBy("au_id", "place").collect()
+        assert [bytes(r.payload) for r in got] == want
+    assert cf.read(spark, out, splitBytes=500).rdd.getNumPartitions() > cf.read(spark, out).rdd.getNumPartitions()
+    order = cf.read(spark, out).orderBy("file", "offset").collect()
+    assert [r.kind for r in order] == sorted(r.kind for r in order) and {r.offset for r in order if r.file == 0} >= {0}
+    with pytest.raises(Exception, match="FileExists"):
+        cf.write(spark, path, out)
+    whole = b"".join((tmp_path / "out" / n).read_bytes() for n in names)
+    (tmp_path / "one.units").write_bytes(whole)
+    assert cf.read(spark, str(tmp_path / "one.units")).count() == len(order)
+    for bad in (whole[:-1], b"\7" + whole[1:], whole + b"\0"):
+        (tmp_path / "bad.units").write_bytes(bad)
+        with pytest.raises(Exception, match="no whole data unit"):
+            cf.read(spark, str(tmp_path / "bad.units")).count()

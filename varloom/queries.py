@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varloom.operators import access, binarize, blocks, codec, container, distance, layout, recode, text, tour, verify
 from varloom.plans.engine import EncodeOptions, Engine
-from varloom.sources import store, table_function, vcf, vcf_format
+from varloom.sources import container_format, store, table_function, vcf, vcf_format
 from varloom.sources.cells import BLOCK, fixture_cells, fixture_rows, samples_of
 from varloom.sources.scratch import scratch_path, written
 
@@ -408,6 +408,15 @@ def units_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("au_id", "set_id").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("payload") == F.col("known")).alias("n_equal"))
 
 
+def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store written as container files and read from them: payloads of each unit, and how many equal the store's."""
+    path, out = _stored(spark, sf_dir, coder="raw", sort_cols=True, solver="nn_direct"), scratch_path(spark, "container")
+    container_format.write(spark, path, out, files=4)
+    found = container_format.read_blocks(spark, out, splitBytes=1 << 18).groupBy("au_id", "set_id").agg(F.count("*").alias("n_blocks"), F.sum(F.crc32("payload")).alias("sum"))
+    known = store.blocks_of(spark, path).groupBy("au_id").agg(F.sum(F.crc32("payload")).alias("known"))
+    return found.join(known, "au_id").select("au_id", "set_id", "n_blocks", (F.col("sum") == F.col("known")).cast("int").alias("equal"))
+
+
 def sets_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameter sets as bytes, parsed again."""
     found = container.sets_from_bytes(store.write_units(spark, _stored(spark, sf_dir))[0])
@@ -551,6 +560,7 @@ au AS (SELECT block_id, set_id, (sum(starts) OVER (ORDER BY block_id) - 1)::BIGI
         + "SELECT block_id, (d * (a + 12))::BIGINT AS allele_matrices, (d * i)::BIGINT AS allele_row_ids, 0::BIGINT AS allele_col_ids, 0::BIGINT AS row_lengths, (e * (f + 12))::BIGINT AS phase_matrix, (e * i)::BIGINT AS phase_row_ids, 0::BIGINT AS phase_col_ids, r::BIGINT AS replacements, (d * (a + 12 + i) + e * (f + 12 + i) + r)::BIGINT AS payload_bytes, (d * (a + 12 + i) + e * (f + 12 + i) + r + 5)::BIGINT AS block_bytes FROM z",
         "store_counts": _with(CELLS, STATS, PARAMS, au) + "SELECT (SELECT count(*) FROM part) AS n_variants, (SELECT count(*) FROM supplier) AS n_samples, count(*) AS n_blocks, count(DISTINCT au_id) AS n_units, count(DISTINCT set_id) AS n_sets FROM au",
         "units_roundtrip": _with(CELLS, STATS, PARAMS, au) + "SELECT au_id, set_id::BIGINT AS set_id, count(*) AS n_blocks, count(*) AS n_equal FROM au GROUP BY ALL",
+        "container_files": _with(CELLS, STATS, PARAMS, au) + "SELECT au_id, set_id::BIGINT AS set_id, count(*) AS n_blocks, 1 AS equal FROM au GROUP BY ALL",
         "sets_roundtrip": _with(CELLS, STATS, PARAMS) + "SELECT set_id::BIGINT AS set_id, any_missing, any_absent, 2 AS ploidy, greatest(depth, 1) AS depth, phase FROM ps",
         "vcf_roundtrip": _with(CELLS, GT, mixed) + "SELECT v, contig, pos, string_agg(gt, chr(9) ORDER BY s) AS line FROM mx GROUP BY ALL",
         "vcf_gz_roundtrip": _with(CELLS, GT, mixed) + "SELECT v, contig, pos, string_agg(gt, chr(9) ORDER BY s) AS line FROM mx GROUP BY ALL",
