@@ -101,6 +101,8 @@ def matrices_of(binarization: str, depth: int, axis: int) -> int:
 def set_bytes(r) -> bytes:
     """id, missing and absent flags, ploidy less one, binarization, planes and axis, then flags of each matrix, then those of
     the phases or the one phase; phase -1 says that phases are coded."""
+    if r.coder not in CODER_IDS:
+        raise ValueError(f"parameter sets have no number for the coder {r.coder}")
     flags = f"{int(r.sort_rows):b}{int(r.sort_cols):b}{int(r.transpose):b}{CODER_IDS[r.coder]:02b}"
     planes = f"{max(1, r.depth):08b}{r.axis:02b}" if r.binarization == "bit_plane" else ""
     bits = f"{r.set_id:08b}{r.any_missing:b}{r.any_absent:b}{r.ploidy - 1:08b}{BINARIZATIONS[r.binarization]:02b}{planes}{int(r.phase < 0):b}"

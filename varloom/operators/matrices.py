@@ -13,13 +13,15 @@ from dataclasses import dataclass, field, fields
 
 import numpy as np
 
-from varloom.functions import bitpack
+from varloom.functions import bitpack, runs
 from varloom.operators import distance, tour
 
 #: Byte codecs by name: encode and decode; add one here to use it.
 CODECS: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "raw": (bytes, bytes), "zlib": (zlib.compress, zlib.decompress), "lzma": (lzma.compress, lzma.decompress), "bz2": (bz2.compress, bz2.decompress),
 }
+#: Codecs of whole matrices by name: encode a matrix, decode bytes of a shape.  The format of access units has no number for them.
+MATRIX_CODECS: dict[str, tuple[Callable[[np.ndarray], bytes], Callable[[bytes, int, int], np.ndarray]]] = {"runs": (runs.encoded, runs.decoded)}
 #: Numbers of the binarizations in a parameter set.
 BINARIZATIONS = {"bit_plane": 0, "row_split": 2}
 
@@ -45,7 +47,7 @@ class EncodeOptions:
     tile_samples: int | None = None
 
     def __post_init__(self) -> None:
-        known = {"binarization": BINARIZATIONS, "axis": (0, 1, 2), "distance": distance.KINDS, "solver": tour.SOLVERS, "preset": tour.PRESETS.get(self.solver, (0,)), "coder": CODECS}
+        known = {"binarization": BINARIZATIONS, "axis": (0, 1, 2), "distance": distance.KINDS, "solver": tour.SOLVERS, "preset": tour.PRESETS.get(self.solver, (0,)), "coder": CODECS | MATRIX_CODECS}
         for name, choices in known.items():
             if getattr(self, name) not in choices:
                 raise ValueError(f"unknown {name}: {getattr(self, name)}")
@@ -129,13 +131,15 @@ def code(bits: np.ndarray, options: EncodeOptions) -> Part:
     """A matrix sorted, packed and coded; its shape goes ahead of its bytes."""
     bits, *ids = sort_matrix(bits, options)
     shape = b"".join(n.to_bytes(4, "big") for n in bits.shape)
-    return Part(shape + CODECS[options.coder][0](bitpack.matrix_bytes(bits)), *(None if i is None else bitpack.permutation_bytes(i) for i in ids))
+    raw = MATRIX_CODECS[options.coder][0](bits) if options.coder in MATRIX_CODECS else CODECS[options.coder][0](bitpack.matrix_bytes(bits))
+    return Part(shape + raw, *(None if i is None else bitpack.permutation_bytes(i) for i in ids))
 
 
 def decode(part: Part, coder: str, transpose: bool, unsort: bool = True) -> np.ndarray | tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
     """The matrix again; with unsort=False as it was coded, with its inverse orders."""
     rows, columns = (int.from_bytes(part.payload[k : k + 4], "big") for k in (0, 4))
-    bits = bitpack.matrix_of(CODECS[coder][1](part.payload[8:]), rows, columns)
+    raw = part.payload[8:]
+    bits = MATRIX_CODECS[coder][1](raw, rows, columns) if coder in MATRIX_CODECS else bitpack.matrix_of(CODECS[coder][1](raw), rows, columns)
     ids = [None if raw is None else bitpack.permutation_of(raw, n) for raw, n in ((part.row_ids, rows), (part.col_ids, columns))]
     return unsort_matrix(bits, *ids, transpose) if unsort else (bits, *ids)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.operators import access, binarize, blocks, codec, container, distance, layout, recode, text, tour, verify
+from varloom.operators import access, binarize, blocks, codec, container, distance, layout, recode, run_planes, text, tour, verify
 from varloom.plans.engine import EncodeOptions, Engine
 from varloom.sources import container_format, store, table_function, vcf, vcf_format
 from varloom.sources.cells import BLOCK, fixture_cells, fixture_rows, samples_of
@@ -284,6 +284,29 @@ def unpacked_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.unpacked_planes(codec.decoded(codec.coded(packed_planes(spark, sf_dir))))
 
 
+def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ones and runs of ones of each row of the planes, counted on their runs."""
+    return run_planes.counts(run_planes.planes(_vectors(spark, sf_dir)))
+
+
+def run_planes_unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binarize.bit_cells(run_planes.read(run_planes.planes(_vectors(spark, sf_dir))))
+
+
+def run_range_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planes' rows of a range of positions; the other rows of their blocks are not decoded."""
+    inside = access.prune_blocks(_facts(spark, sf_dir), START, END).select("block_id")
+    rows = fixture_rows(spark, sf_dir, F.col("pos").between(START, END)).select("block_id", "row_in_block")
+    wanted = rows.groupBy("block_id").agg(F.array_sort(F.collect_list("row_in_block")).alias("wanted"))  # at most a block's rows
+    vectors = _vectors(spark, sf_dir).join(inside.hint("merge"), "block_id", "left_semi")
+    return binarize.bit_cells(run_planes.read(run_planes.planes(vectors).join(wanted.hint("merge"), "block_id"), "wanted"))
+
+
+def run_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of each row and the next one of its plane, from their runs."""
+    return run_planes.neighbours(run_planes.planes(_vectors(spark, sf_dir)))
+
+
 def payload_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.payload_sizes(packed_planes(spark, sf_dir))
 
@@ -345,6 +368,8 @@ ROUNDTRIPS |= {
     "roundtrip_two_opt_cols": _roundtrip(sort_cols=True, solver="nn_two_opt", preset=1),
     "roundtrip_tiled": _roundtrip(tile_samples=3, sort_rows=True),
     "roundtrip_tiled_split": _roundtrip(tile_samples=7, binarization="row_split", sort_cols=True, coder="lzma"),
+    "roundtrip_runs": _roundtrip(sort_rows=True, sort_cols=True, solver="nn_direct", distance="ham_rl", coder="runs"),
+    "roundtrip_runs_split": _roundtrip(binarization="row_split", transpose=True, tile_samples=9, coder="runs"),
 }
 
 
@@ -579,6 +604,11 @@ au AS (SELECT block_id, set_id, (sum(starts) OVER (ORDER BY block_id) - 1)::BIGI
         "amax_bits_hex": _with(CELLS, STATS, RECODED, ROWBITS, "w AS (SELECT block_id, CASE WHEN max(bits) > 2 THEN length(bin(max(bits) - 2)) ELSE 0 END AS width FROM rb GROUP BY block_id)", "b AS (SELECT block_id, count(*) AS n, any_value(width) AS width, string_agg(CASE WHEN bits = 1 THEN '0' WHEN width = 0 THEN '1' ELSE '1' || lpad(bin(bits - 2), width::INT, '0') END, '' ORDER BY row_in_block) AS bits FROM rb JOIN w USING (block_id) GROUP BY block_id)") + f"SELECT block_id, lower(printf('%08x%02x', n, width)) || {_hex('bits')} AS hex FROM b",
         "packed_planes": packed + f"SELECT block_id, plane, n_rows, n_cols, {_hex('bits')} AS hex FROM pb",
         "unpacked_planes": _with(CELLS, STATS, RECODED, _PL) + "SELECT block_id, plane, row_in_block, col_id, bit FROM pl",
+        "run_counts": _with(CELLS, STATS, RECODED, _PL) + "SELECT block_id, plane, row_in_block, sum(bit)::BIGINT AS n_ones, sum((bit = 1 AND coalesce(before, 0) = 0)::INT)::BIGINT AS n_runs FROM (SELECT *, lag(bit) OVER (PARTITION BY block_id, plane, row_in_block ORDER BY col_id) AS before FROM pl) GROUP BY ALL",
+        "run_planes_unpacked": _with(CELLS, STATS, RECODED, _PL) + "SELECT block_id, plane, row_in_block, col_id, bit FROM pl",
+        "run_range_rows": _with(CELLS, STATS, RECODED, _PL) + f"SELECT block_id, plane, row_in_block, col_id, bit FROM pl WHERE 1000 + 7 * ({BLOCK} * block_id + row_in_block) BETWEEN {START} AND {END}",
+        "run_neighbours": _with(CELLS, STATS, RECODED, _PL, "d AS (SELECT a.block_id, a.plane, a.row_in_block AS i, b.row_in_block AS j, a.col_id, (a.bit <> b.bit)::INT AS d FROM pl a JOIN pl b ON a.block_id = b.block_id AND a.plane = b.plane AND a.col_id = b.col_id AND b.row_in_block = a.row_in_block + 1)")
+        + "SELECT block_id, plane, i, j, sum(d)::BIGINT AS ham, sum((d = 1 AND coalesce(before, 0) = 0)::INT)::BIGINT AS ham_rl FROM (SELECT *, lag(d) OVER (PARTITION BY block_id, plane, i, j ORDER BY col_id) AS before FROM d) GROUP BY ALL",
         "payload_stat": packed + sizes,
         "gt_text_block": _with(CELLS, GT) + "SELECT v, pos, string_agg(gt, chr(9) ORDER BY s) AS line FROM gt GROUP BY ALL",
         "gt_parse": c + "SELECT a.v, a.s, a.k, a.allele, CASE WHEN b.allele = -2 OR a.k = 0 AND a.allele = -2 THEN 0 ELSE b.phased END AS phased FROM cells a JOIN cells b ON a.v = b.v AND a.s = b.s AND b.k = 1 WHERE a.k = 0 OR a.allele <> -2 AND (SELECT allele FROM cells z WHERE z.v = a.v AND z.s = a.s AND z.k = 0) <> -2",
