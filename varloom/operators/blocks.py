@@ -100,7 +100,7 @@ def phase_uniformity(cells: DataFrame) -> DataFrame:
 
 def parameters(cells: DataFrame) -> DataFrame:
     """The parameter key of each block of cells."""
-    found = statistics(cells).join(phase_uniformity(cells), "block_id")
+    found = statistics(cells).join(phase_uniformity(cells).hint("merge"), "block_id")
     return found.select("block_id", "any_missing", "any_absent", "depth", F.coalesce("phase_value", F.lit(-1)).alias("phase"))
 
 

@@ -43,7 +43,7 @@ def rows(cells: DataFrame, samples: int) -> DataFrame:
         cells = cells.withColumn("contig", F.lit("1"))
     made = cells.groupBy("block_id", "row_in_block", "v", "contig", "pos").agg(F.array_sort(F.collect_list(F.struct("s", "k", "allele", "phased"))).alias("copies"), F.max("k").alias("last"))
     ploidy = made.groupBy("block_id").agg((F.max("last") + 1).cast("int").alias("ploidy"))
-    made = made.join(ploidy, "block_id")
+    made = made.join(ploidy.hint("merge"), "block_id")
     p = F.col("ploidy")
     alleles = F.transform("copies", lambda x: F.struct((x["s"] * p + x["k"]).cast("long").alias("c"), x["allele"].cast("int").alias("x")))
     phases = F.transform(F.filter("copies", lambda x: x["k"] > 0), lambda x: F.struct((x["s"] * (p - 1) + x["k"] - 1).cast("long").alias("c"), x["phased"].cast("int").alias("x")))

@@ -57,7 +57,7 @@ def parsed_rows(variants: DataFrame) -> DataFrame:
     found = variants.select("v", "contig", "pos", "block_id", "row_in_block", values.alias("values"), marks.alias("marks"))
     most = F.array_max(F.transform("values", F.size))
     p = F.col("ploidy")
-    found = found.join(found.groupBy("block_id").agg(F.max(most).alias("ploidy")), "block_id")
+    found = found.join(found.groupBy("block_id").agg(F.max(most).alias("ploidy")).hint("merge"), "block_id")
     alleles = F.flatten(F.transform("values", lambda a: F.concat(a, F.array_repeat(F.lit(-2), p - F.size(a)))))
     phases = F.flatten(F.transform("marks", lambda m: F.concat(m, F.array_repeat(F.lit(0), p - 1 - F.size(m)))))
     return found.select("v", "contig", "pos", "block_id", "row_in_block", "ploidy", alleles.alias("alleles"), phases.alias("phases"))
