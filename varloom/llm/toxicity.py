@@ -10,7 +10,6 @@ normalised by the text's length, make the score.
 
 from __future__ import annotations
 
-import math
 import unicodedata
 from bisect import bisect_right
 from collections import Counter
@@ -247,7 +246,7 @@ def _counted_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = set(text.split())
             forms = {f" {w} " for w in words}
-            for n in (4, 5, 6, 8):
+            for n in range(4, 9):
                 forms.update(f" {w[:n]}" for w in words if len(w) > n)
             counts[label].update(forms)
         terms = list(counts[0].keys() | counts[1].keys())
@@ -281,41 +280,61 @@ def _matched_phrases(terms: list[str]):
     return run
 
 
-def learn(sample: DataFrame, entries: int = 2048, least: int = 4, odds: float = 2.0) -> Lexicon:
-    """A lexicon from a bounded sample (doc_id, text, label).
+def _entries(rows: DataFrame, totals: dict[int, int], entries: int, least: int, odds: float, surety: float) -> dict[str, float]:
+    """Words and word beginnings with their log odds, the surest first.
 
-    Of texts that share the least hash of their word pairs one counts, so a text with many near copies does
-    not teach its own words.  At most 4 * entries candidates and as many exceptions come to the driver.
+    An entry's odds times the root of its toxic texts must reach `surety`: words of a few texts need long odds.
     """
-    rows = sample.select("doc_id", "text", "label").mapInArrow(_sketched, "doc_id long, label int, folded string, sketch long")
-    first = rows.groupBy("sketch").agg(F.min_by(F.struct("label", "folded"), "doc_id").alias("row"))
-    rows = written(first.select("row.*"), "toxic-sample")
-    totals = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    if not totals.get(1) or not totals.get(0):
-        return Lexicon({}, [], (-4.0, 0.0, 0.0, 0.0))
-
     counts = rows.select("label", "folded").mapInArrow(_counted_forms, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     weight = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0))
-    ranked = counts.where(F.col("t") >= least).withColumn("weight", weight).where(F.col("weight") >= odds)
-    ranked = ranked.orderBy((F.col("weight") * F.sqrt("t")).desc(), "term").limit(4 * entries).collect()
+    ranked = counts.where(F.col("t") >= least).withColumn("weight", weight).withColumn("sure", F.col("weight") * F.sqrt("t"))
+    ranked = ranked.where((F.col("weight") >= odds) & (F.col("sure") >= surety)).orderBy(F.desc("sure"), "term").limit(4 * entries).collect()
     terms: dict[str, float] = {}
     for r in sorted(ranked, key=lambda r: (len(r.term), r.term)):  # a longer form adds nothing to a beginning that says as much
         shorter = [terms[r.term[:k]] for k in range(4, len(r.term)) if r.term[:k] in terms]
         if not shorter or max(shorter) < r.weight - 1.0:
             terms[r.term] = float(r.weight)
-    strength = {r.term: r.weight * math.sqrt(r.t) for r in ranked}
-    terms = dict(sorted(terms.items(), key=lambda x: (-strength[x[0]], x[0]))[:entries])
+    sure = {r.term: r.sure for r in ranked}
+    return dict(sorted(terms.items(), key=lambda x: (-sure[x[0]], x[0]))[:entries])
 
-    # Words and word pairs of clean texts, never of toxic ones, in which an entry matches.
+
+def _exceptions(rows: DataFrame, terms: dict[str, float], most: int) -> list[str]:
+    """Words and word pairs of clean texts, never of toxic ones, in which an entry matches."""
     spoken = rows.select("label", "folded").mapInArrow(_matched_phrases(sorted(terms)), "phrase string, t long, n long")
     phrases = spoken.groupBy("phrase").agg(F.sum("t").alias("t"), F.sum("n").alias("n")).where((F.col("t") == 0) & (F.col("n") >= 3))
-    free = phrases.orderBy(F.desc("n"), "phrase").limit(4 * entries).collect()
+    return sorted(r.phrase for r in phrases.orderBy(F.desc("n"), "phrase").limit(most).collect())
+
 
-    lexicon = Lexicon(terms, sorted(r.phrase for r in free))
-    shipped = rows.sparkSession.sparkContext.broadcast(lexicon)
-    fit = rows.select("label", "folded").mapInArrow(_weighed(shipped), "label int, total double, strongest double, words double").toPandas()  # numbers of a bounded sample
+def learn(sample: DataFrame, entries: int = 2048, least: int = 4, odds: float = 2.0, surety: float = 6.0) -> Lexicon:
+    """A lexicon from a bounded sample (doc_id, text, label).
+
+    Of texts that share the least hash of their word pairs one counts, so a text with many near copies does
+    not teach its own words.  The curve from weights to a score is fitted on texts that taught nothing to the lexicon
+    which weighs them: each half of the sample is weighed by the other half's.  At most 4 * entries candidates and
+    as many exceptions come to the driver.
+    """
+    rows = sample.select("doc_id", "text", "label").mapInArrow(_sketched, "doc_id long, label int, folded string, sketch long")
+    first = rows.groupBy("sketch").agg(F.min_by(F.struct("label", "folded"), "doc_id").alias("row"))
+    rows = written(first.select("row.*", F.pmod(F.xxhash64("sketch"), F.lit(2)).alias("half")), "toxic-sample")
+    totals = {(r.half, r.label): r["count"] for r in rows.groupBy("half", "label").count().collect()}
+
+    def learned(part: DataFrame, halves: tuple[int, ...]) -> Lexicon:
+        known = {label: sum(totals.get((h, label), 0) for h in halves) for label in (0, 1)}
+        if not all(known.values()):
+            return Lexicon({}, [], (-4.0, 0.0, 0.0, 0.0))
+        terms = _entries(part, known, entries, least, odds, surety)
+        return Lexicon(terms, _exceptions(part, terms, 4 * entries))
+
+    whole = learned(rows, (0, 1))
+    if not whole.terms:
+        return Lexicon({}, [], (-4.0, 0.0, 0.0, 0.0))
+    weighed = []
+    for half in (0, 1):
+        shipped = rows.sparkSession.sparkContext.broadcast(learned(rows.where(F.col("half") != half), (1 - half,)))
+        weighed.append(rows.where(F.col("half") == half).select("label", "folded").mapInArrow(_weighed(shipped), "label int, total double, strongest double, words double"))
+    fit = weighed[0].unionByName(weighed[1]).toPandas()  # numbers of a bounded sample
     x, y = _features(*(fit[n].to_numpy(float) for n in ("total", "strongest", "words"))), fit["label"].to_numpy(float)
-    return Lexicon(terms, lexicon.exceptions, tuple(float(v) for v in _fitted(x, y)))
+    return Lexicon(whole.terms, whole.exceptions, tuple(float(v) for v in _fitted(x, y)))
 
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", into: str = "toxicity") -> DataFrame:
