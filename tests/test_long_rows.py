@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from varloom import queries
 from varloom.functions import planes
-from varloom.operators import blocks, distance, tour
-from varloom.sources import store
+from varloom.operators import blocks, distance, tour, verify
+from varloom.sources import cells, store
 from varloom.sources.scratch import written
 
 
@@ -49,3 +50,25 @@ def test_a_tour_of_many_columns_holds_no_matrix(monkeypatch):
     x = np.random.default_rng(4).integers(0, 2, (tour.MOST_MATRIX + 50, 64)).astype(np.uint8)
     monkeypatch.setattr(distance, "matrix", lambda *a: (_ for _ in ()).throw(AssertionError("a matrix of all distances")))
     assert tour.SOLVERS["nn"].order(x).tolist() == tour.nearest_packed(planes.packed(x)).tolist()
+
+
+def test_round_trips_move_bytes(spark):
+    sf = "/root/testdata/sf0.001"
+    packed, given = cells.fixture_packed(spark, sf), cells.fixture_rows(spark, sf)
+    assert store.unpacked(packed).orderBy("v").collect() == given.orderBy("v").collect() == store.unpacked(store._packed(given)).orderBy("v").collect()
+    arrays = lambda df: re.search(r"array<int>|alleles#\d+: array", df._jdf.queryExecution().analyzed().treeString())
+    path = queries._stored(spark, sf, sort_rows=True)
+    found = store.read(spark, path, packed=True)
+    assert dict(found.dtypes)["alleles"] == dict(packed.dtypes)["alleles"] == "binary" and not arrays(found)
+    assert store.unpacked(found).orderBy("v").collect() == store.read(spark, path).orderBy("v").collect()
+
+
+def test_packed_rows_that_differ_are_counted(spark):
+    df, rows = _wide(spark, 64)
+    rows = [list(r) for r in rows]
+    rows[3][6] = [300, *rows[3][6][1:]]  # needs two bytes a number
+    rows[5][7] = [1 - x for x in rows[5][7]]
+    rows[9][2] += 1
+    other = spark.createDataFrame([tuple(r) for r in rows[:63]], store._ROWS)  # the last is missing: 1,000 alleles, 500 phases and its place
+    found = verify.packed_summary(store._packed(df), store._packed(other), store.unpacked).collect()
+    assert found == verify.row_summary(df, other).collect() and found[0]["n_differ"] == 1 + 500 + 1 + 1501
