@@ -1,5 +1,6 @@
 """Rows of many samples: what a scan, a sort or a solver holds does not follow the length of a row."""
 
+import lzma
 import re
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from varloom import queries
 from varloom.functions import planes
-from varloom.operators import blocks, distance, tour, verify
+from varloom.operators import blocks, container, distance, matrices, tour, verify
 from varloom.sources import cells, store
 from varloom.sources.scratch import written
 
@@ -72,3 +73,35 @@ def test_packed_rows_that_differ_are_counted(spark):
     other = spark.createDataFrame([tuple(r) for r in rows[:63]], store._ROWS)  # the last is missing: 1,000 alleles, 500 phases and its place
     found = verify.packed_summary(store._packed(df), store._packed(other), store.unpacked).collect()
     assert found == verify.row_summary(df, other).collect() and found[0]["n_differ"] == 1 + 500 + 1 + 1501
+
+
+def test_units_are_not_lists_of_an_aggregate(spark):
+    blocks_ = spark.createDataFrame([(b, b // 3, 0, bytes([b]) * 50) for b in (4, 0, 5, 2, 1, 3)], "block_id long, au_id long, set_id long, payload binary")
+    units = container.units_to_bytes(blocks_)
+    plan = units._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    found = {r["au_id"]: container.unit_of(bytes(r["unit"])) for r in units.collect()}
+    assert found == {u: (u, 0, [bytes([b]) * 50 for b in range(3 * u, 3 * u + 3)]) for u in (0, 1)}
+    joined = queries.units_roundtrip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("payload" in x for x in joined.splitlines() if "Window" in x)
+
+
+def test_small_matrices_take_small_dictionaries():
+    x = np.random.default_rng(5).integers(0, 2, (64, 14)).astype(np.uint8)
+    encode, decode = matrices.CODECS["lzma"]
+    for raw in (b"", b"x", x.tobytes(), bytes(100_000)):
+        assert decode(encode(raw)) == raw
+        assert lzma.decompress(encode(raw), memlimit=1 << 20) == raw  # eight times this for the usual dictionary
+
+
+def test_tours_by_words_keep_their_order():
+    rng = np.random.default_rng(6)
+    for bits in (5, 64, 65, 130, 192, 256, 300):
+        for depth in (1, 2):
+            words = planes.packed(rng.integers(0, 1 << depth, (80, bits)), depth)
+            for kind in planes.KINDS:
+                cost = np.array([planes.to_one(words, k, kind) for k in range(80)])
+                assert tour.nearest_packed(words, kind, 3).tolist() == tour.nearest(cost, 3).tolist()
+                if kind in planes.MARKED:
+                    by_word = np.ascontiguousarray(np.moveaxis(words, 2, 0))
+                    assert planes.counted(by_word, by_word[..., 7], kind).tolist() == cost[7].tolist()
