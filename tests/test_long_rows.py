@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from varloom import queries
 from varloom.functions import planes
 from varloom.operators import blocks, container, distance, matrices, tour, verify
-from varloom.sources import cells, store
+from varloom.sources import cells, scratch, store
 from varloom.sources.scratch import written
 
 
@@ -105,3 +105,23 @@ def test_tours_by_words_keep_their_order():
                 if kind in planes.MARKED:
                     by_word = np.ascontiguousarray(np.moveaxis(words, 2, 0))
                     assert planes.counted(by_word, by_word[..., 7], kind).tolist() == cost[7].tolist()
+
+
+def test_what_a_task_sorts_is_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    df, _ = _wide(spark, 320)  # 5 blocks of 64 rows of 1,500 bytes
+    monkeypatch.setattr(scratch, "TASK_BYTES", 1 << 14)
+    dealt, own = [], store.spread
+    monkeypatch.setattr(store, "spread", lambda *a, **k: dealt.append(own(*a, **k).rdd.getNumPartitions()) or own(*a, **k))
+    for name, options in (("whole", {}), ("tiles", {"tile_samples": 100})):
+        path = f"{tmp_path}/{name}"
+        store.write(df, path, matrices.EncodeOptions(block_size=64, coder="raw", **options), block_size=64)
+        assert dealt.pop() >= 320 * 1500 >> 14
+        found = store.read(spark, path)
+        assert found.orderBy("v").collect() == df.orderBy("v").collect()
+        assert not dealt or dealt.pop() > 4  # tiles of a block meet by a shuffle
+        columns = [450, 3, 450]
+        some = store.read(spark, path, 700, 2100, columns=columns).orderBy("v").collect()
+        assert [r["pos"] for r in some] == [7 * v for v in range(100, 301)]
+        given = {r["v"]: r["alleles"] for r in df.collect()}
+        assert all(r["alleles"] == [given[r["v"]][2 * c + k] for c in columns for k in (0, 1)] for r in some)
+        dealt.clear()
