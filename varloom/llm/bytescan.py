@@ -1,21 +1,21 @@
 """Vectorised scanning of UTF-8 text columns inside tasks.
 
 A text column of an Arrow batch becomes one byte array and the offsets of its rows; words are found and
-hashed for all rows at once.  Null texts are empty.  Memory is bounded by handing out segments of a few
-megabytes (a longer text is a segment of its own).
+hashed for all rows at once.  Null texts are empty.  Memory is bounded by handing out segments of half a
+megabyte, whose arrays take many times that (a longer text is a segment of its own).
 """
 
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are scanned at once.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xFF51AFD7ED558CCD)
@@ -25,6 +25,8 @@ BYTE_CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uin
 
 _libc = ctypes.CDLL(None)
 _powers: dict[str, np.ndarray] = {}
+#: What drops that which an operator keeps in a worker for its next tasks.
+DROPS: list[Callable[[], None]] = []
 
 
 def lower_ascii() -> np.ndarray:
@@ -80,6 +82,13 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
+def begin() -> None:
+    """For operators that keep nothing: workers live on, and what earlier operators keep in this one goes."""
+    for drop in DROPS:
+        drop()
+    give_back()
+
+
 def pieces(column: pa.Array, limit: int = SEGMENT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets) of each segment of a text column."""
     data, bounds = flat(column)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,10 +232,26 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(shipped, text: str, into: str, kind: pa.DataType):
-    """Adds the hits of one block of phrases to those that earlier blocks found."""
+def _cut(column: pa.Array, hits: list[dict]) -> pa.Array:
+    """The texts without the spans of their hits; only texts that lose some are taken out of the column."""
+    mask, new = np.zeros(len(column), bool), []
+    for k, x in enumerate(hits):
+        if x["spans"]:
+            raw, parts, at = column[k].as_py().encode(), [], 0
+            for s in x["spans"]:
+                parts.append(raw[at : s["start"]])
+                at = s["end"]
+            mask[k] = True
+            new.append(b"".join([*parts, raw[at:]]).decode("utf-8", "ignore"))
+    return pc.replace_with_mask(column, mask, pa.array(new, column.type)) if new else column
+
+
+def _search(shipped, text: str, into: str, kind: pa.DataType, cut: bool):
+    """Adds the hits of one block of phrases to those that earlier blocks found.  cut: no block follows, and the spans of all hits go
+    from the texts here, as a step of its own would be one more worker for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bs.begin()
         phrases: Phrases = shipped.value
         table = bs.HashTable(max(10, int(2 * len(phrases.vocabulary) + 2).bit_length()))
         if len(phrases.vocabulary):
@@ -260,8 +277,8 @@ def _search(shipped, text: str, into: str, kind: pa.DataType):
                 {"n_words": x["n_words"], "words": [{"first": a, "last": b} for a, b in x["words"]], "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(set(x["items"]))}
                 for x, spans in zip(found, lines, strict=True)
             ]
-            columns = [pa.array(hits, kind) if n == into else batch.column(n) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            made = {into: pa.array(hits, kind), **({text: _cut(batch.column(text), hits)} if cut else {})}
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n) for n in batch.schema.names], batch.schema.names)
 
     return run
 
@@ -284,6 +301,10 @@ def find_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text: st
     column that is already called `into` is replaced; with an empty benchmark nothing is hit; an empty table stays
     empty.  A text of any length is searched whole, in overlapping parts.
     """
+    return _found(df, benchmark, window, text, item_id, item_text, into, cut=False)
+
+
+def _found(df: DataFrame, benchmark: DataFrame, window: int, text: str, item_id: str, item_text: str, into: str, cut: bool) -> DataFrame:
     spark = df.sparkSession
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -294,7 +315,7 @@ def find_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text: st
     for block in range(blocks):
         rows = items.where(F.col("block") == block).select("item", "text").distinct().collect()  # about BLOCK bytes
         shipped = spark.sparkContext.broadcast(Phrases(sorted((r.item, r.text) for r in rows), window))
-        out = out.mapInArrow(_search(shipped, text, into, _HITS_ARROW), schema)
+        out = out.mapInArrow(_search(shipped, text, into, _HITS_ARROW, cut and block == blocks - 1), schema)
         if block < blocks - 1:
             earlier, out = before, written(out, "hits")
             before = out
@@ -304,23 +325,7 @@ def find_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text: st
     return out
 
 
-def _cut(text: str, into: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            for k, x in enumerate(batch.column(into).to_pylist()):
-                if x and x["spans"]:
-                    raw, parts, at = texts[k].encode(), [], 0
-                    for s in x["spans"]:
-                        parts.append(raw[at : s["start"]])
-                        at = s["end"]
-                    texts[k] = b"".join([*parts, raw[at:]]).decode("utf-8", "ignore")
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else batch.column(n) for n in batch.schema.names], batch.schema.names)
-
-    return run
-
-
-def remove_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", **names: str) -> DataFrame:
+def remove_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of df with the spans of all hits cut out of their texts; other texts are untouched, null ones too.
 
     Rows are taken one by one, so repeated rows and null or repeated ids change nothing; all columns stay.
@@ -328,5 +333,4 @@ def remove_phrases(df: DataFrame, benchmark: DataFrame, window: int = 10, text:
     into = "hits"
     while into in df.columns:
         into += "_"
-    found = find_phrases(df, benchmark, window, text, into=into, **names)
-    return found.mapInArrow(_cut(text, into), found.schema).drop(into)
+    return _found(df, benchmark, window, text, item_id, item_text, into, cut=True).drop(into)

@@ -97,6 +97,7 @@ def _signed(size: int, full: bool):
     """What _SIGNED names of each text; full: what _SETS names, signature and set included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bs.begin()
         for batch in batches:
             for low, key, bounds in shingle_sets(batch.column(1), size):
                 rows = len(bounds) - 1

@@ -98,6 +98,7 @@ def _fill(path: str, end_id: int, limit: int, keep_ids: bool):
                 names.append("ids")
             filled += len(ids)
             yield pa.RecordBatch.from_arrays(arrays, names)
+        bs.give_back()
 
     return run
 

@@ -26,13 +26,15 @@ CHUNK, STEP, WIDTH, STRIDE = 512, 448, 8, 4
 EMBEDDING, FILTERS = 8, 24
 #: Chunks that pass the network at once.
 BATCH = 256
+#: Bytes of text that are cut into chunks at once.
+PORTION = 1 << 21
 
 _PLACES = np.arange(0, CHUNK - WIDTH + 1, STRIDE)[:, None] + np.arange(WIDTH)
 
 
 def chunked(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row of each chunk, chunk bytes as a matrix, filled up with zero bytes) of a text column, in bounded portions."""
-    for low, _, data, bounds in bs.pieces(column):
+    for low, _, data, bounds in bs.pieces(column, PORTION):
         size = np.diff(bounds)
         count = np.maximum(1, -(-np.maximum(size - (CHUNK - STEP), 1) // STEP))
         row = np.repeat(np.arange(len(size)), count)

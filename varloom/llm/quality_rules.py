@@ -109,6 +109,7 @@ def text_statistics(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bs.begin()
     for batch in batches:
         found = text_statistics(batch.column(0))
         rest = {n: batch.column(n) for n in batch.schema.names[1:]}

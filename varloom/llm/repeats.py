@@ -164,6 +164,7 @@ def _first_digits(length: int, buckets: int):
         return _batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bs.begin()
         parts, size = [], 0
         for batch in batches:
             docs, tags = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "tag"))
@@ -177,6 +178,8 @@ def _first_digits(length: int, buckets: int):
                     parts, size = [], 0
         if parts:
             yield settled(parts)
+        del parts
+        bs.give_back()
 
     return run
 
@@ -236,6 +239,7 @@ def _by_document(length: int):
             doc, tag, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
             if len(doc):
                 yield from _places(doc, tag, start, start + count - 1 + length, np.arange(len(doc)) >= len(parts[0][0]))
+        bs.give_back()
 
     return run
 

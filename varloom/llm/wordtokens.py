@@ -30,6 +30,7 @@ _LATIN_TAIL = bs.byte_class((0x80, 0xBF))
 _LATIN_TAIL[[0x97, 0xB7]] = False
 
 _loaded: dict[str, WordTokenizer] = {}
+bs.DROPS.append(_loaded.clear)
 
 
 def default_path() -> str:
@@ -40,7 +41,7 @@ def default_path() -> str:
 
 
 def load(path: str) -> WordTokenizer:
-    """One tokenizer a worker."""
+    """One tokenizer a worker, until another operator begins there."""
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
