@@ -32,3 +32,13 @@ def test_lines_of_the_fixture_are_made_of_bytes(spark):
 
     plan = __spark_entry__.queries()["gt_text_block"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "lambda" not in plan
+
+
+def test_only_lines_that_differ_are_joined(spark, monkeypatch):
+    joined, within = [], verify._within
+    monkeypatch.setattr(verify, "_within", lambda *a: joined.append(within(*a)) or joined[-1])
+    left = spark.range(3000).select(F.col("id").alias("v"), F.concat(F.lit("0|"), F.col("id")).alias("line"))
+    right = left.where("v <> 7").withColumn("line", F.when(F.col("v") % 1000 == 5, "1").otherwise(F.col("line")))
+    found = verify.line_differences(left, right)
+    assert sorted(map(tuple, found.collect())) == [(5, "0|5", "1"), (7, "0|7", None), (1005, "0|1005", "1"), (2005, "0|2005", "1")]
+    assert [df.count() for df in joined] == [4, 3]
