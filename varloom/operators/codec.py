@@ -121,7 +121,8 @@ def decoded(payloads: DataFrame, codec: str = "zlib") -> DataFrame:
     return payloads.withColumn("hex", F.lower(F.hex(run("payload")))).drop("payload")
 
 
-def payload_sizes(packed: DataFrame) -> DataFrame:
-    """Bytes of each block's matrices, with a length field of four bytes each."""
-    size = F.length("hex") / 2
-    return packed.groupBy("block_id").agg(F.count("*").alias("n_matrices"), F.sum(size).cast("long").alias("matrix_bytes"), F.sum(size + 4).cast("long").alias("payload_bytes"))
+def payload_sizes(facts: DataFrame, n_cols: int) -> DataFrame:
+    """Bytes of each block's packed planes (`packed_planes`), with a length field of four bytes each: the shape and depth of a block give them, so no plane is made."""
+    n = F.greatest("depth", F.lit(1)).cast("long")
+    found = facts.select("block_id", n.alias("n_matrices"), F.ceil(F.col("n_rows") * n_cols / 8).cast("long").alias("_size"))
+    return found.select("block_id", "n_matrices", (F.col("n_matrices") * F.col("_size")).alias("matrix_bytes"), (F.col("n_matrices") * (F.col("_size") + 4)).alias("payload_bytes"))
