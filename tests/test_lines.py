@@ -71,3 +71,11 @@ def test_lines_are_parsed_without_exploding_strings(spark):
     import __spark_entry__
 
     assert "Generate" not in __spark_entry__.queries()["gt_parse"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_lines_that_come_twice_do_not_cancel(spark):
+    left = spark.createDataFrame([(1, "0|1"), (1, "0|1"), (2, "1")], "v long, line string")
+    right = left.withColumn("line", F.when(F.col("v") == 1, "01").otherwise(F.col("line")))
+    assert sorted(map(tuple, verify.line_differences(left, right).collect())) == [(1, "0|1", "01")] * 4
+    cells = spark.createDataFrame([(0, 0, 0, 1)] * 2, "v long, s long, k int, allele int")
+    assert tuple(verify.summary(cells, cells.withColumn("allele", F.lit(2))).first()) == (2, 2, 4)
